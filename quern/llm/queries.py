@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat_parts, curriculum
+from quern.llm import bpe_count, chat_parts, curriculum, packing
 from quern.llm.words import n_words
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def op5_bpe_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_count.bpe_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces)
+
+
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    sizes = documents(spark, sf_dir).select("doc_id", "source", n_words(F.col("text")).alias("size"))
     mixed = curriculum.in_training_order(curriculum.curriculum_mix(sizes))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round("position", 9).alias("position"))
 
@@ -25,6 +38,8 @@ def op10_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_bpe_count": op5_bpe_count,
+    "op8_linear_grouping": op8_linear_grouping,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_chat_parts": op10_chat_parts,
 }
