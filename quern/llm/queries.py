@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe_count, chat_parts, curriculum, packing
+from quern.llm import avi_media, bpe_count, chat_parts, curriculum, license_scan, packing, secrets
 from quern.llm.words import n_words
 
 
@@ -14,10 +14,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = avi_media.read_back(avi_media.store(documents(spark, sf_dir), "text"))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op3_random_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(documents(spark, sf_dir)))
+
+
 def op5_bpe_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.bpe_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(documents(spark, sf_dir))
+
+
 def op8_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(pieces)
@@ -38,7 +51,10 @@ def op10_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_avi_media": op2_avi_media,
+    "op3_random_secrets": op3_random_secrets,
     "op5_bpe_count": op5_bpe_count,
+    "op6_license_diagonals": op6_license_diagonals,
     "op8_linear_grouping": op8_linear_grouping,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_chat_parts": op10_chat_parts,
