@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import avi_media, bpe_count, chat_parts, curriculum, license_scan, packing, secrets
+from quern.llm import avi_media, bpe_count, chat_parts, curriculum, license_scan, packing, secrets, token_join
 from quern.llm.words import n_words
 
 
@@ -23,6 +23,10 @@ def op3_random_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
 
+def op4_token_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_join.jaccard_components(documents(spark, sf_dir))
+
+
 def op5_bpe_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.bpe_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -53,6 +57,7 @@ def op10_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_avi_media": op2_avi_media,
     "op3_random_secrets": op3_random_secrets,
+    "op4_token_join": op4_token_join,
     "op5_bpe_count": op5_bpe_count,
     "op6_license_diagonals": op6_license_diagonals,
     "op8_linear_grouping": op8_linear_grouping,
@@ -60,6 +65,25 @@ QUERIES = {
     "op10_chat_parts": op10_chat_parts,
 }
 
+_OP4 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i : i + 4], ' ') END AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+h AS (SELECT doc_id, hash(g) AS g FROM s),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM h GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM h a JOIN h b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+z AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT a AS doc_id, a AS c FROM z UNION SELECT z.b, r.c FROM r JOIN z ON z.a = r.doc_id)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.c, w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id
+LEFT JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) m ON m.doc_id = w.doc_id
+"""
+
 _OP9 = r"""
 WITH s AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -114,4 +138,4 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op9_curriculum_mix": _OP9, "op10_chat_parts": _OP10}
+ORACLE_SQL = {"op4_token_join": _OP4, "op9_curriculum_mix": _OP9, "op10_chat_parts": _OP10}
