@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import avi_media, bpe_count, chat_parts, curriculum, license_scan, packing, secrets, token_join
+from quern.llm import avi_media, bpe_count, chat_parts, curriculum, license_scan, packing, quality_llr, secrets, token_join
 from quern.llm.words import n_words
 
 
@@ -14,6 +14,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+    return quality_llr.quality_rules(documents(spark, sf_dir), trusted)
+
+
 def op2_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = avi_media.read_back(avi_media.store(documents(spark, sf_dir), "text"))
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -55,6 +60,7 @@ def op10_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_llr": op1_quality_llr,
     "op2_avi_media": op2_avi_media,
     "op3_random_secrets": op3_random_secrets,
     "op4_token_join": op4_token_join,
