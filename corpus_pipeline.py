@@ -1,7 +1,89 @@
-"""Corpus pipeline (stages follow)."""
-STAGES = []
+"""Corpus pipeline: classify quality, keep one of each near-duplicate group, mask secrets, mix sources, pack sequences.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
+of documents; each result is written as Parquet and read again before the next stage.
+"""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import curriculum, mil_quality, packing, secrets, token_join
+from quern.llm.words import n_words, words
+from quern.session import share_package, shared_dir
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Documents that score less are rejected.
+LEAST_QUALITY = 0.5
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, trained on the labels of these documents, accepts."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    net = mil_quality.train(docs, labels)
+    docs = docs.select(*COLUMNS)
+    scored = mil_quality.score(docs.withColumn("_scored", F.col("text")), net, keep=COLUMNS, text="_scored")
+    return scored.filter(F.col("score") >= LEAST_QUALITY).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one with the least id, and of rows alike, one."""
+    docs = docs.select(*COLUMNS)
+    found = token_join.jaccard_components(docs, keep=True)
+    firsts = found.filter("first").select(F.col("doc_id").alias("_d"), "_copy").distinct()
+    rows = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_own") == F.col("_copy"))
+    return rows.join(firsts, same, "left_semi").select(*COLUMNS)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret in their text replaced by a mark."""
+    docs = docs.select(*COLUMNS)
+    scanned = secrets.scan(docs.withColumn("_scanned", F.col("text")), text="_scanned", keep=tuple(c for c in COLUMNS if c != "n_chars"))
+    text = F.when(F.col("text").isNotNull(), F.col("_masked"))
+    return scanned.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training order: each document as often as the mix takes it, sorted by range of position; the last document
+    that a source's target reaches is cut to the words taken."""
+    docs = docs.select(*COLUMNS).withColumn("_key", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit(""))))
+    mixed = curriculum.curriculum_mix(docs.select(F.col("_key").alias("doc_id"), "source", n_words(F.col("text")).alias("size")))
+    times = mixed.select(F.col("doc_id").alias("_key"), F.explode("occurrences").alias("o")).dropDuplicates(["_key", "o"])
+    rows = docs.withColumn("_size", n_words(F.col("text"))).join(times, "_key")
+    text = F.when(F.col("o.take") < F.col("_size"), F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("o.take").cast("int")), " ")).otherwise(F.col("text"))
+    rows = rows.select("doc_id", text.alias("text"), "lang", "source", F.col("o.position").alias("_position"))
+    rows = rows.orderBy("_position", "doc_id")
+    return rows.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens: one row for each piece of a document."""
+    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("secrets", mask_secrets),
+    ("mix", mix_sources),
+    ("pack", pack_sequences),
+]
+#: No SQL expresses the trained classifier and the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of a folder."""
+    share_package(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = os.path.join(shared_dir(spark), f"quern-pipeline-{uuid.uuid4().hex}-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

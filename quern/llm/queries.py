@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import avi_media, bpe_count, chat_parts, curriculum, license_scan, packing, quality_llr, secrets, token_join
+from quern.llm import avi_media, bpe_count, chat_parts, curriculum, license_scan, mil_quality, packing, quality_llr, secrets, token_join
 from quern.llm.words import n_words
 
 
@@ -40,6 +40,13 @@ def op6_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(documents(spark, sf_dir))
 
 
+def op7_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = mil_quality.score(docs, mil_quality.train(docs, labels))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", mil_quality.held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
+
+
 def op8_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(pieces)
@@ -66,6 +73,7 @@ QUERIES = {
     "op4_token_join": op4_token_join,
     "op5_bpe_count": op5_bpe_count,
     "op6_license_diagonals": op6_license_diagonals,
+    "op7_attention_quality": op7_attention_quality,
     "op8_linear_grouping": op8_linear_grouping,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_chat_parts": op10_chat_parts,
