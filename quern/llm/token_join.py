@@ -11,10 +11,11 @@ n. Here l is a sixteenth of n, one at least. Token classes follow from counts:
   shared ones meet in a group (pigeonhole), and only pairs within a group are combined: their number is linear in n.
 
 A pair that shares no rare token of its prefixes shares as many frequent ones as the prefix theorem says, hence a
-combination: no link is lost. Buckets are first linked through leaders: each set is verified against the leader it meets
-most often, the one with the largest shared part. Pairs in one component need no check any more; what is left open
-between components, and can reach the similarity by size and shared part, is verified in full. No group is paired with
-itself, and exact copies are one set throughout.
+combination: no link is lost. Buckets are first linked through leaders, the sets with the largest shared part: each set
+is compared with the LEADERS leaders it meets most often. Pairs in one component need no check any more. A pair between
+components is open if it can reach the similarity by size, by shared part, and by what both share with a leader (of a
+leader's tokens two sets share at most what the lesser has); all open pairs are verified. No group is paired with itself,
+and exact copies are one set throughout.
 
 Defined results: null and wordless texts have no shingles, n_shingles 0, and are linked with nothing (component_id is
 their own id). Repeated rows are copies. A null id takes part, and its component's id is the smallest that is not null.
@@ -31,7 +32,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.graph import connected_components
@@ -44,6 +45,8 @@ PERCENT = 75
 EXTENSION = 16
 #: A token in more sets than this is of the frequent class.
 FREQUENT = 64
+#: Leaders that each set is compared with before open pairs are looked for.
+LEADERS = 3
 
 
 def required(n: int) -> int:
@@ -146,12 +149,13 @@ def lone_tokens(rows: DataFrame) -> DataFrame:
     return owners.filter("rid = _other").groupBy("rid").agg(F.count("*").alias("lone"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of rids whose sets are similar enough."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rids with the number of tokens that they share, and whether that makes them similar enough."""
     left = sets.select(F.col("rid").alias("a"), F.col("tokens").alias("_a"))
     right = sets.select(F.col("rid").alias("b"), F.col("tokens").alias("_b"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("_shared", F.size(F.array_intersect("_a", "_b")))
-    return both.filter(100 * F.col("_shared") >= PERCENT * (F.size("_a") + F.size("_b") - F.col("_shared"))).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("_a", "_b")))
+    similar = 100 * F.col("shared") >= PERCENT * (F.size("_a") + F.size("_b") - F.col("shared"))
+    return both.select("a", "b", "shared", similar.alias("linked"))
 
 
 def _compatible(x: str, y: str) -> Column:
@@ -160,6 +164,22 @@ def _compatible(x: str, y: str) -> Column:
     return (F.least(f"{x}.most", f"{y}.most") * (100 + PERCENT) >= need) & (F.least(f"{x}.n", f"{y}.n") * 100 >= F.greatest(f"{x}.n", f"{y}.n") * PERCENT)
 
 
+def _reaches(shared: Column, total: Column) -> Column:
+    """So many shared tokens, of two sets with so many together, make them similar enough."""
+    return shared * (100 + PERCENT) >= total * PERCENT
+
+
+def _bound() -> Column:
+    """The most tokens that x and y can share, by what each shares with a leader that both were compared with: tokens of
+    the leader that the lesser has, and of its other tokens those that any set shares."""
+    def through(leader: Column) -> Column:
+        own, other = F.col("xv")[leader], F.col("yv")[leader]
+        return F.least(own, other) + F.least(F.col("x.most") - own, F.col("y.most") - other)
+
+    common = F.array_intersect(F.map_keys("xv"), F.map_keys("yv"))
+    return F.coalesce(F.array_min(F.transform(common, through)), F.least("x.n", "y.n"))
+
+
 def _survivors(texts: DataFrame, sets: DataFrame) -> DataFrame:
     """(rid, n, tokens) of the sets that may have a partner. texts: doc_id, _copy, _text. sets: rid, n, rep."""
     prefixes = texts.select("_text").mapInArrow(_prefixes, "rid long, tokens array<long>")
@@ -186,21 +206,28 @@ def links(texts: DataFrame, sets: DataFrame) -> DataFrame:
     leaders = index.groupBy("signature").agg(F.max_by("set", F.struct(F.col("set.most") / F.col("set.n"), "set.rid")).alias("leader"), F.count("*").alias("_n")).filter("_n > 1")
     met = index.join(leaders, "signature").filter((F.col("set.rid") != F.col("leader.rid")) & _compatible("set", "leader"))
     votes = met.groupBy(F.col("set.rid").alias("rid"), F.col("leader.rid").alias("leader")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("rid").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"))
-    tried = staged(best.select(F.least("rid", "leader").alias("a"), F.greatest("rid", "leader").alias("b")).distinct())
-    edges = staged(verified(tried, whole))
+    order = Window.partitionBy("rid").orderBy(F.desc("votes"), "leader")
+    best = votes.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= LEADERS)
+    tried = staged(compared(best.select(F.least("rid", "leader").alias("a"), F.greatest("rid", "leader").alias("b")).distinct(), whole))
+    edges = tried.filter("linked").select("a", "b")
     labels = connected_components(edges).withColumnsRenamed({"v": "rid", "label": "part"})
-    placed = index.join(labels, F.col("set.rid") == F.col("rid"), "left").select("signature", "set", F.coalesce("part", "set.rid").alias("part"))
-    placed = staged(placed)
-    mixed_up = placed.groupBy("signature").agg(F.min("part").alias("_x"), F.max("part").alias("_y"), F.mode("part").alias("main")).filter("_x < _y")
-    open_sets = placed.join(mixed_up, "signature")
-    x = open_sets.filter("part != main").select("signature", F.col("set").alias("x"), F.col("part").alias("xp"), F.col("main").alias("_m"))
-    y = open_sets.select("signature", F.col("set").alias("y"), F.col("part").alias("yp"))
+    known = best.select("rid", F.col("leader").alias("via")).join(tried, (F.least("rid", "via") == F.col("a")) & (F.greatest("rid", "via") == F.col("b")))
+    known = known.select("rid", "via", "shared").union(best.select("leader", "leader").distinct().join(able, F.col("leader") == F.col("rid")).select("rid", "rid", F.col("n").cast("int")))
+    via = known.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("via", "shared"))).alias("via"))  # at most LEADERS + 1
+    about = able.join(labels, "rid", "left").join(via, "rid", "left").select("rid", F.coalesce("part", "rid").alias("part"), "via")
+    placed = index.join(about, F.col("set.rid") == F.col("rid")).select("signature", "set", "part", "via")
+    split = index.join(about, F.col("set.rid") == F.col("rid")).groupBy("signature").agg(
+        F.min("part").alias("_x"), F.max("part").alias("_y"), F.mode("part").alias("main"), F.min("set.n").alias("least"), F.max("set.most").alias("reach")
+    ).filter("_x < _y")
+    open_sets = staged(placed.join(split, "signature").filter(_reaches(F.col("set.most"), F.col("set.n") + F.greatest("least", _required(F.col("set.n"))))))
+    x = open_sets.filter("part != main").select("signature", F.col("set").alias("x"), F.col("part").alias("xp"), F.col("via").alias("xv"), F.col("main").alias("_m"))
+    y = open_sets.select("signature", F.col("set").alias("y"), F.col("part").alias("yp"), F.col("via").alias("yv"))
     once = (F.col("yp") == F.col("_m")) | (F.col("x.rid") < F.col("y.rid"))
-    pairs = x.join(y, ["signature"]).filter((F.col("xp") != F.col("yp")) & once & _compatible("x", "y"))
+    within = _reaches(_bound(), F.col("x.n") + F.col("y.n"))
+    pairs = x.join(y, (x["signature"] == y["signature"]) & (F.col("xp") != F.col("yp")) & once & _compatible("x", "y") & within)
     pairs = pairs.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
-    pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"))
-    return edges.union(staged(verified(pairs, whole)))
+    rest = compared(staged(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")), whole)
+    return staged(edges.union(rest.filter("linked").select("a", "b")))
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", keep: bool = False) -> DataFrame:
