@@ -15,6 +15,8 @@ all scores are those of two multinomials of which one is flat. An empty table gi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,15 @@ THRESHOLD = -0.4
 BROADCAST_IDS = 1_000_000
 #: Limits of the base rules.
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
-TOKEN = r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+)"
+_PUNCTUATION = "".join(rf"\x{n:02X}" for n in range(0x21, 0x7F) if not chr(n).isalnum())
+_OTHERS = "".join(rf"\x{n:02X}" for n in [*range(0x21), 0x7F])
+#: Characters are listed one by one, which Java's patterns look up in one step; ranges are tried in turn.
+TOKEN = f"([^{_OTHERS}{_PUNCTUATION}]+|[{_PUNCTUATION}]+)"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def ngram_buckets(text: Column) -> Column:
@@ -36,7 +46,7 @@ def ngram_buckets(text: Column) -> Column:
     bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
     pairs = lambda h: F.zip_with(h, F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda a, b: bucket(F.xxhash64(a, b)))
     both = lambda h: F.concat(F.transform(h, bucket), F.slice(pairs(h), 1, F.greatest(F.size(h) - 1, F.lit(0))))
-    return F.get(F.transform(F.array(hashes), both), F.lit(0))
+    return let(hashes, both)
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text") -> DataFrame:
@@ -57,16 +67,16 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text") -> DataF
 
 def repeated_words(hashes: Column) -> Column:
     """Words that lie in a window of three words that stands twice or more in the text; hashes of the words in order."""
-    last = F.size(hashes) - 3
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(starts, lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)))
 
-    def covered(w: Column) -> Column:
+    def windows(h: Column) -> Column:
+        starts = F.when(F.size(h) >= 3, F.sequence(F.lit(0), F.size(h) - 3)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)))
+
+    def counted(w: Column) -> Column:
         ordered = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-        return F.get(F.transform(F.array(ordered), _covered), F.lit(0))
+        return F.when(F.size(F.array_distinct(w)) == F.size(w), 0).otherwise(let(ordered, _covered))
 
-    counted = lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), 0).otherwise(covered(w))
-    return F.get(F.transform(F.array(windows), counted), F.lit(0)).cast("long")
+    return let(let(hashes, windows), counted).cast("long")
 
 
 def _covered(ordered: Column) -> Column:
