@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quern.plans import descriptive
+from quern.plans import algebra, descriptive
 
 FLAGSHIP = "corr"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (descriptive,):
+for _part in (descriptive, algebra):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
