@@ -88,7 +88,7 @@ def set_key(hashes: np.ndarray) -> int:
     return int(mixed(total + np.bitwise_xor.reduce(mixed(hashes))).view(np.int64)[0])
 
 
-def portions(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def portions(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch with about `most` bytes of text each: (slice, bytes, offsets). The column has no nulls."""
     texts = batch.column(column).cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]

@@ -80,7 +80,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = shingle_sets(data, offsets)
             keys = pa.array([set_key(s) if len(s) else None for s in found], pa.int64())
             sizes = pa.array([len(s) for s in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_copy"), keys, sizes], names=["doc_id", "_copy", "rid", "n"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("_copy"), part.column("_row"), keys, sizes], names=["doc_id", "_copy", "_row", "rid", "n"])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,13 +181,13 @@ def _bound() -> Column:
 
 
 def _survivors(texts: DataFrame, sets: DataFrame) -> DataFrame:
-    """(rid, n, tokens) of the sets that may have a partner. texts: doc_id, _copy, _text. sets: rid, n, rep."""
+    """(rid, n, tokens) of the sets that may have a partner. texts: _row, _text. sets: rid, n, rep."""
     prefixes = texts.select("_text").mapInArrow(_prefixes, "rid long, tokens array<long>")
     lone = lone_tokens(prefixes.select("rid", F.explode("tokens").alias("token")))
     shared = _extended_prefix(F.col("n")) - F.coalesce("lone", F.lit(0))
-    likely = sets.join(lone, "rid", "left").filter(shared >= _extension(_required(F.col("n")))).select("rep.*").withColumnsRenamed({"doc_id": "_d", "copy": "_c"})
-    again = texts.join(likely, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_copy") == F.col("_c")), "left_semi")
-    return staged(again.select("_text").mapInArrow(_whole, "rid long, n long, tokens array<long>").dropDuplicates(["rid"]))
+    likely = staged(sets.join(lone, "rid", "left").filter(shared >= _extension(_required(F.col("n")))).select(F.col("rep.row").alias("_row")))
+    again = texts.join(likely, "_row", "left_semi").dropDuplicates(["_row"])  # both by _row: one exchange of texts
+    return staged(again.select("_text").mapInArrow(_whole, "rid long, n long, tokens array<long>"))
 
 
 def links(texts: DataFrame, sets: DataFrame) -> DataFrame:
@@ -234,12 +234,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", keep: bool = False)
     """Per row: doc_id, n_shingles, component_id; with keep also _copy, a hash of the text, and first: whether the row's
     (id, text) is the least of its component."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.select("doc_id", F.xxhash64(whole).alias("_copy"), whole.alias("_text"))
-    own = staged(texts.mapInArrow(_sets, "doc_id long, _copy long, rid long, n long"))
-    rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_copy").alias("copy"))
+    texts = docs.select("doc_id", F.xxhash64(whole).alias("_copy"), F.xxhash64("doc_id", whole).alias("_row"), whole.alias("_text"))
+    own = staged(texts.mapInArrow(_sets, "doc_id long, _copy long, _row long, rid long, n long"))
+    rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_copy").alias("copy"), F.col("_row").alias("row"))
     sets = own.filter("rid IS NOT NULL").groupBy("rid").agg(F.first("n").alias("n"), F.min(rep).alias("rep"))
     sets = staged(sets)
-    labels = connected_components(links(texts, sets)).withColumnsRenamed({"v": "rid", "label": "part"})
+    labels = connected_components(links(texts.select("_row", "_text"), sets)).withColumnsRenamed({"v": "rid", "label": "part"})
     placed = sets.join(labels, "rid", "left").select("rid", "rep", F.coalesce("part", "rid").alias("part"))
     firsts = placed.groupBy("part").agg(F.min("rep").alias("first"))
     placed = placed.join(firsts, "part").select(F.col("rid").alias("_rid"), "first")
