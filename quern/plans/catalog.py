@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quern.plans import algebra, descriptive, testing
+from quern.plans import algebra, descriptive, modelling, testing
 
 FLAGSHIP = "corr"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (descriptive, algebra, testing):
+for _part in (descriptive, algebra, testing, modelling):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
