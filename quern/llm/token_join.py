@@ -169,15 +169,32 @@ def _reaches(shared: Column, total: Column) -> Column:
     return shared * (100 + PERCENT) >= total * PERCENT
 
 
-def _bound() -> Column:
-    """The most tokens that x and y can share, by what each shares with a leader that both were compared with: tokens of
-    the leader that the lesser has, and of its other tokens those that any set shares."""
-    def through(leader: Column) -> Column:
-        own, other = F.col("xv")[leader], F.col("yv")[leader]
-        return F.least(own, other) + F.least(F.col("x.most") - own, F.col("y.most") - other)
-
-    common = F.array_intersect(F.map_keys("xv"), F.map_keys("yv"))
-    return F.coalesce(F.array_min(F.transform(common, through)), F.least("x.n", "y.n"))
+def _led_pairs(able: DataFrame, about: DataFrame, whole: DataFrame) -> DataFrame:
+    """Open pairs (a, b) of sets that were compared with the same leader.
+
+    Inside the leader, two sets share no more than the lesser of what each shares with it. If that is too few for the
+    pair, it must share a token outside the leader, and is found by such tokens, which are few; else by its leader."""
+    parts = about.select(F.col("rid").alias("first"), F.col("part").alias("_leader_part"))
+    met = about.filter("via IS NOT NULL").select("rid", "part", F.explode("via").alias("first", "shared"))
+    led = able.join(met, "rid").join(parts, "first").select("rid", "n", "most", "part", "first", "shared", (F.col("part") != F.col("_leader_part")).alias("open"))
+    least = led.groupBy("first").agg(F.min("n").alias("least"), F.max("open").alias("_some")).filter("_some").drop("_some")
+    led = led.join(least, "first").filter(_reaches(F.col("most"), F.col("n") + F.greatest("least", _required(F.col("n")))))
+    led = staged(led.select("first", F.struct("rid", "n", "most").alias("set"), "part", "shared", "open"))
+    x = lambda rows: rows.filter("open").select("first", *(c for c in rows.columns if c == "token"), F.col("set").alias("x"), F.col("part").alias("xp"), F.col("shared").alias("xs"))
+    y = lambda rows: rows.select(F.col("first").alias("_f"), *(F.col(c).alias("_t") for c in rows.columns if c == "token"), F.col("set").alias("y"), F.col("part").alias("yp"), F.col("shared").alias("ys"), F.col("open").alias("yo"))
+    once = ~F.col("yo") | (F.col("x.rid") < F.col("y.rid"))
+    fit = (F.col("xp") != F.col("yp")) & once & _compatible("x", "y")
+    total, inner = F.col("x.n") + F.col("y.n"), F.least("xs", "ys")
+    ends = lambda rows: rows.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"))
+    by_leader = ends(x(led).join(y(led), (F.col("first") == F.col("_f")) & fit & _reaches(inner, total)))
+    own, leaders = whole.select("rid", "tokens"), whole.select(F.col("rid").alias("first"), F.col("tokens").alias("_l"))
+    outside = led.join(own, F.col("set.rid") == F.col("rid")).join(leaders, "first").select("first", "set", "part", "shared", "open", F.explode(F.array_except("tokens", "_l")).alias("token"))
+    outside = staged(outside)
+    several = outside.groupBy("first", "token").agg(F.min("part").alias("_x"), F.max("part").alias("_y")).filter("_x < _y").select("first", "token")
+    outside = outside.join(several, ["first", "token"])
+    bound = inner + F.least(F.col("x.most") - F.col("xs"), F.col("y.most") - F.col("ys"))
+    by_token = ends(x(outside).join(y(outside), (F.col("first") == F.col("_f")) & (F.col("token") == F.col("_t")) & fit & ~_reaches(inner, total) & _reaches(bound, total)))
+    return by_leader.union(by_token)
 
 
 def _survivors(texts: DataFrame, sets: DataFrame) -> DataFrame:
@@ -214,7 +231,8 @@ def links(texts: DataFrame, sets: DataFrame) -> DataFrame:
     known = best.select("rid", F.col("leader").alias("via")).join(tried, (F.least("rid", "via") == F.col("a")) & (F.greatest("rid", "via") == F.col("b")))
     known = known.select("rid", "via", "shared").union(best.select("leader", "leader").distinct().join(able, F.col("leader") == F.col("rid")).select("rid", "rid", F.col("n").cast("int")))
     via = known.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("via", "shared"))).alias("via"))  # at most LEADERS + 1
-    about = able.join(labels, "rid", "left").join(via, "rid", "left").select("rid", F.coalesce("part", "rid").alias("part"), "via")
+    about = able.join(labels, "rid", "left").join(via, "rid", "left")
+    about = staged(about.select("rid", F.coalesce("part", "rid").alias("part"), "via"))
     placed = index.join(about, F.col("set.rid") == F.col("rid")).select("signature", "set", "part", "via")
     split = index.join(about, F.col("set.rid") == F.col("rid")).groupBy("signature").agg(
         F.min("part").alias("_x"), F.max("part").alias("_y"), F.mode("part").alias("main"), F.min("set.n").alias("least"), F.max("set.most").alias("reach")
@@ -223,9 +241,10 @@ def links(texts: DataFrame, sets: DataFrame) -> DataFrame:
     x = open_sets.filter("part != main").select("signature", F.col("set").alias("x"), F.col("part").alias("xp"), F.col("via").alias("xv"), F.col("main").alias("_m"))
     y = open_sets.select("signature", F.col("set").alias("y"), F.col("part").alias("yp"), F.col("via").alias("yv"))
     once = (F.col("yp") == F.col("_m")) | (F.col("x.rid") < F.col("y.rid"))
-    within = _reaches(_bound(), F.col("x.n") + F.col("y.n"))
-    pairs = x.join(y, (x["signature"] == y["signature"]) & (F.col("xp") != F.col("yp")) & once & _compatible("x", "y") & within)
-    pairs = pairs.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
+    apart = ~F.coalesce(F.arrays_overlap(F.map_keys("xv"), F.map_keys("yv")), F.lit(False))
+    across = x.join(y, (x["signature"] == y["signature"]) & (F.col("xp") != F.col("yp")) & once & _compatible("x", "y") & apart)
+    across = across.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"))
+    pairs = across.union(_led_pairs(able, about, whole)).distinct()
     rest = compared(staged(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")), whole)
     return staged(edges.union(rest.filter("linked").select("a", "b")))
 
