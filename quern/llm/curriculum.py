@@ -86,7 +86,7 @@ def curriculum_mix(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, tilts: Se
     def occurrence(epoch: Column) -> Column:
         start = epoch * F.col("source_size") + F.col("_before")
         take = F.greatest(F.least(F.col("size"), F.col("_goal") - start), F.lit(0))
-        return F.struct(epoch.alias("epoch"), take.alias("take"), inverted(start / F.col("_goal"), F.col("tilt")).alias("position"))
+        return F.struct(epoch.alias("epoch"), take.alias("take"), inverted(start / F.greatest("_goal", F.lit(1)), F.col("tilt")).alias("position"))
 
     rows = rows.withColumn("occurrences", F.filter(F.transform(epochs, occurrence), lambda o: o["take"] > 0))
     taken = F.aggregate("occurrences", F.lit(0).cast("long"), lambda n, o: n + o["take"])
