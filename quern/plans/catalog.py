@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quern.plans import algebra, descriptive, modelling, testing
+from quern.plans import algebra, descriptive, modelling, spatial, testing
 
 FLAGSHIP = "corr"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (descriptive, algebra, testing, modelling):
+for _part in (descriptive, algebra, testing, modelling, spatial):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
