@@ -47,6 +47,8 @@ EXTENSION = 16
 FREQUENT = 64
 #: Leaders that each set is compared with before open pairs are looked for.
 LEADERS = 3
+#: Smallest signatures of a set that are carried along, so that most pairs come up in one bucket only.
+LOWEST = 8
 
 
 def required(n: int) -> int:
@@ -177,8 +179,11 @@ def _led_pairs(able: DataFrame, about: DataFrame, whole: DataFrame) -> DataFrame
     parts = about.select(F.col("rid").alias("first"), F.col("part").alias("_leader_part"))
     met = about.filter("via IS NOT NULL").select("rid", "part", F.explode("via").alias("first", "shared"))
     led = able.join(met, "rid").join(parts, "first").select("rid", "n", "most", "part", "first", "shared", (F.col("part") != F.col("_leader_part")).alias("open"))
-    least = led.groupBy("first").agg(F.min("n").alias("least"), F.max("open").alias("_some")).filter("_some").drop("_some")
-    led = led.join(least, "first").filter(_reaches(F.col("most"), F.col("n") + F.greatest("least", _required(F.col("n")))))
+    rest = F.col("most") - F.col("shared")
+    reach = led.groupBy("first").agg(F.min("n").alias("least"), F.max("shared").alias("_s"), F.max(rest).alias("_r"), F.max(F.when(F.col("open"), F.col("shared"))).alias("_os"), F.max(F.when(F.col("open"), rest)).alias("_or"))
+    partner = F.col("n") + F.greatest("least", _required(F.col("n")))
+    some = F.when(F.col("open"), F.least("shared", "_s") + F.least(rest, F.col("_r"))).otherwise(F.least("shared", "_os") + F.least(rest, F.col("_or")))
+    led = led.join(reach.filter("_os IS NOT NULL"), "first").filter(_reaches(some, partner))
     led = staged(led.select("first", F.struct("rid", "n", "most").alias("set"), "part", "shared", "open"))
     x = lambda rows: rows.filter("open").select("first", *(c for c in rows.columns if c == "token"), F.col("set").alias("x"), F.col("part").alias("xp"), F.col("shared").alias("xs"))
     y = lambda rows: rows.select(F.col("first").alias("_f"), *(F.col(c).alias("_t") for c in rows.columns if c == "token"), F.col("set").alias("y"), F.col("part").alias("yp"), F.col("shared").alias("ys"), F.col("open").alias("yo"))
@@ -213,13 +218,15 @@ def links(texts: DataFrame, sets: DataFrame) -> DataFrame:
     rows = whole.select("rid", F.explode("tokens").alias("token"))
     most = F.col("n") - F.coalesce("lone", F.lit(0))
     able = whole.select("rid", "n").join(lone_tokens(rows), "rid", "left").select("rid", "n", most.alias("most")).filter(F.col("most") >= _required(F.col("n")))
-    able = staged(able)
-    heads = whole.join(able.select("rid", "most"), "rid").select("rid", "n", "most", F.explode(F.slice("tokens", F.lit(1), _extended_prefix(F.col("n")).cast("int"))).alias("token"))
+    whole = staged(whole.join(able.select("rid", "most"), "rid"))
+    able = whole.select("rid", "n", "most")
+    heads = whole.select("rid", "n", "most", F.explode(F.slice("tokens", F.lit(1), _extended_prefix(F.col("n")).cast("int"))).alias("token"))
     heads = staged(heads)
     counts = heads.groupBy("token").agg(F.count("*").alias("count")).filter("count > 1")
     shared = heads.join(counts, "token").groupBy("rid", "n", "most").agg(F.collect_list(F.struct("token", "count")).alias("shared"))
-    index = shared.mapInArrow(_signed, "rid long, n long, most long, signatures array<long>")
-    index = staged(index.select(F.explode("signatures").alias("signature"), F.struct("rid", "n", "most").alias("set")))
+    signed = staged(shared.mapInArrow(_signed, "rid long, n long, most long, signatures array<long>"))
+    index = signed.select(F.explode("signatures").alias("signature"), F.struct("rid", "n", "most").alias("set"))
+    lowest = signed.select("rid", F.slice(F.sort_array("signatures"), 1, LOWEST).alias("low"))
     leaders = index.groupBy("signature").agg(F.max_by("set", F.struct(F.col("set.most") / F.col("set.n"), "set.rid")).alias("leader"), F.count("*").alias("_n")).filter("_n > 1")
     met = index.join(leaders, "signature").filter((F.col("set.rid") != F.col("leader.rid")) & _compatible("set", "leader"))
     votes = met.groupBy(F.col("set.rid").alias("rid"), F.col("leader.rid").alias("leader")).agg(F.count("*").alias("votes"))
@@ -231,18 +238,19 @@ def links(texts: DataFrame, sets: DataFrame) -> DataFrame:
     known = best.select("rid", F.col("leader").alias("via")).join(tried, (F.least("rid", "via") == F.col("a")) & (F.greatest("rid", "via") == F.col("b")))
     known = known.select("rid", "via", "shared").union(best.select("leader", "leader").distinct().join(able, F.col("leader") == F.col("rid")).select("rid", "rid", F.col("n").cast("int")))
     via = known.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("via", "shared"))).alias("via"))  # at most LEADERS + 1
-    about = able.join(labels, "rid", "left").join(via, "rid", "left")
-    about = staged(about.select("rid", F.coalesce("part", "rid").alias("part"), "via"))
-    placed = index.join(about, F.col("set.rid") == F.col("rid")).select("signature", "set", "part", "via")
-    split = index.join(about, F.col("set.rid") == F.col("rid")).groupBy("signature").agg(
-        F.min("part").alias("_x"), F.max("part").alias("_y"), F.mode("part").alias("main"), F.min("set.n").alias("least"), F.max("set.most").alias("reach")
-    ).filter("_x < _y")
-    open_sets = staged(placed.join(split, "signature").filter(_reaches(F.col("set.most"), F.col("set.n") + F.greatest("least", _required(F.col("set.n"))))))
-    x = open_sets.filter("part != main").select("signature", F.col("set").alias("x"), F.col("part").alias("xp"), F.col("via").alias("xv"), F.col("main").alias("_m"))
-    y = open_sets.select("signature", F.col("set").alias("y"), F.col("part").alias("yp"), F.col("via").alias("yv"))
+    about = able.select("rid").join(labels, "rid", "left").join(via, "rid", "left").join(lowest, "rid", "left")
+    about = staged(about.select("rid", F.coalesce("part", "rid").alias("part"), "via", F.map_keys("via").alias("met"), "low"))
+    placed = index.join(about, F.col("set.rid") == F.col("rid")).select("signature", "set", "part", "met", "low")
+    split = placed.groupBy("signature").agg(
+        F.min("part").alias("_x"), F.max("part").alias("_y"), F.mode("part").alias("main"), F.min("set.n").alias("least")
+    ).filter("_x < _y").drop("_x", "_y")
+    open_sets = staged(placed.join(split, "signature").filter(_reaches(F.col("set.most"), F.col("set.n") + F.greatest("least", _required(F.col("set.n"))))).drop("least"))
+    x = open_sets.filter("part != main").select("signature", F.col("set").alias("x"), F.col("part").alias("xp"), F.col("met").alias("xm"), F.col("low").alias("xl"), F.col("main").alias("_m"))
+    y = open_sets.select("signature", F.col("set").alias("y"), F.col("part").alias("yp"), F.col("met").alias("ym"), F.col("low").alias("yl"))
     once = (F.col("yp") == F.col("_m")) | (F.col("x.rid") < F.col("y.rid"))
-    apart = ~F.coalesce(F.arrays_overlap(F.map_keys("xv"), F.map_keys("yv")), F.lit(False))
-    across = x.join(y, (x["signature"] == y["signature"]) & (F.col("xp") != F.col("yp")) & once & _compatible("x", "y") & apart)
+    apart = ~F.coalesce(F.arrays_overlap("xm", "ym"), F.lit(False))
+    before = F.exists(F.array_intersect("xl", "yl"), lambda low: low < x["signature"])  # the pair comes up there
+    across = x.join(y, (x["signature"] == y["signature"]) & (F.col("xp") != F.col("yp")) & once & _compatible("x", "y") & apart & ~before)
     across = across.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"))
     pairs = across.union(_led_pairs(able, about, whole)).distinct()
     rest = compared(staged(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")), whole)
