@@ -15,43 +15,46 @@ from pyspark.sql import functions as F
 
 from quern.llm import curriculum, mil_quality, packing, secrets, token_join
 from quern.llm.words import n_words, words
-from quern.session import share_package, shared_dir
+from quern.session import share_package, shared_dir, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words whose ids a worker remembers: workers live through all stages, so less than the operator's default.
+REMEMBERED = 250_000
 #: Documents that score less are rejected.
 LEAST_QUALITY = 0.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on the labels of these documents, accepts."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     net = mil_quality.train(docs, labels)
-    docs = docs.select(*COLUMNS)
-    scored = mil_quality.score(docs.withColumn("_scored", F.col("text")), net, keep=COLUMNS, text="_scored")
+    scored = mil_quality.score(docs.select(*COLUMNS), net, keep=COLUMNS)
     return scored.filter(F.col("score") >= LEAST_QUALITY).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the least id, and of rows alike, one."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     found = token_join.jaccard_components(docs, keep=True)
-    firsts = found.filter("first").select(F.col("doc_id").alias("_d"), "_copy").distinct()
-    rows = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_own") == F.col("_copy"))
-    return rows.join(firsts, same, "left_semi").select(*COLUMNS)
+    firsts = found.filter("first").select("_row").distinct()
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    return rows.join(firsts, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in their text replaced by a mark."""
-    docs = docs.select(*COLUMNS)
-    scanned = secrets.scan(docs.withColumn("_scanned", F.col("text")), text="_scanned", keep=tuple(c for c in COLUMNS if c != "n_chars"))
-    text = F.when(F.col("text").isNotNull(), F.col("_masked"))
-    return scanned.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    small_batches(spark)
+    scanned = secrets.scan(docs.select(*COLUMNS), keep=("doc_id", "lang", "source"))
+    masked = F.col("_masked").alias("text"), F.length("_masked").cast("long").alias("n_chars")
+    return scanned.select("doc_id", masked[0], "lang", "source", masked[1])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training order: each document as often as the mix takes it, sorted by range of position; the last document
     that a source's target reaches is cut to the words taken."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS).withColumn("_key", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit(""))))
     mixed = curriculum.curriculum_mix(docs.select(F.col("_key").alias("doc_id"), "source", n_words(F.col("text")).alias("size")))
     times = mixed.select(F.col("doc_id").alias("_key"), F.explode("occurrences").alias("o")).dropDuplicates(["_key", "o"])
@@ -64,7 +67,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens: one row for each piece of a document."""
-    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+    small_batches(spark)
+    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED))
 
 
 STAGES = [

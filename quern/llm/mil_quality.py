@@ -178,13 +178,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> GatedAtte
     return GatedAttention.fit(x, text, rows.quality.to_numpy())
 
 
-def _scoring(net: GatedAttention) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scoring(net: GatedAttention, text: str, drop: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in portions(batch, "_text", 1 << 20):
-                x, text = passages(data, offsets)
-                found = pa.array(net.scores(x, text, len(part)), pa.float64())
-                kept = [n for n in part.schema.names if n != "_text"]
+            for part, data, offsets in portions(batch, text):
+                x, owner = passages(data, offsets)
+                found = pa.array(net.scores(x, owner, len(part)), pa.float64())
+                kept = [n for n in part.schema.names if not (drop and n == text)]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), found], names=[*kept, "score"])
 
     return run
@@ -192,6 +192,7 @@ def _scoring(net: GatedAttention) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
 def score(docs: DataFrame, net: GatedAttention, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keep columns and the score of each row's whole text."""
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(_scoring(net), f"{kept}, score double")
+    drop = text not in keep
+    rows = docs.select(*keep, *([text] if drop else []))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if not (drop and f.name == text))
+    return rows.mapInArrow(_scoring(net, text, drop), f"{kept}, score double")

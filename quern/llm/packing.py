@@ -52,7 +52,7 @@ class WordIds(dict):
 
     def __init__(self, tokenizer, end_of_word: str):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.most = tokenizer, REMEMBERED
         vocabulary = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith(end_of_word)]] = True
@@ -74,7 +74,7 @@ class WordIds(dict):
     def of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         plain = [None if "<|" in t or not _PLAIN.fullmatch(t) else _SPLIT.findall(t.lower()) for t in texts]
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.clear()
         if unknown := set().union(*filter(None, plain)).difference(self):
             self.learn(list(unknown))
@@ -106,9 +106,10 @@ def _portions(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordB
         start = stop
 
 
-def _pieces(path: str, capacity: int, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pieces(path: str, capacity: int, end_id: int, remembered: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = load(path), np.asarray([end_id], "<u4").tobytes()
+        words.most = remembered
         for batch in batches:
             rows = []
             for part in _portions(batch):
@@ -127,10 +128,12 @@ def _pieces(path: str, capacity: int, end_id: int) -> Callable[[Iterator[pa.Reco
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of the pieces of every document: its ids, then end_id."""
+def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, remembered: int = REMEMBERED) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of the pieces of every document: its ids, then end_id.
+
+    remembered words a worker bound its memory (about 200 bytes each); fewer cost more calls of the tokenizer."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_pieces(path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(_pieces(path, capacity, end_id, remembered), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _best_configuration(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

@@ -175,7 +175,7 @@ def _scanning(mean_length: float, least: int, names: list[str]) -> Callable[[Ite
             spans, texts = [], []
             for value in batch.column("_text"):
                 text = value.as_py()
-                spans.append(spans_of(text, mean_length, least))
+                spans.append(spans_of(text or "", mean_length, least))
                 texts.append(masked(text, spans[-1]) if spans[-1] else text)
             rows = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in one] for one in spans]
             kept = [batch.column(n) for n in names]
@@ -186,9 +186,9 @@ def _scanning(mean_length: float, least: int, names: list[str]) -> Callable[[Ite
 
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), fdr: float = FDR) -> DataFrame:
-    """keep columns with _spans (kind, start, end) and _masked, the text with its secrets replaced."""
+    """keep columns with _spans (kind, start, end) and _masked, the text with its secrets replaced (null where it is)."""
     mean_length, least = threshold(docs, text, fdr)
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = docs.select(*keep, F.col(text).alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
     schema = f"{kept}, _spans array<struct<kind:string,start:bigint,end:bigint>>, _masked string"
     return rows.mapInArrow(_scanning(mean_length, least, list(keep)), schema)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 WIDTH = 5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -89,8 +90,8 @@ def set_key(hashes: np.ndarray) -> int:
 
 
 def portions(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of a batch with about `most` bytes of text each: (slice, bytes, offsets). The column has no nulls."""
-    texts = batch.column(column).cast(pa.large_string())
+    """Slices of a batch with about `most` bytes of text each: (slice, bytes, offsets). Null counts as empty."""
+    texts = pc.fill_null(batch.column(column), "").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     start = 0

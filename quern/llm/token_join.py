@@ -258,8 +258,8 @@ def links(texts: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", keep: bool = False) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id; with keep also _copy, a hash of the text, and first: whether the row's
-    (id, text) is the least of its component."""
+    """Per row: doc_id, n_shingles, component_id; with keep also _row, a hash of id and text, and first: whether the
+    row's (id, text) is the least of its component."""
     whole = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select("doc_id", F.xxhash64(whole).alias("_copy"), F.xxhash64("doc_id", whole).alias("_row"), whole.alias("_text"))
     own = staged(texts.mapInArrow(_sets, "doc_id long, _copy long, _row long, rid long, n long"))
@@ -271,5 +271,5 @@ def jaccard_components(docs: DataFrame, text: str = "text", keep: bool = False)
     firsts = placed.groupBy("part").agg(F.min("rep").alias("first"))
     placed = placed.join(firsts, "part").select(F.col("rid").alias("_rid"), "first")
     rows = own.join(placed, F.col("rid") == F.col("_rid"), "left")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("_rid").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), "_copy", (F.col("_rid").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("_copy") == F.col("first.copy")))).alias("first"))
-    return out if keep else out.drop("_copy", "first")
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("_rid").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), "_row", (F.col("_rid").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("_copy") == F.col("first.copy")))).alias("first"))
+    return out if keep else out.drop("_row", "first")
