@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import tails
 from quern.functions.arrays import doubles
-from quern.operators import models
+from quern.operators import augment, models
 from quern.sources.tables import read
 
 KEY = ["l_suppkey"]
@@ -138,3 +139,28 @@ ORACLE_SQL = {
     "crossed_counts": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), (l_returnflag, l_linestatus))",
     "nested_counts": "SELECT l_suppkey, l_linenumber, count(*) AS n, round(sum(l_quantity), 4) AS s FROM lineitem GROUP BY GROUPING SETS ((l_suppkey, l_linenumber), (l_suppkey))",
 }
+
+
+def t_test(spark, sf_dir):
+    """Slope of price on quantity by supplier with its two-sided p-value."""
+    out = models.t_contrast(_fit(spark, sf_dir, 2), [0.0, 1.0])
+    return out.select("l_suppkey", "t", tails.t_pvalue(F.col("t"), (F.col("n") - F.col("rank")).cast("double")).alias("p"))
+
+
+def gamma_contrast(spark, sf_dir):
+    out = augment.gamma_contrast(read(spark, sf_dir, "events").select("event_id", "event_type", "value"), "value", 0.7, ["event_type"])
+    return out.select("event_id", F.round("contrast", 6).alias("contrast"))
+
+
+def wasserstein(spark, sf_dir):
+    """Transport cost of the plan of `sinkhorn`."""
+    plan = sinkhorn(spark, sf_dir)
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("i"), F.col("n_regionkey").alias("r"))
+    cost = F.abs(F.col("r") - F.col("j")) / 2.0
+    return plan.join(n, "i").agg(F.round(F.sum(F.col("p") * cost), 6).alias("cost"))
+
+
+QUERIES |= {"t_test": t_test, "gamma_contrast": gamma_contrast, "wasserstein": wasserstein}
+ORACLE_SQL |= {
+    "gamma_contrast": "SELECT event_id, round(pow(least(greatest((value - min(value) OVER w) / greatest(max(value) OVER w - min(value) OVER w, 1e-12), 0), 1), 0.7) * greatest(max(value) OVER w - min(value) OVER w, 1e-12) + min(value) OVER w, 6) AS contrast FROM events WINDOW w AS (PARTITION BY event_type)",
+}
