@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -43,8 +43,8 @@ from quern.session import staged
 PERCENT = 75
 #: The extended prefix has n / EXTENSION more tokens.
 EXTENSION = 16
-#: A token in more sets than this is of the frequent class.
-FREQUENT = 64
+#: A token in more than LEAST_FREQUENT sets, and in one set of FREQUENT_SHARE, is of the frequent class.
+LEAST_FREQUENT, FREQUENT_SHARE = 64, 1000
 #: Leaders that each set is compared with before open pairs are looked for.
 LEADERS = 3
 #: Smallest signatures of a set that are carried along, so that most pairs come up in one bucket only.
@@ -117,10 +117,10 @@ def group_counts(n: int) -> list[int]:
     return out
 
 
-def signatures(n: int, tokens: list[int], counts: list[int]) -> list[int]:
-    """What a set of n indexes for the shared tokens of its extended prefix, each in `counts` sets."""
-    out = [t for t, c in zip(tokens, counts) if c <= FREQUENT]
-    frequent = np.array(sorted(t for t, c in zip(tokens, counts) if c > FREQUENT), np.uint64)
+def signatures(n: int, tokens: list[int], counts: list[int], most: int) -> list[int]:
+    """What a set of n indexes for the shared tokens of its extended prefix, each in `counts` sets, rare up to `most`."""
+    out = [t for t, c in zip(tokens, counts) if c <= most]
+    frequent = np.array(sorted(t for t, c in zip(tokens, counts) if c > most), np.uint64)
     if not len(frequent):
         return out
     places = mixed(frequent)
@@ -136,13 +136,16 @@ def signatures(n: int, tokens: list[int], counts: list[int]) -> list[int]:
     return out
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = zip(batch.column("n").to_pylist(), batch.column("shared").to_pylist())
-        found = [signatures(n, [s["token"] for s in shared], [s["count"] for s in shared]) for n, shared in rows]
-        kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "shared"]
-        names = [name for name in batch.schema.names if name != "shared"]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.list_(pa.int64()))], names=[*names, "signatures"])
+def _signing(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("n").to_pylist(), batch.column("shared").to_pylist())
+            found = [signatures(n, [s["token"] for s in shared], [s["count"] for s in shared], most) for n, shared in rows]
+            kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "shared"]
+            names = [name for name in batch.schema.names if name != "shared"]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.list_(pa.int64()))], names=[*names, "signatures"])
+
+    return run
 
 
 def lone_tokens(rows: DataFrame) -> DataFrame:
@@ -224,29 +227,35 @@ def links(texts: DataFrame, sets: DataFrame) -> DataFrame:
     heads = staged(heads)
     counts = heads.groupBy("token").agg(F.count("*").alias("count")).filter("count > 1")
     shared = heads.join(counts, "token").groupBy("rid", "n", "most").agg(F.collect_list(F.struct("token", "count")).alias("shared"))
-    signed = staged(shared.mapInArrow(_signed, "rid long, n long, most long, signatures array<long>"))
+    frequent = max(LEAST_FREQUENT, sets.count() // FREQUENT_SHARE)
+    signed = staged(shared.mapInArrow(_signing(frequent), "rid long, n long, most long, signatures array<long>"))
     index = signed.select(F.explode("signatures").alias("signature"), F.struct("rid", "n", "most").alias("set"))
     lowest = signed.select("rid", F.slice(F.sort_array("signatures"), 1, LOWEST).alias("low"))
     leaders = index.groupBy("signature").agg(F.max_by("set", F.struct(F.col("set.most") / F.col("set.n"), "set.rid")).alias("leader"), F.count("*").alias("_n")).filter("_n > 1")
     met = index.join(leaders, "signature").filter((F.col("set.rid") != F.col("leader.rid")) & _compatible("set", "leader"))
-    votes = met.groupBy(F.col("set.rid").alias("rid"), F.col("leader.rid").alias("leader")).agg(F.count("*").alias("votes"))
+    votes = met.groupBy(F.col("set.rid").alias("rid"), F.col("leader.rid").alias("leader")).agg(F.count("*").alias("votes"), F.first("set.n").alias("n"))
     order = Window.partitionBy("rid").orderBy(F.desc("votes"), "leader")
     best = votes.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= LEADERS)
     tried = staged(compared(best.select(F.least("rid", "leader").alias("a"), F.greatest("rid", "leader").alias("b")).distinct(), whole))
     edges = tried.filter("linked").select("a", "b")
     labels = connected_components(edges).withColumnsRenamed({"v": "rid", "label": "part"})
-    known = best.select("rid", F.col("leader").alias("via")).join(tried, (F.least("rid", "via") == F.col("a")) & (F.greatest("rid", "via") == F.col("b")))
-    known = known.select("rid", "via", "shared").union(best.select("leader", "leader").distinct().join(able, F.col("leader") == F.col("rid")).select("rid", "rid", F.col("n").cast("int")))
+    known = best.select("rid", "n", F.col("leader").alias("via")).join(tried, (F.least("rid", "via") == F.col("a")) & (F.greatest("rid", "via") == F.col("b")))
+    known = known.filter(2 * F.col("shared") >= F.col("n")).select("rid", "via", "shared").union(best.select("leader", "leader").distinct().join(able, F.col("leader") == F.col("rid")).select("rid", "rid", F.col("n").cast("int")))
     via = known.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("via", "shared"))).alias("via"))  # at most LEADERS + 1
     about = able.select("rid").join(labels, "rid", "left").join(via, "rid", "left").join(lowest, "rid", "left")
     about = staged(about.select("rid", F.coalesce("part", "rid").alias("part"), "via", F.map_keys("via").alias("met"), "low"))
-    placed = index.join(about, F.col("set.rid") == F.col("rid")).select("signature", "set", "part", "met", "low")
+    placed = staged(index.join(about.select("rid", "part"), F.col("set.rid") == F.col("rid")).select("signature", "set", "part"))
     split = placed.groupBy("signature").agg(
         F.min("part").alias("_x"), F.max("part").alias("_y"), F.mode("part").alias("main"), F.min("set.n").alias("least")
     ).filter("_x < _y").drop("_x", "_y")
-    open_sets = staged(placed.join(split, "signature").filter(_reaches(F.col("set.most"), F.col("set.n") + F.greatest("least", _required(F.col("set.n"))))).drop("least"))
-    x = open_sets.filter("part != main").select("signature", F.col("set").alias("x"), F.col("part").alias("xp"), F.col("met").alias("xm"), F.col("low").alias("xl"), F.col("main").alias("_m"))
-    y = open_sets.select("signature", F.col("set").alias("y"), F.col("part").alias("yp"), F.col("met").alias("ym"), F.col("low").alias("yl"))
+    open_sets = placed.join(split, "signature").filter(_reaches(F.col("set.most"), F.col("set.n") + F.greatest("least", _required(F.col("set.n")))))
+    open_sets = staged(open_sets.drop("least"))
+    known = about.select("rid", "met", "low")
+    x = open_sets.filter("part != main").join(known, F.col("set.rid") == F.col("rid"))
+    asked = x.select("signature").distinct()
+    x = x.select("signature", F.col("set").alias("x"), F.col("part").alias("xp"), F.col("met").alias("xm"), F.col("low").alias("xl"), F.col("main").alias("_m"))
+    y = open_sets.join(asked, "signature", "left_semi").join(known, F.col("set.rid") == F.col("rid"))
+    y = y.select("signature", F.col("set").alias("y"), F.col("part").alias("yp"), F.col("met").alias("ym"), F.col("low").alias("yl"))
     once = (F.col("yp") == F.col("_m")) | (F.col("x.rid") < F.col("y.rid"))
     apart = ~F.coalesce(F.arrays_overlap("xm", "ym"), F.lit(False))
     before = F.exists(F.array_intersect("xl", "yl"), lambda low: low < x["signature"])  # the pair comes up there
