@@ -19,7 +19,7 @@ from quern.session import share_package, shared_dir, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Words whose ids a worker remembers: workers live through all stages, so less than the operator's default.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Documents that score less are rejected.
 LEAST_QUALITY = 0.5
 

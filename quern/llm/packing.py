@@ -121,6 +121,8 @@ def _pieces(path: str, capacity: int, end_id: int, remembered: int) -> Callable[
                         rows.append((doc, piece, at // 4, len(cut) // 4, zlib.crc32(cut)))
             columns = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECES)], schema=_PIECES)
+        if remembered < REMEMBERED:  # memory matters more: the tokenizer goes with its words
+            _loaded.pop(path, None)
 
     return run
 

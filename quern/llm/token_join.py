@@ -117,33 +117,34 @@ def group_counts(n: int) -> list[int]:
     return out
 
 
-def signatures(n: int, tokens: list[int], counts: list[int], most: int) -> list[int]:
+def signatures(n: int, tokens: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
     """What a set of n indexes for the shared tokens of its extended prefix, each in `counts` sets, rare up to `most`."""
-    out = [t for t, c in zip(tokens, counts) if c <= most]
-    frequent = np.array(sorted(t for t, c in zip(tokens, counts) if c > most), np.uint64)
-    if not len(frequent):
-        return out
+    out = [tokens[counts <= most]]
+    frequent = np.sort(tokens[counts > most]).astype(np.uint64)
     places = mixed(frequent)
-    for groups in group_counts(n):
+    for groups in group_counts(n) if len(frequent) else ():
         if not groups:
-            out += frequent.astype(np.int64).tolist()
+            out.append(frequent.astype(np.int64))
             continue
         members = defaultdict(list)
         for place, token in zip((places % np.uint64(groups)).tolist(), frequent.tolist()):
             members[place].append(token)
         pairs = np.array([p for own in members.values() for p in combinations(own, 2)], np.uint64).reshape(-1, 2)
-        out += mixed(mixed(pairs[:, 0]) * np.uint64(31) + pairs[:, 1] + np.uint64(groups)).astype(np.int64).tolist()
-    return out
+        out.append(mixed(mixed(pairs[:, 0]) * np.uint64(31) + pairs[:, 1] + np.uint64(groups)).astype(np.int64))
+    return np.concatenate(out)
 
 
 def _signing(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column("n").to_pylist(), batch.column("shared").to_pylist())
-            found = [signatures(n, [s["token"] for s in shared], [s["count"] for s in shared], most) for n, shared in rows]
-            kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "shared"]
+            shared = batch.column("shared")
+            ends, inner = shared.offsets.to_numpy(), shared.values
+            tokens, counts = inner.field("token").to_numpy(), inner.field("count").to_numpy()
+            found = [signatures(n, tokens[a:b], counts[a:b], most) for n, a, b in zip(batch.column("n").to_pylist(), ends, ends[1:])]
+            lengths = np.concatenate([[0], np.cumsum([len(f) for f in found])])
+            arrays = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]), pa.int64()))
             names = [name for name in batch.schema.names if name != "shared"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.list_(pa.int64()))], names=[*names, "signatures"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), arrays], names=[*names, "signatures"])
 
     return run
 
