@@ -59,7 +59,22 @@ def staged(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quern-{uuid.uuid4().hex}"
+    release_shuffles(spark)
     df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of jobs that have ended
+    release_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of jobs that have ended."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables. Only for those that no later step reads: what came of them is staged itself."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
