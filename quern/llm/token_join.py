@@ -14,7 +14,8 @@ A pair that shares no rare token of its prefixes shares as many frequent ones as
 combination: no link is lost. Buckets are first linked through leaders, the sets with the largest shared part: each set
 is compared with the LEADERS leaders it meets most often. Pairs in one component need no check any more. A pair between
 components is open if it can reach the similarity by size, by shared part, and by what both share with a leader (of a
-leader's tokens two sets share at most what the lesser has); all open pairs are verified. No group is paired with itself,
+leader's tokens two sets share at most what the lesser has); all open pairs are verified, first by bitmaps of parities,
+which only rule out, then exactly. No group is paired with itself,
 and exact copies are one set throughout.
 
 Defined results: null and wordless texts have no shingles, n_shingles 0, and are linked with nothing (component_id is
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.graph import connected_components
 from quern.llm.shingles import mixed, portions, set_key, shingle_sets
-from quern.session import staged
+from quern.session import discard, staged
 
 #: A pair is linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
@@ -45,6 +46,8 @@ PERCENT = 75
 EXTENSION = 16
 #: A token in more than LEAST_FREQUENT sets, and in one set of FREQUENT_SHARE, is of the frequent class.
 LEAST_FREQUENT, FREQUENT_SHARE = 64, 1000
+#: Rows of eight bytes that are broadcast at most.
+MOST_BROADCAST = 2_000_000
 #: Leaders that each set is compared with before open pairs are looked for.
 LEADERS = 3
 #: Smallest signatures of a set that are carried along, so that most pairs come up in one bucket only.
@@ -102,7 +105,16 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lengths = np.fromiter(map(len, seen.values()), np.int64, len(seen))
             tokens = np.concatenate([*seen.values(), np.zeros(0, np.uint64)]) >> np.uint64(1)
             arrays = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], lengths.cumsum()]), pa.int32()), pa.array(tokens.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(lengths), arrays], names=["rid", "n", "tokens"])
+            bits = pa.array([parity(s >> np.uint64(1)) for s in seen.values()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(lengths), arrays, bits], names=["rid", "n", "tokens", "bits"])
+
+
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap of a set, as 64-bit numbers: bit i tells whether an odd number of its tokens has i as low bits. It has
+    a bit a token, or up to two; each token in which two sets differ changes one bit of what theirs differ in."""
+    size = max(64, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def group_counts(n: int) -> list[int]:
@@ -149,6 +161,24 @@ def _signing(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
+def _halved(bits: Column, other: Column) -> Column:
+    """The bitmap at half its size where the other has fewer bits; sizes of compatible sets differ by a factor 2 at most."""
+    half = (F.size(bits) / 2).cast("int")
+    folded = F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(bits) > F.size(other), folded).otherwise(bits)
+
+
+def near_by_parity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps do not rule out that they are similar enough: similar sets differ in no more than
+    a seventh of their tokens (for 75 %), and bitmaps differ in no more bits than sets in tokens. No link is lost."""
+    left = sets.select(F.col("rid").alias("a"), F.col("n").alias("_an"), F.col("bits").alias("_ab"))
+    right = sets.select(F.col("rid").alias("b"), F.col("n").alias("_bn"), F.col("bits").alias("_bb"))
+    x, y = _halved(F.col("_ab"), F.col("_bb")), _halved(F.col("_bb"), F.col("_ab"))
+    apart = F.aggregate(F.zip_with(x, y, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, one: total + one)
+    total = F.col("_an") + F.col("_bn")
+    return pairs.join(left, "a").join(right, "b").filter(apart * (100 + PERCENT) <= total * (100 - PERCENT)).select("a", "b")
+
+
 def lone_tokens(rows: DataFrame) -> DataFrame:
     """(rid, lone): how many of the tokens in rows (rid, token) no other rid has. Sums combine before the shuffle."""
     owners = rows.groupBy("token").agg(F.min("rid").alias("rid"), F.max("rid").alias("_other"))
@@ -212,17 +242,20 @@ def _survivors(texts: DataFrame, sets: DataFrame) -> DataFrame:
     lone = lone_tokens(prefixes.select("rid", F.explode("tokens").alias("token")))
     shared = _extended_prefix(F.col("n")) - F.coalesce("lone", F.lit(0))
     likely = staged(sets.join(lone, "rid", "left").filter(shared >= _extension(_required(F.col("n")))).select(F.col("rep.row").alias("_row")))
-    again = texts.join(likely, "_row", "left_semi").dropDuplicates(["_row"])  # both by _row: one exchange of texts
-    return staged(again.select("_text").mapInArrow(_whole, "rid long, n long, tokens array<long>"))
+    # few enough rows of one number each go to all executors; else texts are exchanged by _row, as for dropDuplicates
+    likely = F.broadcast(likely) if likely.count() <= MOST_BROADCAST else likely.hint("merge")
+    again = texts.join(likely, "_row", "left_semi").dropDuplicates(["_row"])
+    return staged(again.select("_text").mapInArrow(_whole, "rid long, n long, tokens array<long>, bits array<long>"))
 
 
 def links(texts: DataFrame, sets: DataFrame) -> DataFrame:
     """Edges (a, b) of rids that connect every two sets that similar pairs connect."""
-    whole = _survivors(texts, sets)
+    survivors = whole = _survivors(texts, sets)
     rows = whole.select("rid", F.explode("tokens").alias("token"))
     most = F.col("n") - F.coalesce("lone", F.lit(0))
     able = whole.select("rid", "n").join(lone_tokens(rows), "rid", "left").select("rid", "n", most.alias("most")).filter(F.col("most") >= _required(F.col("n")))
     whole = staged(whole.join(able.select("rid", "most"), "rid"))
+    discard(survivors)
     able = whole.select("rid", "n", "most")
     heads = whole.select("rid", "n", "most", F.explode(F.slice("tokens", F.lit(1), _extended_prefix(F.col("n")).cast("int"))).alias("token"))
     heads = staged(heads)
@@ -230,6 +263,7 @@ def links(texts: DataFrame, sets: DataFrame) -> DataFrame:
     shared = heads.join(counts, "token").groupBy("rid", "n", "most").agg(F.collect_list(F.struct("token", "count")).alias("shared"))
     frequent = max(LEAST_FREQUENT, sets.count() // FREQUENT_SHARE)
     signed = staged(shared.mapInArrow(_signing(frequent), "rid long, n long, most long, signatures array<long>"))
+    discard(heads)
     index = signed.select(F.explode("signatures").alias("signature"), F.struct("rid", "n", "most").alias("set"))
     lowest = signed.select("rid", F.slice(F.sort_array("signatures"), 1, LOWEST).alias("low"))
     leaders = index.groupBy("signature").agg(F.max_by("set", F.struct(F.col("set.most") / F.col("set.n"), "set.rid")).alias("leader"), F.count("*").alias("_n")).filter("_n > 1")
@@ -251,6 +285,7 @@ def links(texts: DataFrame, sets: DataFrame) -> DataFrame:
     ).filter("_x < _y").drop("_x", "_y")
     open_sets = placed.join(split, "signature").filter(_reaches(F.col("set.most"), F.col("set.n") + F.greatest("least", _required(F.col("set.n")))))
     open_sets = staged(open_sets.drop("least"))
+    discard(placed)
     known = about.select("rid", "met", "low")
     x = open_sets.filter("part != main").join(known, F.col("set.rid") == F.col("rid"))
     asked = x.select("signature").distinct()
@@ -263,8 +298,11 @@ def links(texts: DataFrame, sets: DataFrame) -> DataFrame:
     across = x.join(y, (x["signature"] == y["signature"]) & (F.col("xp") != F.col("yp")) & once & _compatible("x", "y") & apart & ~before)
     across = across.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"))
     pairs = across.union(_led_pairs(able, about, whole)).distinct()
-    rest = compared(staged(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")), whole)
-    return staged(edges.union(rest.filter("linked").select("a", "b")))
+    pairs = staged(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    near = staged(near_by_parity(pairs, whole))
+    found = staged(edges.union(compared(near, whole).filter("linked").select("a", "b")))
+    discard(pairs, near, open_sets, about, tried, signed, whole)
+    return found
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", keep: bool = False) -> DataFrame:

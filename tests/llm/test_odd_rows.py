@@ -1,7 +1,10 @@
 """Defined results for nulls, empty and long texts, repeated rows, ties, empty tables and clashing column names."""
 
+import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quern.llm import avi_media, bpe_count, chat_parts, curriculum, license_scan, mil_quality, packing, quality_llr, secrets, token_join
 from quern.llm.words import n_words
@@ -151,3 +154,26 @@ def test_parts_become_placeholders_and_texts_come_back(spark):
     assert chat_parts.unescape(match[2]) == f"{tricky}<image 0.1><audio 0.2>"
     assert turns[2].expanded_tokens == 512 and turns[3].role == "" and len(turns) == 4
     assert chat_parts.digest(chat_parts.format_turns(rows)).count() == 2
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(1, 300), st.integers(0, 80), st.integers(0, 80), st.integers(0, 2**32))
+def test_bitmaps_differ_in_no_more_bits_than_sets(same, left, right, seed):
+    tokens = np.random.default_rng(seed).choice(2**40, same + left + right, replace=False).astype(np.uint64)
+    a, b = token_join.parity(tokens[: same + left]), token_join.parity(np.concatenate([tokens[:same], tokens[same + left :]]))
+    size = min(len(a), len(b))
+    fold = lambda bits: np.bitwise_xor.reduce(bits.reshape(-1, size))
+    assert np.bitwise_count((fold(a) ^ fold(b)).view(np.uint64)).sum() <= left + right
+
+
+def test_parity_filter_keeps_every_similar_pair(spark):
+    rng, sets = np.random.default_rng(5), []
+    for n in (1, 3, 63, 65, 120, 130, 700):
+        base = rng.choice(2**40, n + n // 3, replace=False)
+        sets += [sorted(base[:n].tolist()), sorted(base.tolist()), sorted(base[n // 8 : n + n // 8].tolist()), sorted(rng.choice(2**40, n, replace=False).tolist())]
+    rows = [(i, len(s), s, token_join.parity(np.array(s, np.uint64)).tolist()) for i, s in enumerate(sets)]
+    whole = spark.createDataFrame(rows, "rid long, n long, tokens array<long>, bits array<long>")
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 4 * min(len(sets[a]), len(sets[b])) >= 3 * max(len(sets[a]), len(sets[b]))]
+    similar = {(a, b) for a, b in pairs if 7 * len(set(sets[a]) & set(sets[b])) >= 3 * (len(sets[a]) + len(sets[b]))}
+    near = {tuple(r) for r in token_join.near_by_parity(spark.createDataFrame(pairs, "a long, b long"), whole).collect()}
+    assert similar <= near and len(similar) >= 10 and len(near) < len(pairs)
