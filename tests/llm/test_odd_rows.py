@@ -177,3 +177,9 @@ def test_parity_filter_keeps_every_similar_pair(spark):
     similar = {(a, b) for a, b in pairs if 7 * len(set(sets[a]) & set(sets[b])) >= 3 * (len(sets[a]) + len(sets[b]))}
     near = {tuple(r) for r in token_join.near_by_parity(spark.createDataFrame(pairs, "a long, b long"), whole).collect()}
     assert similar <= near and len(similar) >= 10 and len(near) < len(pairs)
+
+
+def test_components_agree_when_too_many_rows_for_a_broadcast(spark, odd, monkeypatch):
+    some = sorted(map(str, token_join.jaccard_components(odd).collect()))
+    monkeypatch.setattr(token_join, "MOST_BROADCAST", 0)
+    assert sorted(map(str, token_join.jaccard_components(odd).collect())) == some
