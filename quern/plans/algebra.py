@@ -130,14 +130,14 @@ def coaffiliation(spark, sf_dir):
 
 
 def components(spark, sf_dir):
-    edges = _rare_pairs(spark, sf_dir)
+    edges = _line_pairs(spark, sf_dir)
     nodes = _suppliers(spark, sf_dir).select("id")
     return graph.connected_components(edges, nodes).orderBy("id")
 
 
-def _rare_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers on consecutive lines of an order, of orders whose key is a multiple of 64."""
-    rows = read(spark, sf_dir, "lineitem").filter("l_orderkey % 64 = 0").select("l_orderkey", "l_linenumber", "l_suppkey")
+def _line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers on consecutive lines of an order."""
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     after = rows.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("dst"))
     return rows.join(after, ["l_orderkey", "l_linenumber"]).select(F.col("l_suppkey").alias("src"), "dst").distinct()
 
