@@ -6,8 +6,9 @@ passage to a representation h; gated attention, softmax over w . (tanh(V h) * si
 text; the weighted representation is scored by a logistic layer. All layers are learned together from labels of whole
 texts.
 
-Training uses at most SAMPLE labelled rows, those with the smallest hash of the id, whose first PASSAGES_SEEN passages
-(spread evenly over the text) go to one task; scoring runs over all passages of all rows.
+Training uses at most SAMPLE labelled rows, those with the smallest hash of the id, and all passages of each. Their
+features are staged; the driver holds them while they are at most MOST_HELD bytes, beyond that tasks compute the gradients
+of the bags of a step and only sums the size of the weights go to the driver. Scoring runs over all passages of all rows.
 
 Defined results: null text is empty; an empty text is one passage without characters and gets its score as any other.
 Labels that are null don't count, nor do ids outside the table. Repeated rows each get the same score. With labels of one
@@ -17,6 +18,7 @@ source and id are no inputs of a score.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,10 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.shingles import portions
+from quern.session import discard, staged
 
 PASSAGE = 512
 SAMPLE = 3000
-PASSAGES_SEEN = 8
+#: Bytes of features that the driver holds.
+MOST_HELD = 64 << 20
 PAIR_BUCKETS = 96
 HIDDEN, GATE = 24, 12
 STEPS, BATCH, RATE, DECAY = 500, 128, 0.01, 1e-4
@@ -104,22 +108,31 @@ class GatedAttention:
     @classmethod
     def fit(cls, x: np.ndarray, text: np.ndarray, y: np.ndarray, seed: int = 7) -> GatedAttention:
         """Adam on the logistic loss, each class weighing the same; x, text: passages, sorted by text; y by text."""
+        first = np.searchsorted(text, np.arange(len(y) + 1))
+
+        def gradients(net: GatedAttention, chosen: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+            rows = np.concatenate([np.arange(first[i], first[i + 1]) for i in chosen])
+            own = np.repeat(np.arange(len(chosen)), first[chosen + 1] - first[chosen])
+            return net._gradients(x[rows].astype(np.float64), own, y[chosen], weight)
+
+        return cls.learned(x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64), y, gradients, seed)
+
+    @classmethod
+    def learned(cls, mean: np.ndarray, spread: np.ndarray, y: np.ndarray, gradients: Callable[[GatedAttention, np.ndarray, np.ndarray], dict[str, np.ndarray]], seed: int = 7) -> GatedAttention:
+        """Adam over steps of BATCH texts; gradients: of the network at chosen texts with their weights, divided by their number."""
         rng = np.random.default_rng(seed)
         normal = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
-        w = {"W": normal(x.shape[1], HIDDEN), "b": np.zeros(HIDDEN), "V": normal(HIDDEN, GATE), "U": normal(HIDDEN, GATE), "a": normal(GATE), "c": normal(HIDDEN), "d": np.zeros(())}
-        net = cls(w | {"mean": x.mean(axis=0), "spread": x.std(axis=0) + 1e-3})
+        w = {"W": normal(len(mean), HIDDEN), "b": np.zeros(HIDDEN), "V": normal(HIDDEN, GATE), "U": normal(HIDDEN, GATE), "a": normal(GATE), "c": normal(HIDDEN), "d": np.zeros(())}
+        net = cls(w | {"mean": mean, "spread": spread + 1e-3})
         share = y.mean() if len(y) else 0.5
         if share in (0.0, 1.0):
             net.w |= {"c": np.zeros(HIDDEN), "d": np.array(30.0 if share else -30.0)}
             return net
         weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
-        first = np.searchsorted(text, np.arange(len(y) + 1))
         moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
         for step in range(1, STEPS + 1):
             chosen = np.sort(rng.choice(len(y), min(BATCH, len(y)), replace=False))
-            rows = np.concatenate([np.arange(first[i], first[i + 1]) for i in chosen])
-            own = np.repeat(np.arange(len(chosen)), first[chosen + 1] - first[chosen])
-            for k, g in net._gradients(x[rows], own, y[chosen], weight[chosen]).items():
+            for k, g in gradients(net, chosen, weight[chosen] / len(chosen)).items():
                 m, v = moment[k]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
@@ -131,7 +144,7 @@ class GatedAttention:
     def _gradients(self, x: np.ndarray, text: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         w = self.w
         z, h, tanh, gate, a, bag, p = self._forward(x, text, len(y))
-        error = (p - y) * weight / len(y)
+        error = (p - y) * weight
         to_bag = error[:, None] * w["c"]
         to_h = a[:, None] * to_bag[text]
         to_a = (h * to_bag[text]).sum(axis=1)
@@ -150,32 +163,68 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features of some passages of each labelled text, spread evenly over it."""
+    """Features of all passages of each labelled text."""
     for batch in batches:
         for part, data, offsets in portions(batch, "_text"):
             x, text = passages(data, offsets)
-            rows = []
-            for n in range(len(part)):
-                a, b = np.searchsorted(text, [n, n + 1])
-                at = np.unique(np.linspace(a, b - 1, min(b - a, PASSAGES_SEEN)).astype(int))
-                rows.append(x[at].tobytes())
+            ends = np.searchsorted(text, np.arange(len(part) + 1))
+            rows = [x[a:b].tobytes() for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array(rows, pa.binary())], names=["quality", "features"])
 
 
+def _bag(features: bytes) -> np.ndarray:
+    return np.frombuffer(features, np.float32).reshape(-1, FEATURES)
+
+
+def _summed(bags: DataFrame, of: Callable[[int, np.ndarray], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Sums over bags (_id, features) of arrays whose size does not depend on the bag: one row a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, least = {}, None
+        for batch in batches:
+            for i, features in zip(batch.column("_id").to_pylist(), batch.column("features")):
+                least = i if least is None else least
+                for k, v in of(i, _bag(features.as_buffer()).astype(np.float64)).items():
+                    total[k] = total[k] + v if k in total else v
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([least], pa.int64()), pa.array([pickle.dumps(total)], pa.binary())], names=["least", "total"])
+
+    parts = [pickle.loads(r["total"]) for r in sorted(bags.select("_id", "features").mapInArrow(run, "least long, total binary").collect(), key=lambda r: r["least"])]
+    return {k: sum((p[k] for p in parts[1:]), parts[0][k]) for k in parts[0]}
+
+
+def _fit_by_tasks(bags: DataFrame, ids: np.ndarray, y: np.ndarray) -> GatedAttention:
+    """As `GatedAttention.fit` on bags (_id, features), ids in the order of y; the driver gets sums only."""
+    sums = _summed(bags, lambda i, x: {"n": np.array(len(x)), "s": x.sum(axis=0)})
+    mean = sums["s"] / sums["n"]
+    spread = np.sqrt(_summed(bags, lambda i, x: {"s": ((x - mean) ** 2).sum(axis=0)})["s"] / sums["n"])
+
+    def gradients(net: GatedAttention, chosen: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        goal = {int(ids[n]): (y[n : n + 1], weight[k : k + 1]) for k, n in enumerate(chosen)}
+        return _summed(bags.filter(F.col("_id").isin(list(goal))), lambda i, x: net._gradients(x, np.zeros(len(x), np.int64), *goal[i]))
+
+    return GatedAttention.learned(mean, spread, y, gradients)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> GatedAttention:
     """Learn from at most `sample` rows of labels (doc_id, quality) that are not held out."""
     known = labels.filter(~held_out(F.col("doc_id"))).filter("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "_id")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
-    rows = texts.select("quality", "_text").mapInArrow(_seen, "quality int, features binary")
-    rows = rows.select("quality", "features", F.sha2("features", 256).alias("_k")).toPandas().sort_values(["_k", "quality"])  # `sample` rows, of bounded size
-    bags = [np.frombuffer(f, np.float32).reshape(-1, FEATURES) for f in rows.features]
-    x = np.concatenate([*bags, np.zeros((0, FEATURES), np.float32)]).astype(np.float64)
-    text = np.repeat(np.arange(len(bags)), [len(b) for b in bags]).astype(np.int64)
-    if not len(bags):
-        x, text = np.zeros((1, FEATURES)), np.zeros(1, np.int64)
-        return GatedAttention.fit(x, text, np.array([1]))
-    return GatedAttention.fit(x, text, rows.quality.to_numpy())
+    seen = texts.select("quality", "_text").mapInArrow(_seen, "quality int, features binary")
+    bags = staged(seen.select(F.monotonically_increasing_id().alias("_id"), "quality", "features", F.sha2("features", 256).alias("_k")))
+    rows = bags.select("_id", "quality", "_k", F.length("features").alias("size")).toPandas().sort_values(["_k", "quality"])  # `sample` rows of four short values
+    if not len(rows):
+        net = GatedAttention.fit(np.zeros((1, FEATURES)), np.zeros(1, np.int64), np.array([1]))
+    elif rows["size"].sum() > MOST_HELD:
+        net = _fit_by_tasks(bags, rows["_id"].to_numpy(), rows.quality.to_numpy())
+    else:
+        held = dict(bags.select("_id", "features").toPandas().itertuples(index=False))
+        found = [_bag(held.pop(i)) for i in rows["_id"]]
+        text = np.repeat(np.arange(len(found)), [len(b) for b in found]).astype(np.int64)
+        net = GatedAttention.fit(np.concatenate(found), text, rows.quality.to_numpy())
+    discard(bags)
+    return net
 
 
 def _scoring(net: GatedAttention, text: str, drop: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
