@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.graph import connected_components
+from quern.session import staged
 
 
 def shifted(cells: DataFrame, offsets: Sequence[tuple[int, int, float]]) -> DataFrame:
@@ -62,17 +63,22 @@ def gaussian(cells: DataFrame, sigma: float, truncate: float = 4.0) -> DataFrame
     return cells
 
 
-def labelled(cells: DataFrame, mask: Column) -> DataFrame:
-    """Connected parts (4 neighbours) of the cells in the mask: dense labels from 1 within each image, background 0."""
+def _rooted(cells: DataFrame, mask: Column) -> DataFrame:
+    """The cells in the mask (img, x, y, label): label is the first cell, in row order, of its connected part (4 neighbours)."""
     width = cells.agg(F.max("y")).first()[0] + 2
     number = lambda x, y: x.cast("long") * width + y
     inside = cells.filter(mask).select("img", "x", "y", F.concat_ws(":", "img", F.lpad(number(F.col("x"), F.col("y")).cast("string"), 12, "0")).alias("id"))
     right = inside.select("img", (F.col("x") - 1).alias("x"), "y", F.col("id").alias("dst")).join(inside, ["img", "x", "y"])
     below = inside.select("img", "x", (F.col("y") - 1).alias("y"), F.col("id").alias("dst")).join(inside, ["img", "x", "y"])
     pairs = right.union(below.select(right.columns)).select(F.col("id").alias("src"), "dst")
-    roots = connected_components(pairs, inside.select("id"))
-    dense = inside.join(roots, "id").withColumn("label", F.dense_rank().over(Window.partitionBy("img").orderBy("label")))
-    return cells.join(dense.select("img", "x", "y", "label"), ["img", "x", "y"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    return inside.join(connected_components(pairs, inside.select("id")), "id").select("img", "x", "y", "label")
+
+
+def labelled(cells: DataFrame, mask: Column) -> DataFrame:
+    """Connected parts (4 neighbours) of the cells in the mask: dense labels from 1 within each image, background 0."""
+    rooted = _rooted(cells, mask)
+    dense = rooted.withColumn("label", F.dense_rank().over(Window.partitionBy("img").orderBy("label")))
+    return cells.join(dense, ["img", "x", "y"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
 def bounding_box(cells: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -109,8 +115,8 @@ def tfce(cells: DataFrame, steps: int = 20, extent: float = 0.5, height: float =
     step = top / steps
     for n in range(1, steps + 1):
         h = n * step
-        parts = labelled(cells, F.col("v") > h)
-        sizes = parts.filter("label > 0").groupBy("img", "label").agg(F.count("*").alias("_n"))
-        gain = parts.join(sizes, ["img", "label"], "left").select("img", "x", "y", (F.pow(F.coalesce("_n", F.lit(0)).cast("double"), F.lit(extent)) * h**height * step).alias("v"))
-        out = out.union(gain)
+        parts = _rooted(cells, F.col("v") > h)
+        sizes = parts.groupBy("img", "label").agg(F.count("*").alias("_n"))
+        gain = F.pow(F.col("_n").cast("double"), F.lit(extent)) * h**height * step
+        out = out.union(staged(parts.join(sizes, ["img", "label"]).select("img", "x", "y", gain.alias("v"))))
     return out.groupBy("img", "x", "y").agg(F.sum("v").alias("v"))

@@ -39,7 +39,7 @@ def component_sizes(spark, sf_dir):
 
 
 def tfce(spark, sf_dir):
-    return grid.tfce(_cells(spark, sf_dir).filter("x < 10"), 4).select("x", "y", F.round("v", 4).alias("v"))
+    return grid.tfce(_cells(spark, sf_dir), 4).select("x", "y", F.round("v", 4).alias("v"))
 
 
 def _sphere(op):

@@ -1,6 +1,8 @@
 """Queries use whole tables, images and vectors: against plain computations on small made-up tables."""
 
-from quern.plans import algebra
+import pytest
+
+from quern.plans import algebra, spatial
 
 
 def written(spark, folder, **tables):
@@ -18,3 +20,24 @@ def test_connected_components_uses_every_order(spark, tmp_path):
             low, high = sorted((root[a], root[b]))
             root = {i: low if r == high else r for i, r in root.items()}
     assert {r["id"]: r["label"] for r in algebra.components(spark, folder).collect()} == root
+
+
+def test_tfce_covers_the_whole_image(spark, tmp_path):
+    values = {(e // 100, e % 100): float((e * 7919) % 101) + (40.0 if e // 100 == 11 and e % 100 < 60 else 0.0) for e in range(1400)}
+    folder = written(spark, tmp_path, events=([(x * 100 + y, v) for (x, y), v in values.items()], "event_id long, value double"))
+    want, step = dict.fromkeys(values, 0.0), max(values.values()) / 4
+    for n in range(1, 5):
+        left = {c for c, v in values.items() if v > n * step}
+        while left:
+            part, edge = set(), [left.pop()]
+            while edge:
+                x, y = edge.pop()
+                part.add((x, y))
+                for near in ((x - 1, y), (x + 1, y), (x, y - 1), (x, y + 1)):
+                    if near in left:
+                        left.remove(near)
+                        edge.append(near)
+            for c in part:
+                want[c] += len(part) ** 0.5 * (n * step) ** 2 * step
+    got = {(r["x"], r["y"]): r["v"] for r in spatial.tfce(spark, folder).collect()}
+    assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c], abs=1e-3) for c in want)
