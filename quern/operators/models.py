@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,17 +129,30 @@ def irls(rows: DataFrame, keys: list[str], x: list[Column], y: Column, family: s
     return fit.select(*keys, "beta", "n")
 
 
+def product_sums(rows: DataFrame, left: str, right: str) -> np.ndarray:
+    """Sum over rows of the outer product of two array columns of fixed width: each task sums its own, so no row is exploded."""
+    def run(batches):
+        total = 0.0
+        for batch in batches:
+            a, b = (np.asarray(batch.column(k).flatten(), float).reshape(batch.num_rows, -1) for k in (0, 1))
+            total = total + a.T @ b if batch.num_rows else total
+        if np.ndim(total):
+            yield pa.RecordBatch.from_arrays([pa.array([total.shape[1]], pa.int32()), pa.array([total.ravel()], pa.list_(pa.float64()))], names=["width", "s"])
+
+    both = rows.filter(F.col(left).isNotNull() & F.col(right).isNotNull()).select(*(F.transform(c, lambda v: v.cast("double")).alias(k) for c, k in ((left, "a"), (right, "b"))))
+    cells = both.mapInArrow(run, "width int, s array<double>").select("width", F.posexplode("s").alias("at", "x"))
+    out = cells.groupBy("width", "at").agg(F.sum("x").alias("s")).orderBy("at").toPandas()  # as many sums as the product has cells
+    return out["s"].to_numpy().reshape(-1, out["width"].iloc[0])
+
+
 def covariance(rows: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray, int]:
     """(mean, covariance with n - 1, n) of an array column of fixed width: d * d sums, whatever the number of rows."""
-    cells = rows.filter(F.col(vector).isNotNull()).select(F.transform(vector, lambda v: v.cast("double")).alias("v"))
-    n, width = cells.agg(F.count("*"), F.max(F.size("v"))).first()
-    means = cells.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()
-    mean = np.array([r["m"] for r in means])
-    pairs = cells.select("v", F.posexplode("v").alias("i", "x")).select("i", "x", F.posexplode("v").alias("j", "y")).filter("i <= j")
-    out = np.zeros((width, width))
-    for r in pairs.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect():  # d (d + 1) / 2 sums
-        out[r["i"], r["j"]] = out[r["j"], r["i"]] = (r["s"] - n * mean[r["i"]] * mean[r["j"]]) / (n - 1)
-    return mean, out, n
+    with_one = F.concat(F.transform(vector, lambda v: v.cast("double")), F.array(F.lit(1.0)))
+    sums = product_sums(rows.select(with_one.alias("v")), "v", "v")  # the sums and the count stand in the last row
+    n = int(sums[-1, -1])
+    mean = sums[-1, :-1] / n
+    centred = rows.select(F.zip_with(vector, F.array(*map(F.lit, map(float, mean))), lambda v, m: v.cast("double") - m).alias("v"))
+    return mean, product_sums(centred, "v", "v") / (n - 1), n
 
 
 def pca(rows: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,9 +180,8 @@ def projected(rows: DataFrame, vector: str, matrix: np.ndarray, mean: np.ndarray
 
 def shrinkage(rows: DataFrame, vector: str) -> DataFrame:
     """One row: Ledoit-Wolf and oracle-approximating intensities and the scale of the target, of the covariance with n."""
-    _, cov, n = covariance(rows, vector)
-    mean = rows.select(F.posexplode(F.transform(vector, lambda v: v.cast("double"))).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()
-    centre = F.array(*(F.lit(float(r["m"])) for r in mean))
+    mean, cov, n = covariance(rows, vector)
+    centre = F.array(*map(F.lit, map(float, mean)))
     norm2 = F.aggregate(F.zip_with(F.transform(vector, lambda v: v.cast("double")), centre, lambda a, m: (a - m) * (a - m)), F.lit(0.0), lambda s, v: s + v)
     fourth = rows.agg(F.sum(norm2 * norm2)).first()[0]
     s = cov * (n - 1) / n
@@ -186,10 +199,10 @@ def kmeans(rows: DataFrame, vector: str, start: np.ndarray, rounds: int = 20, to
     """Lloyd's rounds from given centroids; an empty cluster keeps its centroid, and the largest move ends them."""
     centroids = start.astype(float)
     for _ in range(rounds):
-        sums = assigned(rows, vector, centroids).select("cluster", F.posexplode(vector).alias("i", "x")).groupBy("cluster", "i").agg(F.avg(F.col("x").cast("double")).alias("m")).collect()
-        moved = centroids.copy()
-        for r in sums:  # k * d numbers
-            moved[r["cluster"], r["i"]] = r["m"]
+        member = F.array(*((F.col("cluster") == c).cast("double") for c in range(len(centroids))))
+        with_one = F.concat(F.transform(vector, lambda v: v.cast("double")), F.array(F.lit(1.0)))
+        sums = product_sums(assigned(rows, vector, centroids).select(member.alias("m"), with_one.alias("v")), "m", "v")  # k * (d + 1) numbers
+        moved = np.where(sums[:, -1:] > 0, sums[:, :-1] / np.maximum(sums[:, -1:], 1), centroids)
         shift = np.abs(moved - centroids).max()
         centroids = moved
         if shift <= tol:
@@ -226,11 +239,7 @@ def nmf(rows: DataFrame, vector: str, start: np.ndarray, rounds: int = 10, eps:
         num = [F.aggregate(F.zip_with("_x", F.array(*map(F.lit, map(float, h[r]))), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for r in range(k)]
         den = [F.aggregate(F.zip_with("_w", F.array(*map(F.lit, map(float, hh[r]))), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for r in range(k)]
         rows = staged(rows.withColumn("_w", F.array(*(F.col("_w")[r] * num[r] / (den[r] + eps) for r in range(k)))))
-        wx, ww = np.zeros((k, d)), np.zeros((k, k))
-        for r in rows.select(F.posexplode("_w").alias("i", "w"), "_x").select("i", "w", F.posexplode("_x").alias("j", "x")).groupBy("i", "j").agg(F.sum(F.col("w") * F.col("x")).alias("s")).collect():
-            wx[r["i"], r["j"]] = r["s"]
-        for r in rows.select(F.posexplode("_w").alias("i", "w"), F.col("_w").alias("_v")).select("i", "w", F.posexplode("_v").alias("j", "v")).groupBy("i", "j").agg(F.sum(F.col("w") * F.col("v")).alias("s")).collect():
-            ww[r["i"], r["j"]] = r["s"]
+        wx, ww = product_sums(rows, "_w", "_x"), product_sums(rows, "_w", "_w")
         h = h * wx / (ww @ h + eps)
     return rows.withColumnRenamed("_w", "basis").drop("_x"), h
 

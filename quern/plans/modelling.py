@@ -84,7 +84,7 @@ def nested_counts(spark, sf_dir):
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").select("vec_id", F.slice(doubles(F.col("embedding")), 1, 8).alias("v"))
+    return read(spark, sf_dir, "embeddings").select("vec_id", doubles(F.col("embedding")).alias("v"))
 
 
 def shrinkage(spark, sf_dir):
@@ -110,7 +110,9 @@ def kmeans(spark, sf_dir):
 
 
 def nmf(spark, sf_dir):
-    rows, _ = models.nmf(_vectors(spark, sf_dir), "v", np.abs(np.sin(np.arange(16) + 1.0)).reshape(2, 8), 5)
+    rows = _vectors(spark, sf_dir)
+    width = rows.agg(F.max(F.size("v"))).first()[0]
+    rows, _ = models.nmf(rows, "v", np.abs(np.sin(np.arange(2 * width) + 1.0)).reshape(2, width), 5)
     return rows.select("vec_id", F.round(F.col("basis")[0], 6).alias("w0"), F.round(F.col("basis")[1], 6).alias("w1"))
 
 
