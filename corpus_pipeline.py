@@ -55,10 +55,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training order: each document as often as the mix takes it, sorted by range of position; the last document
     that a source's target reaches is cut to the words taken."""
     small_batches(spark)
-    docs = docs.select(*COLUMNS).withColumn("_key", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit(""))))
+    named = F.coalesce("doc_id", F.lit(-1)), *(F.coalesce(c, F.lit("")) for c in ("text", "lang", "source"))
+    docs = docs.select(*COLUMNS).withColumn("_key", F.xxhash64(*named, F.col("source").isNull(), F.col("lang").isNull()))
     mixed = curriculum.curriculum_mix(docs.select(F.col("_key").alias("doc_id"), "source", n_words(F.col("text")).alias("size")))
-    times = mixed.select(F.col("doc_id").alias("_key"), F.explode("occurrences").alias("o")).dropDuplicates(["_key", "o"])
-    rows = docs.withColumn("_size", n_words(F.col("text"))).join(times, "_key")
+    times = mixed.select(F.col("doc_id").alias("_key"), F.explode("occurrences").alias("o"))
+    rows = docs.dropDuplicates(["_key"]).withColumn("_size", n_words(F.col("text"))).join(times, "_key")  # each of rows alike has its own times
     text = F.when(F.col("o.take") < F.col("_size"), F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("o.take").cast("int")), " ")).otherwise(F.col("text"))
     rows = rows.select("doc_id", text.alias("text"), "lang", "source", F.col("o.position").alias("_position"))
     rows = rows.orderBy("_position", "doc_id")
