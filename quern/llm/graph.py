@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import staged
+from quern.session import discard, staged
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -24,6 +24,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             "v", F.least("_low", F.coalesce("_of", "_low")).alias("label"), (F.least("_low", F.coalesce("_of", "_low")) != F.col("label")).alias("_moved")
         )
         moved = staged(jumped)
+        discard(labels)
         labels = moved.select("v", "label")
         if moved.filter("_moved").isEmpty():
+            discard(both)
             return labels

@@ -44,8 +44,10 @@ from quern.session import discard, staged
 PERCENT = 75
 #: The extended prefix has n / EXTENSION more tokens.
 EXTENSION = 16
-#: A token in more than LEAST_FREQUENT sets, and in one set of FREQUENT_SHARE, is of the frequent class.
-LEAST_FREQUENT, FREQUENT_SHARE = 64, 1000
+#: A token in more sets is of the frequent class, whatever the corpus: no rare token's bucket holds more.
+FREQUENT = 256
+#: Followers of a leader that meet in one task; beyond it, they are dealt by hash.
+FOLLOWERS = 4096
 #: Rows of eight bytes that are broadcast at most.
 MOST_BROADCAST = 2_000_000
 #: Leaders that each set is compared with before open pairs are looked for.
@@ -205,8 +207,8 @@ def _reaches(shared: Column, total: Column) -> Column:
     return shared * (100 + PERCENT) >= total * PERCENT
 
 
-def _led_pairs(able: DataFrame, about: DataFrame, whole: DataFrame) -> DataFrame:
-    """Open pairs (a, b) of sets that were compared with the same leader.
+def _led_pairs(able: DataFrame, about: DataFrame, whole: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Open pairs (a, b) of sets that were compared with the same leader, and the staged tables that they are read from.
 
     Inside the leader, two sets share no more than the lesser of what each shares with it. If that is too few for the
     pair, it must share a token outside the leader, and is found by such tokens, which are few; else by its leader."""
@@ -214,26 +216,28 @@ def _led_pairs(able: DataFrame, about: DataFrame, whole: DataFrame) -> DataFrame
     met = about.filter("via IS NOT NULL").select("rid", "part", F.explode("via").alias("first", "shared"))
     led = able.join(met, "rid").join(parts, "first").select("rid", "n", "most", "part", "first", "shared", (F.col("part") != F.col("_leader_part")).alias("open"))
     rest = F.col("most") - F.col("shared")
-    reach = led.groupBy("first").agg(F.min("n").alias("least"), F.max("shared").alias("_s"), F.max(rest).alias("_r"), F.max(F.when(F.col("open"), F.col("shared"))).alias("_os"), F.max(F.when(F.col("open"), rest)).alias("_or"))
+    reach = led.groupBy("first").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("salts"), F.min("n").alias("least"), F.max("shared").alias("_s"), F.max(rest).alias("_r"), F.max(F.when(F.col("open"), F.col("shared"))).alias("_os"), F.max(F.when(F.col("open"), rest)).alias("_or"))
     partner = F.col("n") + F.greatest("least", _required(F.col("n")))
     some = F.when(F.col("open"), F.least("shared", "_s") + F.least(rest, F.col("_r"))).otherwise(F.least("shared", "_os") + F.least(rest, F.col("_or")))
     led = led.join(reach.filter("_os IS NOT NULL"), "first").filter(_reaches(some, partner))
-    led = staged(led.select("first", F.struct("rid", "n", "most").alias("set"), "part", "shared", "open"))
-    x = lambda rows: rows.filter("open").select("first", *(c for c in rows.columns if c == "token"), F.col("set").alias("x"), F.col("part").alias("xp"), F.col("shared").alias("xs"))
-    y = lambda rows: rows.select(F.col("first").alias("_f"), *(F.col(c).alias("_t") for c in rows.columns if c == "token"), F.col("set").alias("y"), F.col("part").alias("yp"), F.col("shared").alias("ys"), F.col("open").alias("yo"))
+    led = staged(led.select("first", F.struct("rid", "n", "most").alias("set"), "part", "shared", "open", "salts"))
+    salt = F.pmod(F.xxhash64("set.rid"), F.col("salts")).cast("int")  # x is dealt by it, y goes to all
+    x = lambda rows: rows.filter("open").select("first", salt.alias("xd"), *(c for c in rows.columns if c == "token"), F.col("set").alias("x"), F.col("part").alias("xp"), F.col("shared").alias("xs"))
+    y = lambda rows: rows.select(F.col("first").alias("_f"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("yd"), *(F.col(c).alias("_t") for c in rows.columns if c == "token"), F.col("set").alias("y"), F.col("part").alias("yp"), F.col("shared").alias("ys"), F.col("open").alias("yo"))
     once = ~F.col("yo") | (F.col("x.rid") < F.col("y.rid"))
     fit = (F.col("xp") != F.col("yp")) & once & _compatible("x", "y")
     total, inner = F.col("x.n") + F.col("y.n"), F.least("xs", "ys")
     ends = lambda rows: rows.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"))
-    by_leader = ends(x(led).join(y(led), (F.col("first") == F.col("_f")) & fit & _reaches(inner, total)))
+    dealt = (F.col("first") == F.col("_f")) & (F.col("xd") == F.col("yd"))
+    by_leader = ends(x(led).join(y(led), dealt & fit & _reaches(inner, total)))
     own, leaders = whole.select("rid", "tokens"), whole.select(F.col("rid").alias("first"), F.col("tokens").alias("_l"))
     outside = led.join(own, F.col("set.rid") == F.col("rid")).join(leaders, "first").select("first", "set", "part", "shared", "open", F.explode(F.array_except("tokens", "_l")).alias("token"))
-    outside = staged(outside)
-    several = outside.groupBy("first", "token").agg(F.min("part").alias("_x"), F.max("part").alias("_y")).filter("_x < _y").select("first", "token")
+    outside = own_outside = staged(outside)
+    several = outside.groupBy("first", "token").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("salts"), F.min("part").alias("_x"), F.max("part").alias("_y")).filter("_x < _y").select("first", "token", "salts")
     outside = outside.join(several, ["first", "token"])
     bound = inner + F.least(F.col("x.most") - F.col("xs"), F.col("y.most") - F.col("ys"))
-    by_token = ends(x(outside).join(y(outside), (F.col("first") == F.col("_f")) & (F.col("token") == F.col("_t")) & fit & ~_reaches(inner, total) & _reaches(bound, total)))
-    return by_leader.union(by_token)
+    by_token = ends(x(outside).join(y(outside), dealt & (F.col("token") == F.col("_t")) & fit & ~_reaches(inner, total) & _reaches(bound, total)))
+    return by_leader.union(by_token), [led, own_outside]
 
 
 def _survivors(texts: DataFrame, sets: DataFrame) -> DataFrame:
@@ -243,9 +247,11 @@ def _survivors(texts: DataFrame, sets: DataFrame) -> DataFrame:
     shared = _extended_prefix(F.col("n")) - F.coalesce("lone", F.lit(0))
     likely = staged(sets.join(lone, "rid", "left").filter(shared >= _extension(_required(F.col("n")))).select(F.col("rep.row").alias("_row")))
     # few enough rows of one number each go to all executors; else texts are exchanged by _row, as for dropDuplicates
-    likely = F.broadcast(likely) if likely.count() <= MOST_BROADCAST else likely.hint("merge")
-    again = texts.join(likely, "_row", "left_semi").dropDuplicates(["_row"])
-    return staged(again.select("_text").mapInArrow(_whole, "rid long, n long, tokens array<long>, bits array<long>"))
+    few = F.broadcast(likely) if likely.count() <= MOST_BROADCAST else likely.hint("merge")
+    again = texts.join(few, "_row", "left_semi").dropDuplicates(["_row"])
+    found = staged(again.select("_text").mapInArrow(_whole, "rid long, n long, tokens array<long>, bits array<long>"))
+    discard(likely)
+    return found
 
 
 def links(texts: DataFrame, sets: DataFrame) -> DataFrame:
@@ -261,8 +267,7 @@ def links(texts: DataFrame, sets: DataFrame) -> DataFrame:
     heads = staged(heads)
     counts = heads.groupBy("token").agg(F.count("*").alias("count")).filter("count > 1")
     shared = heads.join(counts, "token").groupBy("rid", "n", "most").agg(F.collect_list(F.struct("token", "count")).alias("shared"))
-    frequent = max(LEAST_FREQUENT, sets.count() // FREQUENT_SHARE)
-    signed = staged(shared.mapInArrow(_signing(frequent), "rid long, n long, most long, signatures array<long>"))
+    signed = staged(shared.mapInArrow(_signing(FREQUENT), "rid long, n long, most long, signatures array<long>"))
     discard(heads)
     index = signed.select(F.explode("signatures").alias("signature"), F.struct("rid", "n", "most").alias("set"))
     lowest = signed.select("rid", F.slice(F.sort_array("signatures"), 1, LOWEST).alias("low"))
@@ -297,8 +302,9 @@ def links(texts: DataFrame, sets: DataFrame) -> DataFrame:
     before = F.exists(F.array_intersect("xl", "yl"), lambda low: low < x["signature"])  # the pair comes up there
     across = x.join(y, (x["signature"] == y["signature"]) & (F.col("xp") != F.col("yp")) & once & _compatible("x", "y") & apart & ~before)
     across = across.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"))
-    pairs = across.union(_led_pairs(able, about, whole)).distinct()
-    pairs = staged(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    led, behind = _led_pairs(able, about, whole)
+    pairs = staged(across.union(led).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    discard(*behind)
     near = staged(near_by_parity(pairs, whole))
     found = staged(edges.union(compared(near, whole).filter("linked").select("a", "b")))
     discard(pairs, near, open_sets, about, tried, signed, whole)
