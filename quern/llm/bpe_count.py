@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"  # what stands for a space in pieces
-#: Units whose counts a worker remembers; beyond it, it starts anew.
-REMEMBERED = 1_000_000
+#: Units whose counts a worker remembers; beyond it, it starts anew. Longer units are not remembered.
+REMEMBERED, LONGEST_REMEMBERED = 1_000_000, 256
 
 
 class MergeCounter(dict):
@@ -50,10 +50,13 @@ class MergeCounter(dict):
                 part = unit[start:i]
                 n = parts.get(part)
                 if n is None:
-                    n = parts[part] = self.merged(part)
+                    n = self.merged(part)
+                    if len(part) <= LONGEST_REMEMBERED:
+                        parts[part] = n
                 total += n
                 start = i
-        self[unit] = total
+        if len(unit) <= LONGEST_REMEMBERED:
+            self[unit] = total
         return total
 
     def merged(self, text: str) -> int:

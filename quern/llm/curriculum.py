@@ -27,8 +27,8 @@ WEIGHTS = (5, 2, 1)
 #: How a source's weight changes over time, by its place in the cycle of weights: weight * (1 + tilt * (2t - 1)).
 TILTS = (-0.5, 0.0, 0.5)
 MAX_EPOCHS = 3
-#: Hex digits of the hash that name a bucket: 16 ** digits buckets a source.
-BUCKET_DIGITS = 2
+#: Rows of one source and bucket that are summed in one task, at most, on average: the number of buckets follows.
+SUMMED_TOGETHER = 50_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, tilts: Sequence[float] = TILTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -62,6 +62,14 @@ def inverted(share: Column, tilt: Column) -> Column:
     return F.least(F.greatest(root, F.lit(0.0)), F.lit(1.0))
 
 
+def bucket_digits(rows: int) -> int:
+    """Hex digits of the hash that name a bucket, if all rows are of one source: 16 ** digits buckets."""
+    digits = 1
+    while 16**digits * SUMMED_TOGETHER < rows:
+        digits += 1
+    return digits
+
+
 def curriculum_mix(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, tilts: Sequence[float] = TILTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """sizes: doc_id, source, size. Adds source_size, target, taken, position and occurrences to each row.
 
@@ -69,7 +77,7 @@ def curriculum_mix(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, tilts: Se
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sizes = staged(sizes.select("doc_id", "source", F.col("size").cast("long").alias("size"), key.alias("_key")))
-    sizes = sizes.withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
+    sizes = sizes.withColumn("_bucket", F.substring("_key", 1, bucket_digits(sizes.count())))
     targets = source_targets(sizes, weights, tilts, max_epochs).withColumnRenamed("source", "_source")
     buckets = sizes.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -12,7 +12,7 @@ of the bags of a step and only sums the size of the weights go to the driver. Sc
 
 Defined results: null text is empty; an empty text is one passage without characters and gets its score as any other.
 Labels that are null don't count, nor do ids outside the table. Repeated rows each get the same score. With labels of one
-class only, all scores are that class's share. An empty table gives no rows. Other columns are ignored: labels, language,
+class only, all scores are that class's share, and without a label that counts, a half. An empty table gives no rows. Other columns are ignored: labels, language,
 source and id are no inputs of a score.
 """
 
@@ -125,8 +125,8 @@ class GatedAttention:
         w = {"W": normal(len(mean), HIDDEN), "b": np.zeros(HIDDEN), "V": normal(HIDDEN, GATE), "U": normal(HIDDEN, GATE), "a": normal(GATE), "c": normal(HIDDEN), "d": np.zeros(())}
         net = cls(w | {"mean": mean, "spread": spread + 1e-3})
         share = y.mean() if len(y) else 0.5
-        if share in (0.0, 1.0):
-            net.w |= {"c": np.zeros(HIDDEN), "d": np.array(30.0 if share else -30.0)}
+        if not len(y) or share in (0.0, 1.0):
+            net.w |= {"c": np.zeros(HIDDEN), "d": np.array(60 * share - 30)}
             return net
         weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
         moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
@@ -215,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> GatedAtte
     bags = staged(seen.select(F.monotonically_increasing_id().alias("_id"), "quality", "features", F.sha2("features", 256).alias("_k")))
     rows = bags.select("_id", "quality", "_k", F.length("features").alias("size")).toPandas().sort_values(["_k", "quality"])  # `sample` rows of four short values
     if not len(rows):
-        net = GatedAttention.fit(np.zeros((1, FEATURES)), np.zeros(1, np.int64), np.array([1]))
+        net = GatedAttention.fit(np.zeros((1, FEATURES)), np.zeros(1, np.int64), np.zeros(0))
     elif rows["size"].sum() > MOST_HELD:
         net = _fit_by_tasks(bags, rows["_id"].to_numpy(), rows.quality.to_numpy())
     else:

@@ -11,7 +11,7 @@ whatever the corpus) goes to the driver, which plans sequences:
 3. What is left, small lengths above all, goes by best fit in descending order into the rooms that remain.
 
 The plan is a list of intervals (length, first rank, last rank, first sequence, offset). Pieces get their rank among
-those of equal length in two steps, salted by hash, and find their interval in a broadcast join; its size follows from
+those of equal length in two steps, salted by hash into as many parts as the table's size asks for, and find their interval in a broadcast join; its size follows from
 the capacity and the number of groups, not from the corpus.
 
 Defined results: null text is empty and has only the end token. Repeated rows each get a place. Ties in length go by
@@ -38,9 +38,10 @@ from quern.session import staged
 CAPACITY = 2048
 #: A length above capacity / LARGE counts as large; GROUPS groups of large lengths.
 LARGE, GROUPS = 10, 32
-SALTS = 256
-#: Words whose ids a worker remembers; beyond it, it starts anew.
-REMEMBERED = 1_200_000
+#: Pieces of one length and salt that are ranked in one task, on average: the number of salts follows from it.
+RANKED_TOGETHER = 50_000
+#: Words whose ids a worker remembers; beyond it, it starts anew. Longer words are not remembered.
+REMEMBERED, LONGEST_REMEMBERED = 1_200_000, 256
 
 #: Texts of these characters only are split here; all others go to the library whole.
 _PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-įı-ňŊ-ž]*")
@@ -79,7 +80,11 @@ class WordIds(dict):
         if unknown := set().union(*filter(None, plain)).difference(self):
             self.learn(list(unknown))
         get = self.__getitem__
-        return [self.whole(t).tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, plain)]
+        found = [self.whole(t).tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, plain)]
+        for word in unknown:
+            if len(word) > LONGEST_REMEMBERED:
+                del self[word]
+        return found
 
 
 _loaded: dict[str, WordIds] = {}
@@ -106,7 +111,7 @@ def _portions(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordB
         start = stop
 
 
-def _pieces(path: str, capacity: int, end_id: int, remembered: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pieces(path: str, capacity: int, end_id: int, remembered: int, forget: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = load(path), np.asarray([end_id], "<u4").tobytes()
         words.most = remembered
@@ -121,7 +126,7 @@ def _pieces(path: str, capacity: int, end_id: int, remembered: int) -> Callable[
                         rows.append((doc, piece, at // 4, len(cut) // 4, zlib.crc32(cut)))
             columns = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECES)], schema=_PIECES)
-        if remembered < REMEMBERED:  # memory matters more: the tokenizer goes with its words
+        if forget:
             _loaded.pop(path, None)
 
     return run
@@ -130,12 +135,13 @@ def _pieces(path: str, capacity: int, end_id: int, remembered: int) -> Callable[
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, remembered: int = REMEMBERED) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, remembered: int = REMEMBERED, forget: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of the pieces of every document: its ids, then end_id.
 
-    remembered words a worker bound its memory (about 200 bytes each); fewer cost more calls of the tokenizer."""
+    remembered words a worker bound its memory (about 200 bytes each); fewer cost more calls of the tokenizer. With
+    forget, a worker lets go of the tokenizer and its words at the end of a task."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_pieces(path, capacity, end_id, remembered), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(_pieces(path, capacity, end_id, remembered, forget), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _best_configuration(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -274,7 +280,8 @@ def _substitutes(slots: list[list[int]], large: list[int], held: dict[int, int],
 def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
     pieces = staged(pieces)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
+    salts = -(-pieces.count() // RANKED_TOGETHER) or 1
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     intervals = plan(histogram, capacity, groups)
