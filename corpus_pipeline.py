@@ -1,7 +1,11 @@
 """Corpus pipeline: classify quality, keep one of each near-duplicate group, mask secrets, mix sources, pack sequences.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
-of documents; each result is written as Parquet and read again before the next stage.
+of documents; each result is written as Parquet and read again before the next stage, and its predecessor deleted.
+
+Defined results: a null text is an empty one throughout. Rows alike in all columns are one row after near_duplicates; a
+document without words is linked with nothing there and takes no part in the mix. Ties between copies go by id, nulls
+last, then by a hash of the text. Other columns than those of documents are dropped. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,12 +14,12 @@ import os
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import curriculum, mil_quality, packing, secrets, token_join
 from quern.llm.words import n_words, words
-from quern.session import share_package, shared_dir, small_batches
+from quern.session import discard, share_package, shared_dir, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Words whose ids a worker remembers: workers live through all stages, so less than the operator's default.
@@ -25,7 +29,8 @@ LEAST_QUALITY = 0.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on the labels of these documents, accepts."""
+    """Documents that the quality classifier, trained on the labels of these documents, accepts. Repeated rows are judged
+    alike; without any label that counts, all scores are a half and all documents stay."""
     small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     net = mil_quality.train(docs, labels)
@@ -38,9 +43,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     small_batches(spark)
     docs = docs.select(*COLUMNS)
     found = token_join.jaccard_components(docs, keep=True)
-    firsts = found.filter("first").select("_row").distinct()
+    firsts = found.filter("first").select(F.col("doc_id").alias("_id"), F.col("_row").alias("_first")).distinct()
     rows = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    return rows.join(firsts, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
+    kept = rows.join(firsts, (F.col("_row") == F.col("_first")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_row"]).select(*COLUMNS)  # identity: the id, and a hash of id and text
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +57,17 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scanned.select("doc_id", masked[0], "lang", "source", masked[1])
 
 
+def row_key(*columns: str) -> Column:
+    """An MD5 of the values, nulls and lengths of columns: rows are told apart by 128 bits."""
+    values = [F.col(c).cast("string") for c in columns]
+    return F.md5(F.concat_ws("\n", *(F.coalesce(F.length(v).cast("string"), F.lit("-")) for v in values), *values))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training order: each document as often as the mix takes it, sorted by range of position; the last document
     that a source's target reaches is cut to the words taken."""
     small_batches(spark)
-    named = F.coalesce("doc_id", F.lit(-1)), *(F.coalesce(c, F.lit("")) for c in ("text", "lang", "source"))
-    docs = docs.select(*COLUMNS).withColumn("_key", F.xxhash64(*named, F.col("source").isNull(), F.col("lang").isNull()))
+    docs = docs.select(*COLUMNS).withColumn("_key", row_key(*COLUMNS[:4]))
     mixed = curriculum.curriculum_mix(docs.select(F.col("_key").alias("doc_id"), "source", n_words(F.col("text")).alias("size")))
     times = mixed.select(F.col("doc_id").alias("_key"), F.explode("occurrences").alias("o"))
     rows = docs.dropDuplicates(["_key"]).withColumn("_size", n_words(F.col("text"))).join(times, "_key")  # each of rows alike has its own times
@@ -67,9 +78,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: one row for each piece of a document."""
+    """Sequences of at most 2048 tokens: one row for each piece of a document; an empty text is one end token."""
     small_batches(spark)
-    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED))
+    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED, forget=True))
 
 
 STAGES = [
@@ -86,9 +97,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of a folder."""
     share_package(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         path = os.path.join(shared_dir(spark), f"quern-pipeline-{uuid.uuid4().hex}-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        discard(*before)
         docs = spark.read.parquet(path)
+        before = [docs]
     return docs
