@@ -91,3 +91,16 @@ def t_quantile(p: float, dof: float) -> float:
         tail = float(incomplete_beta(dof / 2, 0.5, dof / (dof + mid * mid))) / 2
         low, high = (mid, high) if (1 - tail if mid > 0 else tail) < p else (low, mid)
     return (low + high) / 2
+
+
+@F.pandas_udf(DoubleType())
+def t_quantiles(p: pd.Series, dof: pd.Series) -> pd.Series:
+    """Inverse of the t distribution, all rows of a batch bisected at once."""
+    p, n = p.to_numpy(float), dof.to_numpy(float)
+    low, high = np.full_like(p, -1e4), np.full_like(p, 1e4)
+    for _ in range(80):
+        mid = (low + high) / 2
+        tail = incomplete_beta(n / 2, np.full_like(n, 0.5), n / (n + mid * mid)) / 2
+        below = np.where(mid > 0, 1 - tail, tail) < p
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
+    return pd.Series((low + high) / 2)

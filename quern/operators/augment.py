@@ -9,8 +9,14 @@ from pyspark.sql import functions as F
 
 
 def uniform(seed: int, *keys: str) -> Column:
-    """A number in (0, 1) by hash of the keys."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    """A number in (0, 1) by MD5 of the seed and the keys, alike in every engine that has MD5."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+
+
+def draw(spark: SparkSession, seed: int) -> float:
+    """One number in (0, 1)."""
+    return spark.range(1).select(uniform(seed, "id")).first()[0]
 
 
 def normal(seed: int, *keys: str) -> Column:
@@ -35,6 +41,38 @@ def rician_noise(cells: DataFrame, value: str, sigma: float, seed: int, keys: li
     return cells.withColumn("noisy", F.sqrt(real * real + F.pow(sigma * normal(seed + 7, *keys), F.lit(2.0))))
 
 
+def random_flip(cells: DataFrame, seed: int, p: float = 0.5) -> DataFrame:
+    """Each axis mirrored with probability p."""
+    ends = cells.agg(F.max("x"), F.max("y")).first()
+    for k, (c, last) in enumerate(zip("xy", ends)):
+        if draw(cells.sparkSession, seed + k) < p:
+            cells = cells.withColumn(c, last - F.col(c))
+    return cells
+
+
+def random_crop(cells: DataFrame, seed: int, height: int, width: int) -> DataFrame:
+    """A window of this size at a random place; indices begin at 0."""
+    ends = cells.agg(F.max("x"), F.max("y")).first()
+    for k, (c, last, size) in enumerate(zip("xy", ends, (height, width))):
+        start = math.floor(draw(cells.sparkSession, seed + k) * max(last + 2 - size, 1))
+        cells = cells.filter((F.col(c) >= start) & (F.col(c) < start + size)).withColumn(c, F.col(c) - start)
+    return cells
+
+
+def histogram_shift(cells: DataFrame, value: str, shifts: list[float]) -> DataFrame:
+    """Values mapped linearly between equally spaced points of their range, each moved by a share of it; points keep their order."""
+    low, high = cells.agg(F.min(value), F.max(value)).first()
+    span, n = max(high - low, 1e-12), len(shifts) - 1
+    points = []
+    for k, shift in enumerate(shifts):
+        points.append(max([*points, k / n + shift]))
+    at = (F.col(value) - low) / span * n
+    k = F.least(F.floor(at), F.lit(n - 1)).cast("int")
+    table = F.array(*map(F.lit, points))
+    moved = F.get(table, k) + (at - k) * (F.get(table, k + 1) - F.get(table, k))
+    return cells.withColumn(value, low + span * moved)
+
+
 def label_image(labels: DataFrame, parameters: DataFrame, seed: int, keys: list[str]) -> DataFrame:
     """Mean plus deviation times a normal number by label, at least 0. parameters: label, mean, std."""
     return labels.join(parameters, "label").withColumn("v", F.greatest(F.col("mean") + F.col("std") * normal(seed, *keys), F.lit(0.0))).drop("mean", "std")

@@ -76,6 +76,18 @@ def modularity_matrix(edges: DataFrame, gamma: float = 1.0, normalise: bool = Tr
     return signed.join(out, "src").join(into, "dst").select("src", "dst", (value / total if normalise else value).alias("value"))
 
 
+def modularity_matrix_full(edges: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """All cells of (A+ - gamma k_out k_in / m) / m between vertices with edges out and such with edges in: as dense as
+    the matrix is, so for small graphs; products of a large one need only the edges and the two degree vectors."""
+    signed = edges.withColumn("value", F.greatest("value", F.lit(0.0)))
+    out, into = degree(signed).withColumnsRenamed({"id": "src", "d": "_o"}), in_degree(signed).withColumnsRenamed({"id": "dst", "d": "_i"})
+    total = signed.agg(F.sum("value")).first()[0]
+    columns = into.agg(F.collect_list(F.struct("dst", "_i")).alias("_c"))  # one side of the dense matrix
+    cells = out.join(F.broadcast(columns)).select("src", "_o", F.explode("_c").alias("_c")).select("src", "_o", "_c.*")
+    joined = cells.join(signed.select("src", "dst", "value"), ["src", "dst"], "left")
+    return joined.select("src", "dst", ((F.coalesce("value", F.lit(0.0)) - gamma * F.col("_o") * F.col("_i") / total) / total).alias("value"))
+
+
 def coaffiliation(members: DataFrame, normalise: bool = False) -> DataFrame:
     """Sum over communities of c(i) c(j) for i <> j; members: id, c, w. Pairs exist only where a community is shared."""
     left, right = members.select("c", F.col("id").alias("i"), F.col("w").alias("_a")), members.select("c", F.col("id").alias("j"), F.col("w").alias("_b"))
@@ -119,16 +131,18 @@ def chebyshev_filter(edges: DataFrame, x: DataFrame, coefficients: list[float],
     return total.select("id", F.col("total").alias("value"))
 
 
-def top_eigenvector(edges: DataFrame, x: DataFrame, rounds: int = 50) -> tuple[DataFrame, float]:
-    """Power iteration of A on (id, v): the vector of unit length and its Rayleigh quotient."""
+def top_eigenvector(edges: DataFrame, x: DataFrame, rounds: int = 50, tol: float = 1e-12) -> tuple[DataFrame, float]:
+    """Power iteration of A on (id, v) until the Rayleigh quotient stands: the vector of unit length and its quotient."""
     from quern.operators.semiring import edge_rmatvec
 
     value = 0.0
     for _ in range(rounds):
         image = staged(edge_rmatvec(edges, x).select(F.col("dst").alias("id"), F.col("value").alias("v")))
         sums = image.join(x.withColumnRenamed("v", "_x"), "id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))), F.sum(F.col("v") * F.col("_x"))).first()
-        value, norm = sums[1], sums[0]
+        before, value, norm = value, sums[1], sums[0]
         x = image.select("id", (F.col("v") / norm).alias("v"))
+        if abs(value - before) <= tol * abs(value):
+            break
     return x, value
 
 

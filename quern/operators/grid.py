@@ -63,7 +63,7 @@ def gaussian(cells: DataFrame, sigma: float, truncate: float = 4.0) -> DataFrame
     return cells
 
 
-def _rooted(cells: DataFrame, mask: Column) -> DataFrame:
+def rooted(cells: DataFrame, mask: Column) -> DataFrame:
     """The cells in the mask (img, x, y, label): label is the first cell, in row order, of its connected part (4 neighbours)."""
     width = cells.agg(F.max("y")).first()[0] + 2
     number = lambda x, y: x.cast("long") * width + y
@@ -76,8 +76,16 @@ def _rooted(cells: DataFrame, mask: Column) -> DataFrame:
 
 def labelled(cells: DataFrame, mask: Column) -> DataFrame:
     """Connected parts (4 neighbours) of the cells in the mask: dense labels from 1 within each image, background 0."""
-    rooted = _rooted(cells, mask)
-    dense = rooted.withColumn("label", F.dense_rank().over(Window.partitionBy("img").orderBy("label")))
+    parts = staged(rooted(cells, mask))
+    number = max(2, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    roots = parts.select("img", F.col("label").alias("root")).distinct()
+    roots = staged(roots.repartitionByRange(number, "img", "root").withColumn("_range", F.spark_partition_id()))  # ranks by range of the first cell
+    sizes = roots.groupBy("img", "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("img").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    bases = sizes.select("img", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("img", "_range").orderBy("root")
+    ranked = roots.join(bases, ["img", "_range"]).select("img", "root", (F.col("_base") + F.row_number().over(inside)).cast("int").alias("label"))
+    dense = parts.withColumnRenamed("label", "root").join(ranked, ["img", "root"]).drop("root")
     return cells.join(dense, ["img", "x", "y"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
@@ -115,7 +123,7 @@ def tfce(cells: DataFrame, steps: int = 20, extent: float = 0.5, height: float =
     step = top / steps
     for n in range(1, steps + 1):
         h = n * step
-        parts = _rooted(cells, F.col("v") > h)
+        parts = rooted(cells, F.col("v") > h)
         sizes = parts.groupBy("img", "label").agg(F.count("*").alias("_n"))
         gain = F.pow(F.col("_n").cast("double"), F.lit(extent)) * h**height * step
         out = out.union(staged(parts.join(sizes, ["img", "label"]).select("img", "x", "y", gain.alias("v"))))

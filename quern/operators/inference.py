@@ -5,21 +5,30 @@ Ranks over whole tables come from counts by range of p first, so no step sorts a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 1024
+from quern.operators.augment import uniform
+from quern.session import staged
+
 
 
 def _ranked(rows: DataFrame, p: str) -> tuple[DataFrame, int]:
-    """rows with _rank by ascending p (ties by the first column), and their number."""
-    ranged = rows.withColumn("_range", F.least(F.floor(F.col(p) * RANGES), F.lit(RANGES - 1)))
+    """rows with _rank by ascending p (ties by the first column), and their number.
+
+    Ranges hold about as many rows each, however p-values crowd, ties included: Spark samples their bounds.
+    """
+    order = [p, rows.columns[0]]
+    number = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = staged(rows.repartitionByRange(number, *order).withColumn("_range", F.spark_partition_id()))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     bases = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_range").orderBy(p, rows.columns[0])
+    inside = Window.partitionBy("_range").orderBy(*order)
     ranked = ranged.join(F.broadcast(bases), "_range").withColumn("_rank", F.col("_base") + F.row_number().over(inside))
-    return ranked, rows.filter(F.col(p).isNotNull()).count()
+    return ranked, ranged.count()
 
 
 def bonferroni(rows: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
@@ -44,7 +53,14 @@ def fdr_bh(rows: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
 
 
 def fdr_by(rows: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
-    return _step_up(rows, p, alpha, lambda m: m * sum(1.0 / k for k in range(1, m + 1)))
+    return _step_up(rows, p, alpha, lambda m: m * harmonic(m))
+
+
+def harmonic(m: int) -> float:
+    """The sum of 1 / k up to m: term by term, or, from 10,000 on, by its expansion."""
+    if m < 10_000:
+        return sum(1.0 / k for k in range(1, m + 1))
+    return math.log(m) + 0.5772156649015329 + 1 / (2 * m) - 1 / (12 * m * m)
 
 
 def storey_pi0(rows: DataFrame, p: str, lam: float = 0.5) -> DataFrame:
@@ -59,6 +75,13 @@ def fdr_storey(rows: DataFrame, p: str, alpha: float = 0.05, lam: float = 0.5) -
     return _step_up(rows, p, alpha, lambda m: m * pi0)
 
 
+def fdr(rows: DataFrame, p: str, method: str = "bh", alpha: float = 0.05, lam: float = 0.5) -> DataFrame:
+    """Adds q and reject by a named method."""
+    if method == "storey":
+        return fdr_storey(rows, p, alpha, lam)
+    return {"bh": fdr_bh, "by": fdr_by, "bonferroni": bonferroni}[method](rows, p, alpha)
+
+
 def conjunction(stats: list[Column]) -> Column:
     return F.least(*stats)
 
@@ -99,5 +122,44 @@ def permutation_pvalue(observed: Column, nulls: DataFrame, stat: str, two_sided:
 def sign_flips(spark, n: int, n_perm: int, seed: int = 0) -> DataFrame:
     """(perm, obs, sign): plus or minus one by hash of the seed; permutation 0 is the identity."""
     cells = spark.range(n * n_perm).select(F.floor(F.col("id") / n).alias("perm"), (F.col("id") % n).alias("obs"))
-    odd = F.pmod(F.xxhash64(F.lit(seed), "perm", "obs"), F.lit(2)) == 1
-    return cells.withColumn("sign", F.when((F.col("perm") > 0) & odd, -1).otherwise(1))
+    return cells.withColumn("sign", _sign(seed, "perm", "obs"))
+
+
+def _sign(seed: int, perm: str, obs: str) -> Column:
+    return F.when((F.col(perm) > 0) & (uniform(seed, perm, obs) < 0.5), -1).otherwise(1)
+
+
+def sign_flip_test(rows: DataFrame, keys: list[str], obs: str, value: str, n_perm: int, seed: int = 0) -> DataFrame:
+    """keys, t, p: one-sample t against 0 and its two-sided share of permutations of signs, the identity included.
+
+    A row goes once to each permutation and its moments combine before the exchange."""
+    spread = rows.select(*keys, obs, value, F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("_perm"))
+    x = F.col(value) * _sign(seed, "_perm", obs)
+    stats = spread.groupBy(*keys, "_perm").agg((F.avg(x) / F.sqrt(F.var_samp(x) / F.count("*"))).alias("_t"))
+    own = stats.filter("_perm = 0").select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_t").alias("t"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    extreme = F.abs("_t") >= F.abs("t") - 1e-12
+    return stats.join(own, on).groupBy(*keys).agg(F.first("t").alias("t"), F.avg(extreme.cast("double")).alias("p"))
+
+
+def permutations(rows: DataFrame, n_perm: int, seed: int = 0) -> DataFrame:
+    """(perm, id, source): a random order of the ids of each block, by hash of the seed; permutation 0 is the identity.
+
+    Both places of a row come from windows over (perm, block), so permutations are spread out. rows: id, block."""
+    spread = rows.select("id", "block", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
+    w = Window.partitionBy("perm", "block")
+    drawn = F.when(F.col("perm") == 0, 0.0).otherwise(uniform(seed, "perm", "id"))
+    placed = spread.withColumn("_k", F.row_number().over(w.orderBy("id"))).withColumn("_q", F.row_number().over(w.orderBy(drawn, "id")))
+    source = placed.select("perm", "block", F.col("_q").alias("_k"), F.col("id").alias("source"))
+    return placed.select("perm", "block", "_k", "id").join(source, ["perm", "block", "_k"]).select("perm", "id", "source")
+
+
+def spatial_null_test(rows: DataFrame, surrogates: DataFrame) -> DataFrame:
+    """One row: correlation r of x and y (id, x, y) and (1 + surrogates at least as extreme) / (n + 1).
+    surrogates: surrogate, id, y."""
+    own = rows.agg(F.corr("x", "y").alias("r"))
+    nulls = surrogates.join(rows.select("id", "x"), "id").groupBy("surrogate").agg(F.corr("x", "y").alias("_r"))
+    both = nulls.join(F.broadcast(own))  # one row
+    return both.groupBy("r").agg(((1 + F.sum((F.abs("_r") >= F.abs("r")).cast("long"))) / (F.count("*") + 1)).alias("p"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.arrays import dot, doubles, lp_normalize, squared_distance
+from quern.functions.geometry import geodesic
 
 #: Query rows that go out with one block; queries of any number run block by block within each task.
 BLOCK = 512
@@ -18,6 +19,7 @@ KERNELS: dict[str, Callable[..., Column]] = {
     "polynomial": lambda a, b, p: F.pow(dot(a, b) / p + 0.0, F.lit(3.0)),
     "sigmoid": lambda a, b, p: F.tanh(dot(a, b) / p),
     "cosine": lambda a, b, p: dot(lp_normalize(a), lp_normalize(b)),
+    "geodesic": lambda a, b, p: geodesic([a[i] for i in range(3)], [b[i] for i in range(3)]),
 }
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import staged
+
 
 def bce_with_logits(logit: Column, target: Column) -> Column:
     return F.greatest(logit, F.lit(0.0)) - logit * target + F.log1p(F.exp(-F.abs(logit)))
@@ -54,19 +56,21 @@ def confusion_matrix(rows: DataFrame, target: str, pred: str, classes: int) -> D
 def roc_auc(rows: DataFrame, score: str, label: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Mann-Whitney area with average ranks for ties; NaN where a class is absent.
 
-    Counts are taken by distinct score first; scores are then placed by range, so that running sums need the totals of
-    earlier ranges only. A group's running sum runs within its key; without keys, over ranges of the score.
+    Counts are taken by distinct score first; scores are then dealt by range of (key, score), whose bounds Spark samples,
+    so that running sums need the totals of a key's earlier ranges only.
     """
     ties = rows.groupBy(*keys, F.col(score).alias("_s")).agg(F.sum((F.col(label) == 1).cast("long")).alias("_p"), F.sum((F.col(label) != 1).cast("long")).alias("_n"))
-    if not keys:
-        spread = rows.agg(F.min(score).alias("a"), F.max(score).alias("b")).first()
-        width = (spread["b"] - spread["a"]) or 1.0 if spread["a"] is not None else 1.0
-        ties = ties.withColumn("_range", F.floor((F.col("_s") - F.lit(spread["a"])) / F.lit(width) * 1023))
-        before = ties.groupBy("_range").agg(F.sum("_n").alias("_rn")).withColumn("_base", F.coalesce(F.sum("_rn").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        ties = ties.join(F.broadcast(before.select("_range", "_base")), "_range")  # at most 1024 rows
-        below = F.col("_base") + F.coalesce(F.sum("_n").over(Window.partitionBy("_range").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    else:
-        below = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    number = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ties = staged(ties.repartitionByRange(number, *keys, "_s").withColumn("_range", F.spark_partition_id()))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sums = ties.groupBy(*keys, "_range").agg(F.sum("_n").alias("_rn"))
+    bases = sums.select(*(F.col(k).alias(f"_k{k}") for k in keys), F.col("_range").alias("_r"), F.coalesce(F.sum("_rn").over(earlier), F.lit(0)).alias("_base"))
+    on = F.col("_range") == F.col("_r")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{k}"))
+    inside = Window.partitionBy(*keys, "_range").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    ties = ties.join(bases, on)
+    below = F.col("_base") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
     wins = ties.withColumn("_w", F.col("_p") * (below + F.col("_n") / 2))
     sums = wins.groupBy(*keys).agg(F.sum("_w").alias("_w"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
     area = F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_w") / (F.col("_p") * F.col("_n"))).otherwise(float("nan"))

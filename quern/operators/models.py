@@ -7,17 +7,29 @@ weighted Gram aggregates over all groups at once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import geometry
 from quern.functions.arrays import squared_distance
+from quern.operators.normalize import mad
 from quern.operators.semiring import stable_log_sum
 from quern.session import staged
 
 
+def _same(keys: list[str]) -> Column:
+    """Equal keys of rows and of a table whose keys are named _k_."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return on
+
+
 def design_sums(rows: DataFrame, keys: list[str], x: list[Column], y: Column, weight: Column | None = None) -> DataFrame:
     """One row a key: xx (upper triangle), xy, yy, sy, sw and n; rows with a null are left out."""
     w = F.lit(1.0) if weight is None else weight
@@ -30,18 +42,22 @@ def design_sums(rows: DataFrame, keys: list[str], x: list[Column], y: Column, we
 
 
 def solved(sums: DataFrame, keys: list[str], p: int, ridge: float = 0.0) -> DataFrame:
-    """keys, beta, inverse (row-major), rss, tss, n, rank of each row of sums."""
+    """keys, beta, inverse (row-major), rss, tss, n, rank of each row of sums; a batch of rows is solved at once."""
     def run(batches):
         for part in batches:
-            out = []
-            for _, r in part.iterrows():
-                g = np.array([[r[f"xx_{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) + ridge * np.eye(p)
-                b = np.array([r[f"xy_{i}"] for i in range(p)])
-                inverse = np.linalg.pinv(g, hermitian=True)
-                beta = inverse @ b
-                rss = max(float(r["yy"] - beta @ b), 0.0)
-                out.append([*(r[k] for k in keys), beta.tolist(), inverse.ravel().tolist(), rss, float(r["yy"] - r["sy"] ** 2 / r["sw"]), int(r["n"]), int(np.linalg.matrix_rank(g, hermitian=True))])
-            yield pd.DataFrame(out, columns=[*keys, "beta", "inverse", "rss", "tss", "n", "rank"])
+            if not len(part):
+                continue
+            column = lambda name: part[name].to_numpy(float)
+            g = np.stack([np.stack([column(f"xx_{min(i, j)}_{max(i, j)}") for j in range(p)], axis=1) for i in range(p)], axis=1) + ridge * np.eye(p)
+            b = np.stack([column(f"xy_{i}") for i in range(p)], axis=1)
+            inverse = np.linalg.pinv(g, hermitian=True)
+            beta = np.einsum("nij,nj->ni", inverse, b)
+            out = part[keys].copy()
+            out["beta"], out["inverse"] = list(beta), list(inverse.reshape(len(part), -1))
+            out["rss"] = np.maximum(column("yy") - (beta * b).sum(axis=1), 0.0)
+            out["tss"] = column("yy") - column("sy") ** 2 / column("sw")
+            out["n"], out["rank"] = part["n"], np.linalg.matrix_rank(g, hermitian=True)
+            yield out
 
     kinds = {f.name: f.dataType.simpleString() for f in sums.schema}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "beta array<double>", "inverse array<double>", "rss double", "tss double", "n long", "rank int"])
@@ -67,6 +83,26 @@ def t_contrast(fit: DataFrame, contrast: list[float]) -> DataFrame:
     return out.withColumn("t", F.col("effect") / F.col("se"))
 
 
+def f_contrast(fit: DataFrame, contrasts: list[list[float]]) -> DataFrame:
+    """Adds f, df1, df2 of up to three contrasts at once: (C b)' (C inverse C')^-1 (C b) by their number and the dispersion."""
+    p, m = len(contrasts[0]), len(contrasts)
+    effect = [sum((F.col("beta")[i] * c for i, c in enumerate(row)), F.lit(0.0)) for row in contrasts]
+    mid = [[sum((F.col("inverse")[i * p + j] * r[i] * s[j] for i in range(p) for j in range(p)), F.lit(0.0)) for s in contrasts] for r in contrasts]
+    held = fit.select("*", *(e.alias(f"_c{i}") for i, e in enumerate(effect)), *(v.alias(f"_v{i}_{j}") for i, row in enumerate(mid) for j, v in enumerate(row)))
+    cb = [F.col(f"_c{i}") for i in range(m)]
+    turned = geometry.inverse([[F.col(f"_v{i}_{j}") for j in range(m)] for i in range(m)])
+    df2 = F.col("n") - F.col("rank")
+    value = geometry.dot(cb, [geometry.dot(row, cb) for row in turned]) / (m * F.col("rss") / df2)
+    return held.withColumn("f", value).withColumn("df1", F.lit(m).cast("long")).withColumn("df2", df2).drop(*(c for c in held.columns if c not in fit.columns))
+
+
+def predicted(rows: DataFrame, fit: DataFrame, keys: list[str], x: list[Column], link: Callable[[Column], Column] = lambda e: e) -> DataFrame:
+    """rows with the mean that their group's coefficients give."""
+    held = fit.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("beta").alias("_b"))
+    eta = sum((F.col("_b")[i] * c for i, c in enumerate(x)), F.lit(0.0))
+    return rows.join(held, _same(keys)).withColumn("predicted", link(eta)).drop("_b", *(f"_k_{k}" for k in keys))
+
+
 def compare(full: DataFrame, reduced: DataFrame, keys: list[str]) -> DataFrame:
     """F of nested fits: keys, f, df1, df2."""
     small = reduced.select(*keys, F.col("rss").alias("_rss"), F.col("rank").alias("_rank"))
@@ -79,9 +115,7 @@ def compare(full: DataFrame, reduced: DataFrame, keys: list[str]) -> DataFrame:
 def residualise(rows: DataFrame, keys: list[str], x: list[Column], y: Column, name: str = "residual") -> DataFrame:
     """y minus its fit on x by key; coefficients join back to the rows."""
     fit = solved(design_sums(rows, keys, x, y), keys, len(x)).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("beta").alias("_b"))
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    on = _same(keys)
     line = sum((F.col("_b")[i] * c for i, c in enumerate(x)), F.lit(0.0))
     return rows.join(fit, on).withColumn(name, y - line).drop("_b", *(f"_k_{k}" for k in keys))
 
@@ -100,33 +134,125 @@ def sandwich_hc0(rows: DataFrame, keys: list[str], x: list[Column], y: Column) -
     return joined.select(*keys, F.array(*cells).alias("cov"))
 
 
-#: Links and variances: (mean of eta, derivative of the mean, variance of the mean).
-FAMILIES = {
-    "poisson": (lambda e: F.exp(e), lambda e: F.exp(e), lambda m: m),
-    "binomial": (lambda e: 1 / (1 + F.exp(-e)), lambda e: F.exp(-e) / F.pow(1 + F.exp(-e), F.lit(2.0)), lambda m: m * (1 - m)),
-    "gamma": (lambda e: F.exp(e), lambda e: F.exp(e), lambda m: m * m),
+def _sandwich(meat: DataFrame, fit: DataFrame, keys: list[str], p: int, factor: Column) -> DataFrame:
+    """keys, cov: inverse, meat, inverse, times a factor. meat: xx of the scores."""
+    joined = meat.join(fit.select(*(F.col(k).alias(f"_k_{k}") for k in keys), "inverse", F.col("n").alias("_n"), "rank"), _same(keys))
+    m = [[F.col(f"xx_{min(i, j)}_{max(i, j)}") for j in range(p)] for i in range(p)]
+    inverse = [[F.col("inverse")[i * p + j] for j in range(p)] for i in range(p)]
+    cells = geometry.product(geometry.product(inverse, m), inverse)
+    return joined.select(*keys, F.array(*(factor * v for row in cells for v in row)).alias("cov"))
+
+
+def _scores(rows: DataFrame, keys: list[str], x: list[Column], y: Column, kept: list[str]) -> DataFrame:
+    """Residual times regressors of each row."""
+    scored = residualise(rows, keys, x, y, "_e")
+    return scored.select(*keys, *kept, *((F.col("_e") * c).alias(f"_s{i}") for i, c in enumerate(x)))
+
+
+def sandwich_hc1(rows: DataFrame, keys: list[str], x: list[Column], y: Column) -> DataFrame:
+    """The HC0 covariance times n / (n - rank)."""
+    fit = solved(design_sums(rows, keys, x, y), keys, len(x))
+    meat = design_sums(_scores(rows, keys, x, y, []), keys, [F.col(f"_s{i}") for i in range(len(x))], F.lit(0.0))
+    return _sandwich(meat, fit, keys, len(x), F.col("_n") / (F.col("_n") - F.col("rank")))
+
+
+def sandwich_cluster(rows: DataFrame, keys: list[str], x: list[Column], y: Column, cluster: str) -> DataFrame:
+    """Scores summed by cluster first; times G / (G - 1) * (n - 1) / (n - rank)."""
+    fit = solved(design_sums(rows, keys, x, y), keys, len(x))
+    sums = _scores(rows, keys, x, y, [cluster]).groupBy(*keys, cluster).agg(*(F.sum(f"_s{i}").alias(f"_s{i}") for i in range(len(x))))
+    meat = design_sums(sums, keys, [F.col(f"_s{i}") for i in range(len(x))], F.lit(0.0))
+    groups = F.col("n")  # rows of the sums
+    return _sandwich(meat, fit, keys, len(x), groups / (groups - 1) * (F.col("_n") - 1) / (F.col("_n") - F.col("rank")))
+
+
+#: Weights of a standardised residual.
+ROBUST = {
+    "huber": lambda u, c=1.345: F.when(F.abs(u) <= c, 1.0).otherwise(c / F.abs(u)),
+    "tukey": lambda u, c=4.685: F.when(F.abs(u) <= c, F.pow(1 - F.pow(u / c, F.lit(2.0)), F.lit(2.0))).otherwise(0.0),
 }
 
 
-def irls(rows: DataFrame, keys: list[str], x: list[Column], y: Column, family: str, rounds: int = 8, ridge: float = 1e-8) -> DataFrame:
-    """Coefficients of a generalised linear model by key: `rounds` weighted Gram aggregates, without a convergence test."""
-    mean, slope, variance = FAMILIES[family]
+def robust_fit(rows: DataFrame, keys: list[str], x: list[Column], y: Column, kind: str = "huber", rounds: int = 20, ridge: float = 0.0, tol: float = 1e-10) -> DataFrame:
+    """keys, beta, n, scale: least squares, then weights of residuals by their normalised MAD, until no coefficient moves.
+
+    Each round is two quantiles and one aggregate over all groups; a round's coefficients are staged."""
     p = len(x)
-    base = rows.select(*keys, *(c.cast("double").alias(f"_x{i}") for i, c in enumerate(x)), y.cast("double").alias("_y"))
-    start = {"poisson": F.log(F.col("_y") + 0.5), "gamma": F.log(F.greatest("_y", F.lit(1e-6))), "binomial": F.log((F.col("_y") + 0.5) / (1.5 - F.col("_y")))}[family]
+    base = staged(rows.select(*keys, *(c.cast("double").alias(f"_x{i}") for i, c in enumerate(x)), y.cast("double").alias("_y")))
     own = [F.col(f"_x{i}") for i in range(p)]
-    fit = solved(design_sums(base.withColumn("_z", start), keys, own, F.col("_z")), keys, p, ridge)
-    for _ in range(rounds):
+    fit = staged(solved(design_sums(base, keys, own, F.col("_y")), keys, p, ridge).select(*keys, "beta", "n"))
+
+    def residuals() -> tuple[DataFrame, DataFrame]:
         held = fit.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("beta").alias("_b"))
+        eta = sum((F.col("_b")[i] * c for i, c in enumerate(own)), F.lit(0.0))
+        left = base.join(held, _same(keys)).withColumn("_e", F.col("_y") - eta)
+        spread = mad(left.select(*keys, "_e"), keys, "_e").withColumnsRenamed({k: f"_s_{k}" for k in keys})
+        return left, spread.withColumn("mad", F.when(F.col("mad") > 2.3e-16, F.col("mad")).otherwise(1.0))
+
+    for _ in range(rounds):
+        left, spread = residuals()
         on = F.lit(True)
         for k in keys:
-            on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        eta = sum((F.col("_b")[i] * F.col(f"_x{i}") for i in range(p)), F.lit(0.0))
-        step = base.join(held, on).withColumn("_eta", F.greatest(F.least(eta, F.lit(30.0)), F.lit(-30.0)))
-        mu, d = mean(F.col("_eta")), F.greatest(slope(F.col("_eta")), F.lit(1e-10))
+            on = on & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
+        step = left.join(spread, on).withColumn("_w", ROBUST[kind](F.col("_e") / F.col("mad")))
+        after = staged(solved(design_sums(step, keys, own, F.col("_y"), F.col("_w")), keys, p, ridge).select(*keys, "beta", "n"))
+        moved = _largest_move(after, fit, keys)
+        fit = after
+        if moved <= tol:
+            break
+    scale = residuals()[1].select(*(F.col(f"_s_{k}").alias(f"_k_{k}") for k in keys), F.col("mad").alias("scale"))
+    return fit.join(scale, _same(keys)).drop(*(f"_k_{k}" for k in keys))
+
+
+def _largest_move(after: DataFrame, before: DataFrame, keys: list[str]) -> float:
+    old = before.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("beta").alias("_b"))
+    change = F.array_max(F.zip_with("beta", "_b", lambda a, b: F.abs(a - b) / (1 + F.abs(b))))
+    return after.join(old, _same(keys)).agg(F.max(change)).first()[0] or 0.0
+
+
+#: Links: (mean of eta, derivative of the mean, eta of a mean).
+LINKS = {
+    "identity": (lambda e: e, lambda e: F.lit(1.0), lambda m: m),
+    "log": (lambda e: F.exp(e), lambda e: F.exp(e), lambda m: F.log(m)),
+    "logit": (lambda e: 1 / (1 + F.exp(-e)), lambda e: F.exp(-e) / F.pow(1 + F.exp(-e), F.lit(2.0)), lambda m: F.log(m / (1 - m))),
+    "cloglog": (lambda e: 1 - F.exp(-F.exp(e)), lambda e: F.exp(e - F.exp(e)), lambda m: F.log(-F.log(1 - m))),
+    "inverse": (lambda e: 1 / e, lambda e: -1 / (e * e), lambda m: 1 / m),
+    "sqrt": (lambda e: e * e, lambda e: 2 * e, lambda m: F.sqrt(m)),
+}
+#: Families: variance of the mean, mean to begin with, usual link; negative binomial with theta 1, Tweedie with power 1.5.
+FAMILIES = {
+    "gaussian": (lambda m: F.lit(1.0), lambda y: y, "identity"),
+    "poisson": (lambda m: m, lambda y: y + 0.5, "log"),
+    "binomial": (lambda m: m * (1 - m), lambda y: (y + 0.5) / 2, "logit"),
+    "gamma": (lambda m: m * m, lambda y: F.greatest(y, F.lit(1e-6)), "log"),
+    "negative_binomial": (lambda m: m + m * m, lambda y: y + 0.5, "log"),
+    "tweedie": (lambda m: F.pow(m, F.lit(1.5)), lambda y: y + 0.5, "log"),
+}
+
+
+def irls(rows: DataFrame, keys: list[str], x: list[Column], y: Column, family: str, rounds: int = 25, ridge: float = 1e-8, link: str | None = None, tol: float = 1e-10) -> DataFrame:
+    """Coefficients of a generalised linear model by key: weighted Gram aggregates over all groups at once, until none moves.
+
+    Coefficients are staged after each round. Without keys all rows are one group: its one row of coefficients is joined."""
+    variance, begin, usual = FAMILIES[family]
+    mean, slope, eta_of = LINKS[link or usual]
+    p = len(x)
+    base = staged(rows.select(*keys, *(c.cast("double").alias(f"_x{i}") for i, c in enumerate(x)), y.cast("double").alias("_y")))
+    own = [F.col(f"_x{i}") for i in range(p)]
+    fit = staged(solved(design_sums(base.withColumn("_z", eta_of(begin(F.col("_y")))), keys, own, F.col("_z")), keys, p, ridge).select(*keys, "beta", "n"))
+    for _ in range(rounds):
+        held = fit.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("beta").alias("_b"))
+        eta = sum((F.col("_b")[i] * c for i, c in enumerate(own)), F.lit(0.0))
+        step = base.join(held, _same(keys)) if keys else base.join(F.broadcast(held))
+        step = step.withColumn("_eta", F.greatest(F.least(eta, F.lit(30.0)), F.lit(-30.0)))
+        mu, d = mean(F.col("_eta")), slope(F.col("_eta"))
+        d = F.when(F.abs(d) < 1e-10, 1e-10).otherwise(d)
         step = step.withColumn("_z", F.col("_eta") + (F.col("_y") - mu) / d).withColumn("_w", d * d / F.greatest(variance(mu), F.lit(1e-10)))
-        fit = solved(design_sums(step, keys, own, F.col("_z"), F.col("_w")), keys, p, ridge)
-    return fit.select(*keys, "beta", "n")
+        after = staged(solved(design_sums(step, keys, own, F.col("_z"), F.col("_w")), keys, p, ridge).select(*keys, "beta", "n"))
+        moved = _largest_move(after, fit, keys)
+        fit = after
+        if moved <= tol:
+            break
+    return fit
 
 
 def product_sums(rows: DataFrame, left: str, right: str) -> np.ndarray:
@@ -170,12 +296,28 @@ def whitening(cov: np.ndarray, sphering: float = 1.0, eps: float = 0.0) -> np.nd
     return (vectors * np.maximum(values, 1e-12) ** (-sphering / 2)) @ vectors.T
 
 
+def _mapped(matrix: np.ndarray, before: np.ndarray, after: np.ndarray) -> Callable[[Column], Column]:
+    """matrix (x - before) + after for the vectors of a batch at once; a null vector stays null."""
+
+    @F.pandas_udf("array<double>")
+    def run(vectors: pd.Series) -> pd.Series:
+        held = [v for v in vectors if v is not None]
+        if not held:
+            return pd.Series([None] * len(vectors), dtype=object)
+        found = iter((np.stack(held).astype(float) - before) @ matrix.T + after)
+        return pd.Series([None if v is None else next(found) for v in vectors], dtype=object)
+
+    return run
+
+
 def projected(rows: DataFrame, vector: str, matrix: np.ndarray, mean: np.ndarray, name: str = "z") -> DataFrame:
-    """matrix (x - mean), an expression over the array column."""
-    rows_of = [F.array(*map(F.lit, map(float, r))) for r in matrix]
-    centred = F.zip_with(F.transform(vector, lambda v: v.cast("double")), F.array(*map(F.lit, map(float, mean))), lambda a, m: a - m)
-    dots = [F.aggregate(F.zip_with("_c", r, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for r in rows_of]
-    return rows.withColumn("_c", centred).withColumn(name, F.array(*dots)).drop("_c")
+    """matrix (x - mean) of an array column."""
+    return rows.withColumn(name, _mapped(matrix, mean, np.zeros(len(matrix)))(F.col(vector)))
+
+
+def restored(rows: DataFrame, vector: str, matrix: np.ndarray, mean: np.ndarray, name: str = "restored") -> DataFrame:
+    """matrix z + mean: the way back from `projected`."""
+    return rows.withColumn(name, _mapped(matrix, np.zeros(matrix.shape[1]), mean)(F.col(vector)))
 
 
 def shrinkage(rows: DataFrame, vector: str) -> DataFrame:
@@ -229,6 +371,12 @@ def sinkhorn(spark: SparkSession, cost: DataFrame, a: DataFrame, b: DataFrame, e
     return cost.join(f, "i").join(g, "j").select("i", "j", plan.alias("p"))
 
 
+def barycentric_map(plan: DataFrame, a: DataFrame, targets: DataFrame) -> DataFrame:
+    """(i, y): the plan's mean of targets (j, y) by source, over its marginal (i, a)."""
+    sums = plan.join(targets, "j").groupBy("i").agg(F.sum(F.col("p") * F.col("y")).alias("_y"))
+    return sums.join(a, "i").select("i", (F.col("_y") / F.col("a")).alias("y"))
+
+
 def nmf(rows: DataFrame, vector: str, start: np.ndarray, rounds: int = 10, eps: float = 1e-10) -> tuple[DataFrame, np.ndarray]:
     """Multiplicative updates with the small factor (k x d) on the driver: each round is one pass and k * (k + d) sums."""
     k, d = start.shape

@@ -1,6 +1,7 @@
 """Group statistics joined back to rows: centring, scaling and clipping.
 
-Statistics are aggregated by key with map-side combine and joined back, so a hot key never gathers its rows in one task.
+Statistics are aggregated by key with map-side combine and joined back, so a hot key never gathers its rows in one task;
+quantiles come from counts by range (see `quantiles`).
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.quantiles import group_quantiles, with_group_quantiles
+
 EPS = 1e-12
 
 
@@ -54,31 +57,31 @@ def instance_norm(df: DataFrame, keys: Sequence[str], value: str, eps: float = 1
 
 def robust_zscore(df: DataFrame, keys: Sequence[str], value: str, eps: float = EPS) -> DataFrame:
     """(x - median) / (1.4826 median absolute deviation + eps)."""
-    centred = with_group_stats(df, keys, _m=F.percentile(value, 0.5)).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
-    spread = with_group_stats(centred, keys, _s=F.percentile("_d", 0.5))
+    centred = with_group_quantiles(df, keys, value, _m=0.5).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
+    spread = with_group_quantiles(centred, keys, "_d", _s=0.5)
     return spread.withColumn("robust_z", (F.col(value) - F.col("_m")) / (1.4826 * F.col("_s") + eps)).drop("_m", "_d", "_s")
 
 
 def mad(df: DataFrame, keys: Sequence[str], value: str, normalize: bool = True) -> DataFrame:
-    centred = with_group_stats(df, keys, _m=F.percentile(value, 0.5))
+    centred = with_group_quantiles(df, keys, value, _m=0.5).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
     scale = 1.4826 if normalize else 1.0
-    return centred.groupBy(*keys).agg((scale * F.percentile(F.abs(F.col(value) - F.col("_m")), 0.5)).alias("mad"))
+    return group_quantiles(centred, keys, "_d", [0.5]).select(*keys, (scale * F.get("q", F.lit(0))).alias("mad"))
 
 
 def winsorize(df: DataFrame, keys: Sequence[str], value: str, lower: float = 0.005, upper: float = 0.995) -> DataFrame:
-    both = with_group_stats(df, keys, _lo=F.percentile(value, lower), _hi=F.percentile(value, upper))
+    both = with_group_quantiles(df, keys, value, _lo=lower, _hi=upper)
     return both.withColumn("clipped", F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi"))).drop("_lo", "_hi")
 
 
 def intensity_normalize(df: DataFrame, keys: Sequence[str], value: str, low: float = 1.0, high: float = 99.0, eps: float = EPS) -> DataFrame:
-    both = with_group_stats(df, keys, _lo=F.percentile(value, low / 100), _hi=F.percentile(value, high / 100))
+    both = with_group_quantiles(df, keys, value, _lo=low / 100, _hi=high / 100)
     clipped = F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi"))
     return both.withColumn("scaled", (clipped - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + eps)).drop("_lo", "_hi")
 
 
 def percentile_rescale(df: DataFrame, keys: Sequence[str], value: str, lo: float = 0.0, hi: float = 99.0, clip: bool = True, eps: float = EPS) -> DataFrame:
     """(x - p_lo) / (p_hi + eps), clipped to [0, 1]; the divisor is the upper percentile itself."""
-    both = with_group_stats(df, keys, _lo=F.percentile(value, lo / 100), _hi=F.percentile(value, hi / 100))
+    both = with_group_quantiles(df, keys, value, _lo=lo / 100, _hi=hi / 100)
     out = (F.col(value) - F.col("_lo")) / (F.col("_hi") + eps)
     out = F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0)) if clip else out
     return both.withColumn("rescaled", out).drop("_lo", "_hi")
@@ -87,8 +90,8 @@ def percentile_rescale(df: DataFrame, keys: Sequence[str], value: str, lo: float
 def match_histogram(moving: DataFrame, reference: DataFrame, value: str, bins: int = 256) -> DataFrame:
     """Values of moving mapped linearly between quantiles of the two columns."""
     points = [i / (bins - 1) for i in range(bins)]
-    source = moving.agg(F.percentile(value, points)).first()[0]
-    target = reference.agg(F.percentile(value, points)).first()[0]
+    source = group_quantiles(moving, [], value, points).first()["q"]
+    target = group_quantiles(reference, [], value, points).first()["q"]
     knots = [(a, b) for n, (a, b) in enumerate(zip(source, target)) if n == 0 or a > source[n - 1]]
     table = F.array(*(F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a, b in knots))
     above = F.size(F.filter(table, lambda k: k["a"] <= F.col(value)))

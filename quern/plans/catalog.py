@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quern.plans import algebra, descriptive, modelling, spatial, testing
+from quern.plans import algebra, covariances, descriptive, fields, matrices, modelling, motions, signals, spatial, surfaces, testing, vectors
 
 FLAGSHIP = "corr"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (descriptive, algebra, testing, modelling, spatial):
+for _part in (descriptive, algebra, testing, modelling, spatial, surfaces, motions, covariances, vectors, signals, fields, matrices):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

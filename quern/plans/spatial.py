@@ -1,12 +1,11 @@
-"""Image, mesh and matrix-constructor queries. The image has a row of 100 cells for every 100 events."""
+"""Image queries. The image has a row of 100 cells for every 100 events."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import grid, mesh
-from quern.sources import constructors
+from quern.operators import grid
 from quern.sources.tables import read
 
 
@@ -42,33 +41,10 @@ def tfce(spark, sf_dir):
     return grid.tfce(_cells(spark, sf_dir), 4).select("x", "y", F.round("v", 4).alias("v"))
 
 
-def _sphere(op):
-    return lambda spark, sf_dir: op(*mesh.icosphere(spark, 2))
-
-
-def mesh_edges(spark, sf_dir):
-    return mesh.edge_face_adjacency(mesh.icosphere(spark, 2)[1])
-
-
-def mesh_k_ring(spark, sf_dir):
-    return mesh.k_ring(mesh.icosphere(spark, 2)[1], 2)
-
-
-def toeplitz(spark, sf_dir):
-    return constructors.toeplitz(spark, [4.0, 3.0, 2.0, 1.0], [4.0, -3.0, -2.0])
-
-
-def grid_laplacian(spark, sf_dir):
-    return constructors.grid_laplacian(spark, 6, 7)
-
-
 QUERIES = {
     "image_dilate": _image(grid.dilate), "image_erode": _image(grid.erode), "image_median": _image(grid.median), "image_laplacian": _image(grid.laplacian, 5),
     "image_stencil": _image(lambda c: grid.stencil(c, [(0, 1, 0.5), (1, 0, 0.25), (0, 0, -1.0)])), "image_gaussian": _image(lambda c: grid.gaussian(c, 1.0, 2.0)),
     "bounding_box": bounding_box, "centre_of_mass": centre_of_mass, "resample": resample, "component_sizes": component_sizes, "tfce": tfce,
-    "face_normals": _sphere(mesh.face_normals), "face_areas": _sphere(mesh.face_areas), "vertex_normals": _sphere(mesh.vertex_normals),
-    "vertex_areas": _sphere(mesh.vertex_areas), "cotangent_laplacian": _sphere(mesh.cotangent_laplacian), "mesh_smooth": _sphere(mesh.laplacian_smooth),
-    "mesh_edges": mesh_edges, "mesh_k_ring": mesh_k_ring, "toeplitz": toeplitz, "grid_laplacian": grid_laplacian,
 }
 
 _C = "WITH c AS (SELECT event_id // 100 AS x, event_id % 100 AS y, value AS v FROM events)"
@@ -84,5 +60,4 @@ ORACLE_SQL = {
     "centre_of_mass": f"{_C} SELECT round(sum(x * v) / greatest(sum(v), 1e-12), 6) AS cx, round(sum(y * v) / greatest(sum(v), 1e-12), 6) AS cy FROM c",
     "resample": f"{_C} SELECT a.x * 100 + a.y AS pid, round(sum(b.v * (CASE WHEN b.x = a.x THEN 0.75 ELSE 0.25 END) * 0.5::DOUBLE), 6) AS v FROM c a JOIN c b ON b.x - a.x IN (0, 1) AND b.y - a.y IN (0, 1) GROUP BY 1",
     "component_sizes": f"{_C.replace('WITH', 'WITH RECURSIVE')}, m AS (SELECT x * 100 + y AS id, x, y FROM c WHERE v > 60), e AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON abs(a.x - b.x) + abs(a.y - b.y) = 1), r AS (SELECT id, id AS root FROM m UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id), l AS (SELECT id, min(root) AS root FROM r GROUP BY 1), s AS (SELECT root, count(*) AS n FROM l GROUP BY 1) SELECT n, count(*) AS parts FROM s GROUP BY 1",
-    "toeplitz": "SELECT i::BIGINT AS i, j::BIGINT AS j, CASE WHEN i >= j THEN [4.0, 3.0, 2.0, 1.0][i - j + 1] ELSE [4.0, -3.0, -2.0][j - i + 1] END::DOUBLE AS value FROM range(4) a(i), range(3) b(j)",
 }

@@ -135,18 +135,6 @@ def lomb_scargle(spark, sf_dir):
     return out.select(F.col("series").alias("user_id"), "frequency", F.round("power", 6).alias("power"))
 
 
-def analytic_signal(spark, sf_dir):
-    return series.per_series(_series(spark, sf_dir), "user_id", "t", "value", series.analytic, ["re", "im", "envelope", "phase"])
-
-
-def lowpass(spark, sf_dir):
-    return series.per_series(_series(spark, sf_dir), "user_id", "t", "value", series.frequency_mask(None, 0.1), ["filtered"])
-
-
-def iir_one_pole(spark, sf_dir):
-    return series.per_series(_series(spark, sf_dir), "user_id", "t", "value", series.one_pole(0.8), ["filtered"])
-
-
 QUERIES = {
     "bce": _loss(metrics.bce_with_logits), "focal": _loss(metrics.focal_loss), "roc_auc": roc_auc, "roc_auc_all": roc_auc_all, "confusion_matrix": confusion,
     "dice_jaccard": overlap, "ssd": ssd, "ncc": ncc, "joint_histogram": joint_histogram, "mutual_information": mutual_information,
@@ -157,7 +145,7 @@ QUERIES = {
     "tsconv": _ts(series.tsconv, "convolved", [0.25, 0.5, 0.15, 0.1, -0.2]), "dilate": _ts(series.dilate, "dilated", 2), "erode": _ts(series.erode, "eroded", 2),
     "box_mean": _ts(series.box_mean, "smoothed", 3), "spatial_gradient": _ts(series.gradient, "gradient"), "ar1_whiten": _ts(series.ar1_whiten, "white", 0.4),
     "opening": _ts(series.opening, "opened", 1), "closing": _ts(series.closing, "closed", 1), "phase_frequency": phase_frequency, "cs_whiten": cs_whiten,
-    "lomb_scargle": lomb_scargle, "analytic_signal": analytic_signal, "lowpass": lowpass, "iir_one_pole": iir_one_pole,
+    "lomb_scargle": lomb_scargle,
 }
 
 _L = "WITH l AS (SELECT event_id, event_type, user_id, (value - 50) / 25 AS x, CASE WHEN user_id % 3 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS t FROM events WHERE user_id IS NOT NULL)"
