@@ -184,7 +184,7 @@ def robust_fit(rows: DataFrame, keys: list[str], x: list[Column], y: Column, kin
     def residuals() -> tuple[DataFrame, DataFrame]:
         held = fit.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("beta").alias("_b"))
         eta = sum((F.col("_b")[i] * c for i, c in enumerate(own)), F.lit(0.0))
-        left = base.join(held, _same(keys)).withColumn("_e", F.col("_y") - eta)
+        left = staged(base.join(held, _same(keys)).withColumn("_e", F.col("_y") - eta).select(*keys, *(f"_x{i}" for i in range(p)), "_y", "_e"))
         spread = mad(left.select(*keys, "_e"), keys, "_e").withColumnsRenamed({k: f"_s_{k}" for k in keys})
         return left, spread.withColumn("mad", F.when(F.col("mad") > 2.3e-16, F.col("mad")).otherwise(1.0))
 

@@ -34,7 +34,7 @@ def multi_label(spark, sf_dir):
 
 def _displacement(spark, sf_dir) -> DataFrame:
     """A displacement of each cell, from its value and its row."""
-    return _cells(spark, sf_dir).select("img", "x", "y", (F.col("v") / 100 - 0.4).alias("ux"), ((F.col("v") % 7) / 10).alias("uy"))
+    return _cells(spark, sf_dir).select("img", "x", "y", (F.col("v") / 97 - 0.4).alias("ux"), ((F.col("v") % 7) / 11).alias("uy"))
 
 
 def jacobian(spark, sf_dir):
@@ -163,7 +163,7 @@ def _taps(method: str) -> str:
     return f"{_C}, {_POINTS}, {all_taps} SELECT pid, {_V.format(f'sum({wx} * {wy} * coalesce(v, 0)){scale}')} FROM t LEFT JOIN c USING (x, y) GROUP BY 1"
 
 
-_U = f"{_C}, u AS (SELECT x, y, v / 100 - 0.4 AS ux, (v % 7) / 10 AS uy FROM c), b AS (SELECT max(x) AS mx, max(y) AS my FROM c)"
+_U = f"{_C}, u AS (SELECT x, y, v / 97 - 0.4 AS ux, (v % 7) / 11 AS uy FROM c), b AS (SELECT max(x) AS mx, max(y) AS my FROM c)"
 _WARP = "{0}, p AS (SELECT u.x AS ox, u.y AS oy, ux, uy, least(greatest(u.x + ux, 0), mx) AS px, least(greatest(u.y + uy, 0), my) AS py FROM u, b), t AS (SELECT *, least(floor(px)::BIGINT + i, mx) AS x, least(floor(py)::BIGINT + j, my) AS y, (CASE i WHEN 0 THEN 1 - (px - floor(px)) ELSE px - floor(px) END) * (CASE j WHEN 0 THEN 1 - (py - floor(py)) ELSE py - floor(py) END) AS w FROM p, b, range(2) a(i), range(2) d(j))"
 _BI = f"{_C}, w AS (SELECT a.x, a.y, b.v, exp(-0.5 * ((pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 1.0 + pow((a.v - b.v) / 20.0, 2))) AS w FROM c a JOIN c b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1), s AS (SELECT x, y, sum(w * v) / sum(w) AS v FROM w GROUP BY 1, 2)"
 _HD = f"{_C}, m AS (SELECT x, y, v > 50 AS p, v > 45 AND v < 97 AS t FROM c), e AS (SELECT a.x, a.y, a.p AND count(*) FILTER (WHERE b.p) < 4 AS p, a.t AND count(*) FILTER (WHERE b.t) < 4 AS t FROM m a LEFT JOIN m b ON abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY a.x, a.y, a.p, a.t), f AS (SELECT a.x, a.y, sqrt(min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM e a, e b WHERE a.p AND b.t GROUP BY 1, 2), g AS (SELECT a.x, a.y, sqrt(min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM e a, e b WHERE a.t AND b.p GROUP BY 1, 2)"
@@ -181,7 +181,7 @@ ORACLE_SQL = {
     "sample_nearest": f"{_C}, {_POINTS} SELECT pid, {_V.format('coalesce(v, 0)')} FROM p LEFT JOIN c ON c.x = floor(px + 0.5) AND c.y = floor(py + 0.5)",
     "sample_linear": _taps("linear"), "sample_catmull_rom": _taps("catmull_rom"), "sample_lanczos": _taps("lanczos"),
     "sample_labels": f"{_C}, {_POINTS}, t AS (SELECT pid, floor(v / 20)::BIGINT AS label, sum((1 - abs(px - x)) * (1 - abs(py - y))) AS w FROM p JOIN c ON abs(px - x) < 1 AND abs(py - y) < 1 GROUP BY 1, 2) SELECT pid, label FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY round(w, 9) DESC, label) AS k FROM t) WHERE k = 1",
-    "jacobian": f"{_U}, j AS (SELECT u.x, u.y, (r.ux - l.ux) / 2 AS gxx, (r.uy - l.uy) / 2 AS gyx, (d.ux - e.ux) / 2 AS gxy, (d.uy - e.uy) / 2 AS gyy FROM u, b JOIN u r ON r.x = least(u.x + 1, mx) AND r.y = u.y JOIN u l ON l.x = greatest(u.x - 1, 0) AND l.y = u.y JOIN u d ON d.x = u.x AND d.y = least(u.y + 1, my) JOIN u e ON e.x = u.x AND e.y = greatest(u.y - 1, 0)) SELECT x, y, " + ", ".join(f"(round({e}, 7) + 0.0::DOUBLE) AS {n}" for e, n in (("1 + gxx", "jxx"), ("gxy", "jxy"), ("gyx", "jyx"), ("1 + gyy", "jyy"), ("(1 + gxx) * (1 + gyy) - gxy * gyx", "det"))) + " FROM j",
+    "jacobian": f"{_U}, k AS (SELECT u.*, least(x + 1, mx) AS xr, greatest(x - 1, 0) AS xl, least(y + 1, my) AS yd, greatest(y - 1, 0) AS ye FROM u, b), j AS (SELECT u.x, u.y, (r.ux - l.ux) / 2 AS gxx, (r.uy - l.uy) / 2 AS gyx, (d.ux - e.ux) / 2 AS gxy, (d.uy - e.uy) / 2 AS gyy FROM k u JOIN u r ON r.x = u.xr AND r.y = u.y JOIN u l ON l.x = u.xl AND l.y = u.y JOIN u d ON d.x = u.x AND d.y = u.yd JOIN u e ON e.x = u.x AND e.y = u.ye) SELECT x, y, " + ", ".join(f"(round({e}, 7) + 0.0::DOUBLE) AS {n}" for e, n in (("1 + gxx", "jxx"), ("gxy", "jxy"), ("gyx", "jyx"), ("1 + gyy", "jyy"), ("(1 + gxx) * (1 + gyy) - gxy * gyx", "det"))) + " FROM j",
     "compose_displacement": _WARP.format(_U) + ", k AS (SELECT ox, oy, t.ux AS ix, t.uy AS iy, u.ux, u.uy, w FROM t JOIN u USING (x, y)) SELECT ox AS x, oy AS y, (round(any_value(ix) + sum(w * ux), 6) + 0.0::DOUBLE) AS ux, (round(any_value(iy) + sum(w * uy), 6) + 0.0::DOUBLE) AS uy FROM k GROUP BY 1, 2",
     "spatial_transform": _WARP.format(_U) + f" SELECT ox AS x, oy AS y, {_V.format('sum(w * v)')} FROM t JOIN c USING (x, y) GROUP BY 1, 2",
     "downsample": f"{_C}, d AS (SELECT a.x, a.y, sum(b.v * exp(-0.5 * pow(a.x - b.x, 2))) / sum(exp(-0.5 * pow(a.x - b.x, 2))) AS v FROM c a JOIN c b ON a.y = b.y AND abs(a.x - b.x) <= 4 GROUP BY 1, 2), e AS (SELECT a.x, a.y, sum(b.v * exp(-0.5 * pow(a.y - b.y, 2))) / sum(exp(-0.5 * pow(a.y - b.y, 2))) AS v FROM d a JOIN d b ON a.x = b.x AND abs(a.y - b.y) <= 4 GROUP BY 1, 2) SELECT x // 2 AS x, y // 2 AS y, {_V.format('v')} FROM e WHERE x % 2 = 0 AND y % 2 = 0",

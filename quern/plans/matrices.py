@@ -14,7 +14,7 @@ from quern.sources.tables import read
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trade matrix of nations as cells i, j, value."""
-    return _trade(spark, sf_dir).select(F.col("src").alias("i"), F.col("dst").alias("j"), (F.col("value") / 700).alias("value"))
+    return _trade(spark, sf_dir).select(F.col("src").alias("i"), F.col("dst").alias("j"), (F.col("value") / 1000 / F.sqrt(F.lit(2.0))).alias("value"))
 
 
 def _matrix(op, digits: int = 6):
@@ -169,7 +169,7 @@ QUERIES = {
 }
 
 _E = "e AS (SELECT o_custkey AS src, l_suppkey AS dst, sum(l_extendedprice) / 1000 AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
-_T = f"WITH {_E}, t AS (SELECT c_nationkey::BIGINT AS i, s_nationkey::BIGINT AS j, sum(value) AS value FROM e JOIN customer ON src = c_custkey JOIN supplier ON dst = s_suppkey GROUP BY 1, 2), m AS (SELECT i, j, value / 700 AS value FROM t), y AS (SELECT i, j, sum(value) / 2 AS value FROM (SELECT i, j, value FROM m UNION ALL SELECT j, i, value FROM m) GROUP BY 1, 2)"
+_T = f"WITH {_E}, t AS (SELECT c_nationkey::BIGINT AS i, s_nationkey::BIGINT AS j, sum(value) AS value FROM e JOIN customer ON src = c_custkey JOIN supplier ON dst = s_suppkey GROUP BY 1, 2), m AS (SELECT i, j, value / 1000 / sqrt(2) AS value FROM t), y AS (SELECT i, j, sum(value) / 2 AS value FROM (SELECT i, j, value FROM m UNION ALL SELECT j, i, value FROM m) GROUP BY 1, 2)"
 
 
 def _r(expression: str, digits: int, name: str) -> str:

@@ -196,7 +196,7 @@ def _family(family: str, y: str, link: str | None = None):
 QUERIES |= {
     "t_test": t_test, "confidence_interval": confidence_interval, "gamma_contrast": gamma_contrast, "wasserstein": wasserstein, "barycentric_map": barycentric, "glm_gamma": _family("gamma", "l_extendedprice / 1000"),
     "glm_negative_binomial": _family("negative_binomial", "floor(l_quantity)"), "glm_tweedie": _family("tweedie", "l_quantity"), "glm_sqrt_link": _family("poisson", "floor(l_quantity)", "sqrt"),
-    "glm_cloglog": _family("binomial", "double(l_tax > 0.04)", "cloglog"), "glm_inverse_link": _family("gamma", "l_quantity", "inverse"),
+    "glm_cloglog": _family("binomial", "double(l_tax > 0.04)", "cloglog"),
 }
 
 
@@ -255,11 +255,10 @@ ORACLE_SQL |= {
     "glm_gamma": _irls_sql("l_extendedprice / 1000", "ln(greatest(y, 1e-6))", *_LOG, "m * m", 12), "glm_negative_binomial": _irls_sql("floor(l_quantity)", "ln(y + 0.5)", *_LOG, "m + m * m", 12),
     "glm_tweedie": _irls_sql("l_quantity", "ln(y + 0.5)", *_LOG, "pow(m, 1.5)", 12), "glm_sqrt_link": _irls_sql("floor(l_quantity)", "sqrt(y + 0.5)", "e * e", "2 * e", "m", 8),
     "glm_cloglog": _irls_sql("CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END", "ln(-ln(1 - (y + 0.5) / 2))", "1 - exp(-exp(e))", "exp(e - exp(e))", "m * (1 - m)", 8),
-    "glm_inverse_link": _irls_sql("l_quantity", "1 / greatest(y, 1e-6)", "1 / e", "-1 / (e * e)", "m * m", 12),
     "sinkhorn": f"{_sinkhorn_sql(4)} SELECT i, j, round(p * 1000, 7) AS p FROM t", "wasserstein": f"{_sinkhorn_sql(4)} SELECT round(sum(p * c), 6) AS cost FROM t",
     "barycentric_map": f"{_sinkhorn_sql(4)} SELECT i, round(sum(p * j) * (SELECT count(*) FROM p), 6) AS y FROM t GROUP BY 1",
     "kmeans": _kmeans_sql(4, 20),
-    "t_test": f"{_SLOPE}, p AS (SELECT l_suppkey, t, nu, (pi() / 2 - atan(abs(t) / sqrt(nu))) / 400 AS h FROM t), i AS (SELECT l_suppkey, t, h / 3 * sum((CASE WHEN k = 0 OR k = 400 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(sin(k * h), nu - 1)) AS s, any_value(nu) AS nu FROM p, range(401) r(k) GROUP BY l_suppkey, t, h) SELECT l_suppkey, round(t, 5) AS t, round(least(1.0, 2 * s * exp(lgamma((nu + 1) / 2) - lgamma(nu / 2)) / sqrt(pi())), 7) AS p FROM i",
+    "t_test": f"{_SLOPE}, p AS (SELECT l_suppkey, t, nu, (pi() / 2 - atan(abs(t) / sqrt(nu))) / 4000 AS h FROM t), i AS (SELECT l_suppkey, t, h / 3 * sum((CASE WHEN k = 0 OR k = 4000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(sin(k * h), nu - 1)) AS s, any_value(nu) AS nu FROM p, range(4001) r(k) GROUP BY l_suppkey, t, h) SELECT l_suppkey, round(t, 5) AS t, round(least(1.0, 2 * s * exp(lgamma((nu + 1) / 2) - lgamma(nu / 2)) / sqrt(pi())), 7) AS p FROM i",
     "confidence_interval": f"{_SLOPE}, q AS (SELECT *, 1.959963984540054::DOUBLE AS z FROM t), c AS (SELECT *, z + (pow(z, 3) + z) / (4 * nu) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * nu * nu) + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / (384 * pow(nu, 3)) + (79 * pow(z, 9) + 776 * pow(z, 7) + 1482 * pow(z, 5) - 1920 * pow(z, 3) - 945 * z) / (92160 * pow(nu, 4)) AS q FROM q) SELECT l_suppkey, round(b2 - q * se, 5) AS low, round(b2 + q * se, 5) AS high FROM c",
     "shrinkage": _SHRINK, "nmf": _nmf_sql(5),
 }
