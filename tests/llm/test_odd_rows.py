@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quern.llm import avi_media, bpe_count, chat_parts, curriculum, license_scan, mil_quality, packing, quality_llr, secrets, token_join
 from quern.llm.words import n_words
@@ -13,8 +14,6 @@ PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers
 
 
 def sizes(docs):
-    from pyspark.sql import functions as F
-
     return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
 
 
@@ -22,7 +21,14 @@ def labels(spark):
     return spark.createDataFrame([(4, 1), (6, 0), (9, 0), (5, None), (None, 1), (77, 1)], "doc_id long, quality int")
 
 
+def chat(docs):
+    """Rows of documents as turns: source is the conversation, n_chars the turn, lang the role."""
+    turns = docs.select(F.crc32(F.coalesce("source", F.lit(""))).alias("conv_id"), F.col("n_chars").alias("turn"), F.col("lang").alias("role"), chat_parts.text_parts(F.col("text")).alias("parts"), "doc_id")
+    return chat_parts.digest(chat_parts.format_turns(turns))
+
+
 OPERATORS = {
+    "chat": lambda spark, d: chat(d),
     "quality_llr": lambda spark, d: quality_llr.quality_rules(d, spark.createDataFrame([(4,), (None,)], "doc_id long")),
     "avi": lambda spark, d: avi_media.read_back(avi_media.store(d, "text")),
     "clips": lambda spark, d: avi_media.clips(avi_media.store(d, "text")),
@@ -41,7 +47,7 @@ def test_empty_table_gives_no_rows(spark, empty, name):
     assert OPERATORS[name](spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(set(OPERATORS) - {"clips", "packing"}))
+@pytest.mark.parametrize("name", sorted(set(OPERATORS) - {"clips", "packing", "chat"}))
 def test_every_row_gets_a_row(spark, odd, name):
     rows = OPERATORS[name](spark, odd).collect()
     assert len(rows) == 11 and sorted(str(r.doc_id) for r in rows) == sorted(map(str, [1, None, 2, 3, 4, 4, 5, 6, 7, 8, 9]))
@@ -51,6 +57,11 @@ def by_id(rows):
     return {r.doc_id: r for r in rows.collect()}
 
 
+def test_chat_of_odd_rows(spark, odd):
+    rows = chat(odd).collect()
+    assert sum(r.n_turns for r in rows) == 11 and len(rows) == 4  # nulls and the empty source are one conversation here
+
+
 def test_token_join_of_odd_rows(spark, odd):
     rows = by_id(token_join.jaccard_components(odd))
     assert (rows[1].n_shingles, rows[1].component_id, rows[2].component_id, rows[3].n_shingles) == (0, 1, 2, 0)
