@@ -45,9 +45,9 @@ PERCENT = 75
 #: The extended prefix has n / EXTENSION more tokens.
 EXTENSION = 16
 #: A token in more sets is of the frequent class, whatever the corpus: no rare token's bucket holds more.
-FREQUENT = 256
+FREQUENT = 64
 #: Followers of a leader that meet in one task; beyond it, they are dealt by hash.
-FOLLOWERS = 4096
+FOLLOWERS = 65_536
 #: Rows of eight bytes that are broadcast at most.
 MOST_BROADCAST = 2_000_000
 #: Leaders that each set is compared with before open pairs are looked for.
