@@ -177,5 +177,5 @@ ORACLE_SQL = {
     "modularity": f"WITH {_T}, c AS (SELECT n_nationkey AS id, n_regionkey AS c FROM nation), x AS (SELECT value, p.c AS a, q.c AS b FROM t JOIN c p ON p.id = src JOIN c q ON q.id = dst), m AS (SELECT sum(value) AS m, sum(CASE WHEN a = b THEN value ELSE 0 END) AS inside FROM x), o AS (SELECT a AS c, sum(value) AS k FROM x GROUP BY 1), i AS (SELECT b AS c, sum(value) AS k FROM x GROUP BY 1), n AS (SELECT sum(o.k * i.k) AS n FROM o JOIN i USING (c)) SELECT round((inside - n / m) / m, 8) AS q FROM m, n",
     "modularity_matrix": f"WITH {_T}, i AS (SELECT dst AS id, sum(value) AS k FROM t GROUP BY 1), m AS (SELECT sum(value) AS m FROM t) SELECT src, dst, round((value - d.d * i.k / m) / m, 9) AS value FROM t JOIN d ON d.id = src JOIN i ON i.id = dst, m",
     "coaffiliation": "SELECT a.n_nationkey AS i, b.n_nationkey AS j, sum((a.n_nationkey + 1.0::DOUBLE) * (b.n_nationkey + 1.0::DOUBLE)) AS value FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey GROUP BY 1, 2",
-    "connected_components": "WITH RECURSIVE p AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_orderkey % 64 = 0), e AS (SELECT src, dst FROM p UNION SELECT dst, src FROM p), r AS (SELECT s_suppkey AS id, s_suppkey AS label FROM supplier UNION SELECT e.dst, r.label FROM r JOIN e ON e.src = r.id) SELECT id, min(label) AS label FROM r GROUP BY 1",
+    "connected_components": "WITH RECURSIVE p AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1), e AS (SELECT src, dst FROM p UNION SELECT dst, src FROM p), r AS (SELECT s_suppkey AS id, s_suppkey AS label FROM supplier UNION SELECT e.dst, r.label FROM r JOIN e ON e.src = r.id) SELECT id, min(label) AS label FROM r GROUP BY 1",
 }
