@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import avi_media, bpe_count, chat_parts, curriculum, license_scan, mil_quality, packing, quality_llr, secrets, token_join
+from quern.llm import avi_media, bpe_count, chat_parts, curriculum, drift_means, license_scan, mil_quality, packing, quality_llr, secrets, token_align, token_join, warc_zstd
 from quern.llm.words import n_words
 
 
@@ -66,6 +66,21 @@ def op10_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_parts.digest(chat_parts.format_turns(rows))
 
 
+def op11_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bundles = warc_zstd.write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    read = warc_zstd.read_back(bundles)
+    return read.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def op12_drift_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids, _ = drift_means.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return drift_means.digest(found, centroids)
+
+
+def op13_pointer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_quality_llr": op1_quality_llr,
     "op2_avi_media": op2_avi_media,
@@ -77,6 +92,9 @@ QUERIES = {
     "op8_linear_grouping": op8_linear_grouping,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_chat_parts": op10_chat_parts,
+    "op11_seekable_warc": op11_seekable_warc,
+    "op12_drift_clusters": op12_drift_clusters,
+    "op13_pointer_alignment": op13_pointer_alignment,
 }
 
 _OP4 = r"""
@@ -152,4 +170,33 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op4_token_join": _OP4, "op9_curriculum_mix": _OP9, "op10_chat_parts": _OP10}
+_OP11 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, h FROM p),
+b AS (
+  SELECT *, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)
+                             FOR i IN range(32)], '') AS payload_digest,
+         max(page_id) OVER (PARTITION BY h) AS most
+  FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = most THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> most THEN most END AS refers_to
+FROM b
+"""
+
+
+def _op12(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds in whole numbers."""
+    near = "SELECT vec_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.vec_id, z.c, list_sum([(v.v[i] - z.v[i]) * (v.v[i] - z.v[i]) FOR i IN range(1, 65)])::BIGINT AS d FROM v, {t} z) GROUP BY 1"
+    parts = [
+        "v AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings WHERE len(embedding) = 64 AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM v ORDER BY sha256('2:' || vec_id) LIMIT {k})",
+    ]
+    for n in range(rounds):
+        parts.append(f"a{n} AS MATERIALIZED ({near.format(t=f'c{n}')})")
+        parts.append(f"m{n} AS (SELECT c, list(floor_mean ORDER BY i) AS v FROM (SELECT c, i, ((sum(x) - (((sum(x) % count(*)) + count(*)) % count(*))) // count(*))::BIGINT AS floor_mean FROM (SELECT a{n}.c, unnest(range(1, 65)) AS i, unnest(v.v) AS x FROM a{n} JOIN v USING (vec_id)) GROUP BY 1, 2) GROUP BY 1)")
+        parts.append(f"c{n + 1} AS MATERIALIZED (SELECT z.c, coalesce(m.v, z.v) AS v FROM c{n} z LEFT JOIN m{n} m USING (c))")
+    last = f"f AS ({near.format(t=f'c{rounds}')})"
+    return f"WITH {', '.join([*parts, last])} SELECT vec_id, c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(z.v, ',')) AS centroid_sha256 FROM f JOIN c{rounds} z USING (c)"
+
+
+ORACLE_SQL = {"op4_token_join": _OP4, "op9_curriculum_mix": _OP9, "op10_chat_parts": _OP10, "op11_seekable_warc": _OP11, "op12_drift_clusters": _op12()}

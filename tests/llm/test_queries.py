@@ -28,7 +28,7 @@ def rows_of(spark, name):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     theirs = con.sql(ORACLE_SQL[name])
     columns = sorted(theirs.columns)
