@@ -99,8 +99,7 @@ class Units(dict):
         self.encode, self.pieces = model.encode, pieces
 
     def __missing__(self, unit: str) -> list[int]:
-        # the library puts a space before all that it gets
-        ids = self.encode(unit[1:], num_threads=1) if unit[0] == " " else self.encode("\n" + unit, num_threads=1)[2:]
+        ids = self.encode("\n" + unit, num_threads=1)[2:]  # without the space that the library puts first, and the break
         if b"".join(self.pieces[i] for i in ids) != unit.encode():
             ids = [-1, *ids]
         if len(unit) <= LONGEST_REMEMBERED:
