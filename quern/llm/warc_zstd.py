@@ -9,7 +9,7 @@ Of records with equal payloads the one with the largest id is a response, an HTT
 revisits of it, which hold the HTTP head only, whose Content-Length is that of the full payload. Payloads of fewer than
 `least` bytes are always responses. Digests are SHA-1 in base32; payloads are told apart by digest and length.
 
-A payload is exchanged once, with what its record is to be, by its own id; what says so is narrow: ids, digests and
+A payload is exchanged once, compressed, with what its record is to be, by its own id; what says so is narrow: ids, digests and
 lengths. Its largest groups of copies are dealt over SALTS parts, by which their largest id is found and handed back.
 Bundles are rows of a written table, as only Spark reaches every store; `save` writes them as files.
 
@@ -161,9 +161,20 @@ def roles(keys: DataFrame, least: int = 0) -> DataFrame:
     return salted.join(back, ["_digest", "_size", "_salt"]).select("_id", "_digest", "_size", first.alias("_first"), "_refers")
 
 
+def _packing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads compressed one by one, for their exchange."""
+    packer = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        at = batch.schema.get_field_index("_payload")
+        columns = list(batch.columns)
+        columns[at] = pa.array([packer.compress(v.as_buffer()) for v in columns[at]], pa.binary())
+        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+
 def _writing(least: int, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, bundle = TaskContext.get().partitionId(), 0, Bundle(level)
+        unpacker = zstandard.ZstdDecompressor()
 
         def out() -> pa.RecordBatch:
             index = [{"record": r, "frame": f, "offset": o, "length": n} for r, f, o, n in bundle.index]
@@ -179,7 +190,7 @@ def _writing(least: int, level: int):
                 digest = base64.b32encode(bytes.fromhex(row["_digest"])).decode()
                 own = identifier(key, copy)
                 refers = None if response else identifier(row["_refers_key"], 0)
-                bundle.add(own, record("response" if response else "revisit", own, row["_url"], digest, row["_size"], payload.encode() if response else b"", refers))
+                bundle.add(own, record("response" if response else "revisit", own, row["_url"], digest, row["_size"], unpacker.decompress(payload) if response else b"", refers))
                 if bundle.size >= BUNDLE:
                     yield out()
                     number, bundle = number + 1, Bundle(level)
@@ -203,8 +214,9 @@ def write(pages: DataFrame, id_column: str = "page_id", url: str = "url", payloa
     small_batches(pages.sparkSession, 1000)
     whole = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(F.col(id_column).alias("_id"), F.col(url).alias("_url"), whole.alias("_payload"), F.sha1(F.encode(whole, "UTF-8")).alias("_digest"), F.octet_length(whole).cast("long").alias("_size"))
+    packed = rows.mapInArrow(_packing, f"_id {rows.schema['_id'].dataType.simpleString()}, _url string, _payload binary, _digest string, _size long")
     told = roles(rows.select("_id", "_digest", "_size"), least).withColumnsRenamed({"_id": "_k", "_digest": "_d", "_size": "_s"})
-    met = rows.join(told, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_d")) & (F.col("_size") == F.col("_s")))
+    met = packed.join(told, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_d")) & (F.col("_size") == F.col("_s")))
     copies = Window.partitionBy("_id", "_digest", "_size").orderBy("_url")
     ready = met.withColumn("_copy", F.row_number().over(copies) - 1)
     ready = ready.select("_payload", "_url", "_digest", "_size", "_first", "_copy", _key(F.col("_id")).alias("_key"), _key(F.col("_refers")).alias("_refers_key"))
