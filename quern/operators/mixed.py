@@ -155,8 +155,7 @@ def _step(theta: np.ndarray, score: np.ndarray, info: np.ndarray, damping: np.nd
     diagonal = np.einsum("nii->ni", info)
     held = info + (damping[:, None] * np.maximum(diagonal, 1e-12))[:, :, None] * np.eye(k) + 1e-12 * np.eye(k)
     move = np.linalg.solve(held, score[:, :, None])[:, :, 0]
-    longest = np.abs(np.where(logs, move, 0)).max(axis=1)
-    move *= np.minimum(1.0, LONGEST_STEP / np.maximum(longest, 1e-300))[:, None]
+    move = np.where(logs, np.clip(move, -LONGEST_STEP, LONGEST_STEP), move)
     trial = theta + move
     low, high = trial[:, -1:] - FARTHEST, trial[:, -1:] + FARTHEST
     return np.where(logs, np.clip(trial, low, high), trial), (score * move).sum(axis=1)
@@ -205,7 +204,7 @@ def _stepped(layout: Layout, tol: float):
             flat = lambda name: found[name].reshape(n, -1)
             theta = pick(trial, theta)
             held = {c: pick(flat(c), _stack(part[c], 0)) for c in ("score", "info", "beta", "cov", "moves")}
-            damping = np.where(better, np.maximum(damping / 10, 1e-8), damping * 10)
+            damping = np.where(better, np.maximum(damping / 10, 1e-8), np.maximum(damping * 10, 1e-2))
             trial, gain = _step(theta, held["score"], held["info"].reshape(n, layout.n, layout.n), damping, logs)
             out = part[[c for c in part.columns if c != "sums"]].copy()
             for c, v in held.items():
@@ -214,7 +213,7 @@ def _stepped(layout: Layout, tol: float):
             out["loglik"], out["rank"] = pick(found["loglik"], before), pick(found["rank"], part["rank"].to_numpy())
             out["damping"], out["rounds"] = np.where(done, part["damping"], damping), part["rounds"] + ~done
             # a step that promises nothing, or one that no damping makes good
-            out["done"] = done | (better & (gain <= tol)) | (damping > 1e8)
+            out["done"] = done | (better & (gain <= tol * np.maximum(np.abs(found["loglik"]) / 100, 1))) | (damping > 1e8)
             yield out
 
     return run
@@ -335,9 +334,10 @@ class Fit:
         return met.withColumn("p", tails.t_pvalue(F.col("t"), F.col("df")))
 
 
-def lme_fit(rows: DataFrame, keys: list[str], group: str, x: list[Column], y: Column, z: list[Column] | None = None, diagonal: bool = False, rounds: int = 60, tol: float = 1e-10) -> Fit:
+def lme_fit(rows: DataFrame, keys: list[str], group: str, x: list[Column], y: Column, z: list[Column] | None = None, diagonal: bool = False, rounds: int = 60, tol: float = 1e-14) -> Fit:
     """The mixed model of each element (keys). z: columns with random effects by group, by default an intercept; diagonal:
-    independent effects. Rounds end when no element's step promises more than tol of likelihood."""
+    independent effects. Rounds end when no element's step promises more than tol of log-likelihood
+    (of a hundredth of it, where that is more than 1)."""
     z = [F.lit(1.0)] if z is None else z
     layout = Layout(len(x), len(z), diagonal)
     products = staged(group_products(rows, keys, group, x, z, y))
