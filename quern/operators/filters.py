@@ -1,21 +1,15 @@
-"""Recursive filters over series of any length: a scan of sorted ranges whose states are handed on.
-
-Rows are dealt by range of (series, time) and sorted, so a long series runs over many tasks. Each task filters its range
-from a zero state; as the filter is linear, what the range before it leaves adds C A^k s to the k-th row of the series
-that goes on. Only one state a range goes to the driver.
-"""
+"""Recursive filters over series of any length: cascades of second-order sections as scans of their state spaces."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators import scans
 from quern.session import staged
 
 
@@ -64,93 +58,38 @@ def impulse_response(sos: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _section(b0: float, b1: float, b2: float, a1: float, a2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A, b, c of what a section adds to b0 x, in coordinates in which A turns and shrinks, so that its powers stay as exact
+    for slow poles as for fast ones. Differences that nearly cancel are taken in fractions."""
+    exact = Fraction
+    one, two = exact(b1) - exact(a1) * exact(b0), exact(b2) - exact(a2) * exact(b0)
+    middle, square = -exact(a1) / 2, exact(a1) ** 2 / 4 - exact(a2)
+    root = math.sqrt(abs(square))
+    if square < 0:
+        turn = [[float(middle), -root], [root, float(middle)]]
+        return np.array(turn), np.array([1.0, 0.0]), np.array([float(one), float(two + one * middle) / root])
+    low, high = float(middle) - root, float(middle) + root
+    return np.array([[high, 0.0], [1.0, low]]), np.array([1.0, 0.0]), np.array([float(one), float(two + one * exact(low))])
+
+
 def state_space(sos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """A, B, C, D of the cascade: s' = A s + B x, y = C s + D x; two states a section."""
     n = 2 * len(sos)
-
-    def step(state: np.ndarray, x: float) -> tuple[np.ndarray, float]:
-        after = np.zeros(n)
-        for k, (b0, b1, b2, _, a1, a2) in enumerate(sos):
-            y = state[2 * k] + b0 * x
-            after[2 * k], after[2 * k + 1] = b1 * x - a1 * y + state[2 * k + 1], b2 * x - a2 * y
-            x = y
-        return after, x
-
-    columns = [step(np.eye(n)[i], 0.0) for i in range(n)]
-    b, d = step(np.zeros(n), 1.0)
-    return np.array([c for c, _ in columns]).T, b, np.array([y for _, y in columns]), d
+    a, b, c, d = np.zeros((n, n)), np.zeros(n), np.zeros(n), 1.0
+    for k, (b0, b1, b2, _, a1, a2) in enumerate(np.asarray(sos, float)):
+        own, into, out = _section(*map(float, (b0, b1, b2, a1, a2)))
+        here = slice(2 * k, 2 * k + 2)
+        a[here], b[here] = np.outer(into, c), into * d  # what the sections before give goes in
+        a[here, here] = own
+        c, d = c * b0, d * b0
+        c[here] = out
+    return a, b, c, d
 
 
 def sosfilt(rows: DataFrame, series: str, t: str, value: str, sos: np.ndarray) -> DataFrame:
-    """series, t, filtered: the causal cascade over each series in the order of time, from rest."""
-    a, b, c, d = state_space(sos)
-    size = len(a)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        state, now, first, since, held = np.zeros(size), None, True, 0, None
-        for batch in batches:
-            names, values = batch.column("series").to_pylist(), batch.column("v").to_pylist()
-            out, place = [], []
-            for name, x in zip(names, values):
-                if now is None or name != now[0]:
-                    first, since = now is None, 0
-                    state, now = np.zeros(size), (name,)
-                out.append(float(c @ state) + d * x)
-                state = a @ state + b * x
-                place.append(since if first else None)
-                since += 1
-            if out:
-                if held is not None:
-                    yield held
-                held = pa.RecordBatch.from_arrays(
-                    [batch.column("series"), batch.column("t"), pa.array(out, pa.float64()), pa.array(place, pa.int64()), pa.array([part] * len(out), pa.int32()), pa.array([None] * (len(out) - 1) + [state.tolist()], pa.list_(pa.float64()))],
-                    names=["series", "t", "y", "place", "part", "state"],
-                )
-        if held is not None:
-            yield held
-
-    ready = rows.select(F.col(series).alias("series"), F.col(t).alias("t"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"))
-    kind = {f.name: f.dataType.simpleString() for f in ready.schema}
-    number = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = ready.repartitionByRange(number, "series", "t").sortWithinPartitions("series", "t")
-    local = staged(ordered.mapInArrow(run, f"series {kind['series']}, t {kind['t']}, y double, place long, part int, state array<double>"))
-    ends = local.filter("state IS NOT NULL").select("part", F.col("series").alias("last"), "place", "state")
-    heads = local.filter("place = 0").select("part", F.col("series").alias("head"))
-    carried, before, name = {}, np.zeros(size), None
-    for r in ends.join(heads, "part").orderBy("part").collect():  # one short row a range
-        start = before if name is not None and r["head"] == name[0] else np.zeros(size)
-        if start.any():
-            carried[r["part"]] = start
-        whole = r["place"] is not None  # one series from end to end
-        before = np.array(r["state"]) + (np.linalg.matrix_power(a, r["place"] + 1) @ start if whole else 0)
-        name = (r["last"],)
-    if not carried:
-        return local.select("series", "t", F.col("y").alias("filtered"))
-    table = _answers(a, c, carried)
-
-    def corrected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            y, parts = batch.column("y").to_numpy().copy(), batch.column("part").to_numpy()
-            place = batch.column("place").fill_null(-1).to_numpy()
-            for part, answer in table.items():
-                mine = (parts == part) & (place >= 0) & (place < len(answer))
-                y[mine] += answer[place[mine]]
-            yield pa.RecordBatch.from_arrays([batch.column("series"), batch.column("t"), pa.array(y)], names=["series", "t", "filtered"])
-
-    return local.select("series", "t", "y", "place", "part").mapInArrow(corrected, f"series {kind['series']}, t {kind['t']}, filtered double")
-
-
-def _answers(a: np.ndarray, c: np.ndarray, carried: dict[int, np.ndarray], most: int = 1 << 16, least: float = 1e-16) -> dict[int, np.ndarray]:
-    """What each handed-on state adds to the rows after it, until that no longer matters."""
-    out = {}
-    for part, state in carried.items():
-        values, top = [], np.abs(state).max()
-        while len(values) < most and np.abs(state).max() > least * top:
-            values.append(float(c @ state))
-            state = a @ state
-        out[part] = np.array(values)
-    return out
+    """series, t, filtered: the causal cascade over each series in the order of time, from rest; a null counts as 0."""
+    found = scans.scan(rows, series, t, [F.col(value)], scans.Constant(*state_space(sos)))
+    return found.select("series", "t", F.col("y")[0].alias("filtered"))
 
 
 def sosfiltfilt(rows: DataFrame, series: str, t: str, value: str, sos: np.ndarray, padlen: int | None = None) -> DataFrame:

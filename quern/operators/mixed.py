@@ -8,7 +8,8 @@ elements: a damped scoring step in logarithms (of s, of the diagonal of G's Chol
 where the likelihood fell. Elements that have converged stay as they are.
 
 Rows with a null in y, X, Z or the group are left out. An element whose fixed effects are not told apart by its rows gets
-the pseudo-inverse's. A variance that the likelihood puts at zero comes out very small, not negative.
+the pseudo-inverse's. A variance that the likelihood puts at zero comes out very small, not negative. Where effects whose
+covariance is free come out dependent on each other, rounds can end before the last digits do: `converged` is then false.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from quern.session import discard, staged
 #: Where elements times the sums of each are at most so many numbers, the sums of a round go to the driver and the next
 #: parameters come back by broadcast; beyond, both are exchanged and each round is written.
 MOST_HELD = 1_000_000
-#: Steps of a logarithm are at most so long, and it stays within so far of the residual's.
-LONGEST_STEP, FARTHEST = 3.0, 40.0
+#: Steps of a logarithm are at most so long, it stays within so far of the residual's, and is left with less slope than that.
+LONGEST_STEP, FARTHEST, SETTLED = 3.0, 40.0, 1e-8
 
 
 def group_products(rows: DataFrame, keys: list[str], group: str, x: list[Column], z: list[Column], y: Column) -> DataFrame:
@@ -152,13 +153,21 @@ _STATE = (
 def _step(theta: np.ndarray, score: np.ndarray, info: np.ndarray, damping: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The next parameters to try and the gain that the quadratic promises."""
     k = theta.shape[1]
+    # a variance on its way to zero that has nothing more to gain stays, so that it does not hold up the others
+    still = logs & (score < 0) & (score > -SETTLED) & (np.arange(k) < k - 1)
+    score = np.where(still, 0.0, score)
+    info = np.where(still[:, :, None] | still[:, None, :], np.eye(k), info)
     diagonal = np.einsum("nii->ni", info)
     held = info + (damping[:, None] * np.maximum(diagonal, 1e-12))[:, :, None] * np.eye(k) + 1e-12 * np.eye(k)
     move = np.linalg.solve(held, score[:, :, None])[:, :, 0]
-    move = np.where(logs, np.clip(move, -LONGEST_STEP, LONGEST_STEP), move)
+    longest = np.abs(np.where(logs, move, 0)).max(axis=1)
+    short = move * np.minimum(1.0, LONGEST_STEP / np.maximum(longest, 1e-300))[:, None]  # as a whole, or each logarithm for itself
+    cut = np.where(logs, np.clip(move, -LONGEST_STEP, LONGEST_STEP), move)
+    rises = lambda m: (score * m).sum(axis=1)
+    move = np.where((rises(cut) > rises(short))[:, None], cut, short)
     trial = theta + move
     low, high = trial[:, -1:] - FARTHEST, trial[:, -1:] + FARTHEST
-    return np.where(logs, np.clip(trial, low, high), trial), (score * move).sum(axis=1)
+    return np.where(logs, np.clip(trial, low, high), trial), rises(move)
 
 
 def _started(layout: Layout):
