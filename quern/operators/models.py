@@ -175,16 +175,15 @@ ROBUST = {
 def robust_fit(rows: DataFrame, keys: list[str], x: list[Column], y: Column, kind: str = "huber", rounds: int = 20, ridge: float = 0.0, tol: float = 1e-10) -> DataFrame:
     """keys, beta, n, scale: least squares, then weights of residuals by their normalised MAD, until no coefficient moves.
 
-    Each round is two quantiles and one aggregate over all groups; a round's coefficients are staged."""
+    Each round is two quantiles and one aggregate over all groups; only coefficients pass between rounds."""
     p = len(x)
     base = staged(rows.select(*keys, *(c.cast("double").alias(f"_x{i}") for i, c in enumerate(x)), y.cast("double").alias("_y")))
     own = [F.col(f"_x{i}") for i in range(p)]
-    fit = staged(solved(design_sums(base, keys, own, F.col("_y")), keys, p, ridge).select(*keys, "beta", "n"))
+    fit = _Held(solved(design_sums(base, keys, own, F.col("_y")), keys, p, ridge).select(*keys, "beta", "n"), None, p)
 
     def residuals() -> tuple[DataFrame, DataFrame]:
-        held = fit.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("beta").alias("_b"))
         eta = sum((F.col("_b")[i] * c for i, c in enumerate(own)), F.lit(0.0))
-        left = staged(base.join(held, _same(keys)).withColumn("_e", F.col("_y") - eta).select(*keys, *(f"_x{i}" for i in range(p)), "_y", "_e"))
+        left = fit.joined(base, keys).withColumn("_e", F.col("_y") - eta).select(*keys, *(f"_x{i}" for i in range(p)), "_y", "_e")
         spread = mad(left.select(*keys, "_e"), keys, "_e").withColumnsRenamed({k: f"_s_{k}" for k in keys})
         return left, spread.withColumn("mad", F.when(F.col("mad") > 2.3e-16, F.col("mad")).otherwise(1.0))
 
@@ -194,13 +193,40 @@ def robust_fit(rows: DataFrame, keys: list[str], x: list[Column], y: Column, kin
         for k in keys:
             on = on & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
         step = left.join(spread, on).withColumn("_w", ROBUST[kind](F.col("_e") / F.col("mad")))
-        after = staged(solved(design_sums(step, keys, own, F.col("_y"), F.col("_w")), keys, p, ridge).select(*keys, "beta", "n"))
-        moved = _largest_move(after, fit, keys)
+        after = _Held(solved(design_sums(step, keys, own, F.col("_y"), F.col("_w")), keys, p, ridge).select(*keys, "beta", "n"), fit.few)
+        moved = after.largest_move(fit, keys)
         fit = after
         if moved <= tol:
             break
     scale = residuals()[1].select(*(F.col(f"_s_{k}").alias(f"_k_{k}") for k in keys), F.col("mad").alias("scale"))
-    return fit.join(scale, _same(keys)).drop(*(f"_k_{k}" for k in keys))
+    return fit.table.join(scale, _same(keys)).drop(*(f"_k_{k}" for k in keys))
+
+
+#: Where a fit's numbers are at most so many, its rounds hand coefficients on through the driver; beyond, by written tables.
+MOST_HELD = 1_000_000
+
+
+class _Held:
+    """Coefficients between rounds: local rows where they are few, else a written table."""
+
+    def __init__(self, fit: DataFrame, few: bool | None = None, p: int = 1):
+        if few is None:
+            fit = staged(fit, release=False)
+            few = fit.count() * (p + 2) <= MOST_HELD
+        self.few, self.rows = few, fit.collect() if few else None
+        self.table = fit.sparkSession.createDataFrame(self.rows, fit.schema) if few else staged(fit)
+
+    def joined(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """rows with their group's coefficients in _b."""
+        named = self.table.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("beta").alias("_b"))
+        return rows.join(F.broadcast(named) if self.few or not keys else named, _same(keys))
+
+    def largest_move(self, before: _Held, keys: list[str]) -> float:
+        if not self.few:
+            return _largest_move(self.table, before.table, keys)
+        old = {tuple(r[k] for k in keys): r["beta"] for r in before.rows}
+        moves = [abs(a - b) / (1 + abs(b)) for r in self.rows for a, b in zip(r["beta"], old[tuple(r[k] for k in keys)])]
+        return max(moves, default=0.0)
 
 
 def _largest_move(after: DataFrame, before: DataFrame, keys: list[str]) -> float:
@@ -229,30 +255,28 @@ FAMILIES = {
 }
 
 
-def irls(rows: DataFrame, keys: list[str], x: list[Column], y: Column, family: str, rounds: int = 25, ridge: float = 1e-8, link: str | None = None, tol: float = 1e-10) -> DataFrame:
+def irls(rows: DataFrame, keys: list[str], x: list[Column], y: Column, family: str, rounds: int = 25, ridge: float = 1e-8, link: str | None = None, tol: float = 1e-8) -> DataFrame:
     """Coefficients of a generalised linear model by key: weighted Gram aggregates over all groups at once, until none moves.
 
-    Coefficients are staged after each round. Without keys all rows are one group: its one row of coefficients is joined."""
+    Only coefficients pass between rounds. Without keys all rows are one group: its one row of coefficients is joined."""
     variance, begin, usual = FAMILIES[family]
     mean, slope, eta_of = LINKS[link or usual]
     p = len(x)
     base = staged(rows.select(*keys, *(c.cast("double").alias(f"_x{i}") for i, c in enumerate(x)), y.cast("double").alias("_y")))
     own = [F.col(f"_x{i}") for i in range(p)]
-    fit = staged(solved(design_sums(base.withColumn("_z", eta_of(begin(F.col("_y")))), keys, own, F.col("_z")), keys, p, ridge).select(*keys, "beta", "n"))
+    fit = _Held(solved(design_sums(base.withColumn("_z", eta_of(begin(F.col("_y")))), keys, own, F.col("_z")), keys, p, ridge).select(*keys, "beta", "n"), None, p)
     for _ in range(rounds):
-        held = fit.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("beta").alias("_b"))
         eta = sum((F.col("_b")[i] * c for i, c in enumerate(own)), F.lit(0.0))
-        step = base.join(held, _same(keys)) if keys else base.join(F.broadcast(held))
-        step = step.withColumn("_eta", F.greatest(F.least(eta, F.lit(30.0)), F.lit(-30.0)))
+        step = fit.joined(base, keys).withColumn("_eta", F.greatest(F.least(eta, F.lit(30.0)), F.lit(-30.0)))
         mu, d = mean(F.col("_eta")), slope(F.col("_eta"))
         d = F.when(F.abs(d) < 1e-10, 1e-10).otherwise(d)
         step = step.withColumn("_z", F.col("_eta") + (F.col("_y") - mu) / d).withColumn("_w", d * d / F.greatest(variance(mu), F.lit(1e-10)))
-        after = staged(solved(design_sums(step, keys, own, F.col("_z"), F.col("_w")), keys, p, ridge).select(*keys, "beta", "n"))
-        moved = _largest_move(after, fit, keys)
+        after = _Held(solved(design_sums(step, keys, own, F.col("_z"), F.col("_w")), keys, p, ridge).select(*keys, "beta", "n"), fit.few)
+        moved = after.largest_move(fit, keys)
         fit = after
         if moved <= tol:
             break
-    return fit
+    return fit.table
 
 
 def product_sums(rows: DataFrame, left: str, right: str) -> np.ndarray:

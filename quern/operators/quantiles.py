@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import staged
+
 RANGES = 1024
 
 
@@ -20,12 +22,12 @@ def _on(keys: Sequence[str], prefix: str):
 def group_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], name: str = "q") -> DataFrame:
     """keys and name: an array with the quantile of each probability, interpolated linearly between order statistics.
 
-    Equal values combine before any exchange. A group's values are counted in RANGES equal ranges; only the ranges that
+    Equal values combine before any exchange, and their counts are written, as three steps read them. A group's values are counted in RANGES equal ranges; only the ranges that
     hold a wanted order statistic are ordered. Nulls don't count, and a group of nulls only has no row.
     """
     own = [F.col(k).alias(f"_k{k}") for k in keys]
     kept = [f"_k{k}" for k in keys]
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*own, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    counts = staged(rows.filter(F.col(value).isNotNull()).groupBy(*own, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")), release=False)
     ends = counts.groupBy(*kept).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.sum("_n").alias("_all"))
     ends = ends.withColumnsRenamed({k: f"_e{k}" for k in kept})
     width = F.col("_b") - F.col("_a")

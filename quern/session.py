@@ -58,13 +58,16 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage ends here and survives lost executors."""
+def staged(df: DataFrame, release: bool = True) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: lineage ends here and survives lost executors. release:
+    let go of the shuffle files of ended jobs before and after, which small tables need not wait for."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quern-{uuid.uuid4().hex}"
-    release_shuffles(spark)
+    if release:
+        release_shuffles(spark)
     df.write.parquet(path)
-    release_shuffles(spark)
+    if release:
+        release_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
