@@ -30,7 +30,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.session import staged
@@ -40,6 +40,10 @@ CAPACITY = 2048
 LARGE, GROUPS = 10, 32
 #: Pieces of one length and salt that are ranked in one task, on average: the number of salts follows from it.
 RANKED_TOGETHER = 50_000
+#: In an order of positions, so many bits of neighbours (65,536 positions) are ranked in one task.
+NEIGHBOURS = 16
+#: Pieces of an order that are packed among themselves, at least, and how many such windows there are at most.
+IN_WINDOW, MOST_WINDOWS = 20_000, 16
 #: Words whose ids a worker remembers; beyond it, it starts anew. Longer words are not remembered.
 REMEMBERED, LONGEST_REMEMBERED = 1_200_000, 256
 
@@ -111,7 +115,9 @@ def _portions(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordB
         start = stop
 
 
-def _pieces(path: str, capacity: int, end_id: int, remembered: int, forget: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pieces(path: str, capacity: int, end_id: int, remembered: int, forget: bool, placed: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    schema = pa.schema([*_PIECES, pa.field("position", pa.int64())] if placed else _PIECES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = load(path), np.asarray([end_id], "<u4").tobytes()
         words.most = remembered
@@ -119,13 +125,14 @@ def _pieces(path: str, capacity: int, end_id: int, remembered: int, forget: bool
             rows = []
             for part in _portions(batch):
                 docs, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
-                for doc, ids in zip(docs, words.of(texts)):
+                places = [(v,) for v in part.column("position").to_pylist()] if placed else [()] * part.num_rows
+                for doc, place, ids in zip(docs, places, words.of(texts)):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[at : at + 4 * capacity]
-                        rows.append((doc, piece, at // 4, len(cut) // 4, zlib.crc32(cut)))
-            columns = list(zip(*rows)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECES)], schema=_PIECES)
+                        rows.append((doc, piece, at // 4, len(cut) // 4, zlib.crc32(cut), *place))
+            columns = list(zip(*rows)) if rows else [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
         if forget:
             _loaded.pop(path, None)
 
@@ -135,13 +142,16 @@ def _pieces(path: str, capacity: int, end_id: int, remembered: int, forget: bool
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, remembered: int = REMEMBERED, forget: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of the pieces of every document: its ids, then end_id.
+def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, remembered: int = REMEMBERED, forget: bool = False, position: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of the pieces of every document: its ids, then end_id. position: a column of
+    whole numbers, the document's place in an order, which its pieces carry.
 
     remembered words a worker bound its memory (about 200 bytes each); fewer cost more calls of the tokenizer. With
     forget, a worker lets go of the tokenizer and its words at the end of a task."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_pieces(path, capacity, end_id, remembered, forget), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    place = [] if position is None else [F.col(position).cast("long").alias("position")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *place)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", position long" * len(place)
+    return rows.mapInArrow(_pieces(path, capacity, end_id, remembered, forget, bool(place)), schema)
 
 
 def _best_configuration(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -277,22 +287,49 @@ def _substitutes(slots: list[list[int]], large: list[int], held: dict[int, int],
     return lengths
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
+def _window(pieces: DataFrame, number: int) -> Column:
+    """The part of the order, of `number` about equal ones, that a piece's position falls in."""
+    bounds = sorted(set(pieces.approxQuantile("position", [k / number for k in range(1, number)], 0.001))) if number > 1 else []
+    return sum(((F.col("position") > F.lit(b)).cast("int") for b in bounds), F.lit(0))
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, windows: int | None = None) -> DataFrame:
+    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32).
+
+    Where pieces carry a position, they are packed by windows of its order (by default one for each IN_WINDOW pieces, MOST_WINDOWS
+    at most), those of one length in a window are dealt to sequences in order, a sequence's position is the mean of its
+    pieces', and the rows come sorted by it, sequence by sequence; only pieces are sorted, no texts."""
     pieces = staged(pieces)
-    salts = -(-pieces.count() // RANKED_TOGETHER) or 1
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    intervals = plan(histogram, capacity, groups)
-    schema = "_length long, _first long, _end long, _sequence long, offset long"
-    spots = pieces.sparkSession.createDataFrame(intervals, schema)
-    earlier = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(F.col("length").alias("_l"), F.col("_salt").alias("_s"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
+    ordered, number = "position" in pieces.columns, pieces.count()
+    salts = -(-number // RANKED_TOGETHER) or 1
+    windows = windows or min(MOST_WINDOWS, number // IN_WINDOW + 1)
+    # in order, neighbours share a salt, and salts follow each other
+    salt = F.shiftright(F.coalesce("position", F.lit(0)), NEIGHBOURS) if ordered else F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts))
+    salted = pieces.withColumn("_salt", salt).withColumn("_window", _window(pieces, windows) if ordered else F.lit(0))
+    counts = salted.groupBy("_window", "length", "_salt").agg(F.count("*").alias("_n"))
+    histograms: dict[int, dict[int, int]] = defaultdict(dict)
+    for r in counts.groupBy("_window", "length").agg(F.sum("_n").alias("n")).collect():  # at most `capacity` rows a window
+        histograms[r["_window"]][r["length"]] = r["n"]
+    spots, opened = [], 0
+    for window in sorted(histograms):
+        intervals = plan(histograms[window], capacity, groups)
+        spots += [(window, length, first, end, opened + sequence, offset) for length, first, end, sequence, offset in intervals]
+        opened += max(sequence + end - first for _, first, end, sequence, _ in intervals)
+    spots = pieces.sparkSession.createDataFrame(spots, "_w long, _length long, _first long, _end long, _sequence long, offset long")
+    earlier = Window.partitionBy("_window", "length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    named = (F.col("_window").alias("_v"), F.col("length").alias("_l"), F.col("_salt").alias("_s"))
+    bases = counts.select(*named, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_window", "length", "_salt").orderBy(*(["position"] if ordered else []), "doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("_row", F.row_number().over(inside) - 1)
-    ranked = ranked.join(bases, (F.col("length") == F.col("_l")) & (F.col("_salt") == F.col("_s"))).withColumn("_rank", F.col("_base") + F.col("_row"))
-    at = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end"))
+    same = (F.col("_window") == F.col("_v")) & (F.col("length") == F.col("_l")) & (F.col("_salt") == F.col("_s"))
+    ranked = ranked.join(bases, same).withColumn("_rank", F.col("_base") + F.col("_row"))
+    at = (F.col("_window") == F.col("_w")) & (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end"))
     placed = ranked.join(F.broadcast(spots), at)
     sequence = F.col("_sequence") + F.col("_rank") - F.col("_first")
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset")
+    placed = placed.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset", *(["position"] if ordered else []))
+    if not ordered:
+        return placed
+    placed = staged(placed)
+    means = placed.groupBy(F.col("sequence_id").alias("_s")).agg(F.avg("position").alias("_mean"))
+    met = placed.join(means, F.col("sequence_id") == F.col("_s")).withColumn("position", F.col("_mean")).drop("_s", "_mean")
+    return met.orderBy("position", "sequence_id", "offset")

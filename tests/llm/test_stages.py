@@ -5,6 +5,7 @@ import os
 import corpus_pipeline
 import pytest
 
+from quern.llm import packing
 from quern.llm.words import n_words
 
 COLUMNS = list(corpus_pipeline.COLUMNS)
@@ -70,3 +71,29 @@ def test_rows_are_told_apart_by_values_nulls_and_lengths(spark):
     rows = [("a\nb", "c"), ("a", "b\nc"), (None, "c"), ("", "c"), ("-", "c"), ("a\nb", "c")]
     keys = [r[0] for r in spark.createDataFrame(rows, "x string, y string").select(corpus_pipeline.row_key("x", "y")).collect()]
     assert len(set(keys)) == 5 and keys[0] == keys[5]
+
+
+def test_sequences_keep_the_order_of_the_mix(spark, folder, tmp_path, monkeypatch):
+    """Sources of negative tilt come early in training, those of positive tilt late; so do their sequences."""
+    monkeypatch.setattr(packing, "IN_WINDOW", 200)
+    rows = [(i, f"word{i % 7} " * (40 + i % 300), "en", "abc"[i % 3], 1) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    path = str(tmp_path / "mix")
+    corpus_pipeline.mix_sources(spark, docs, folder).write.parquet(path)
+    mixed = spark.read.parquet(path)
+    placed = corpus_pipeline.pack_sequences(spark, mixed, folder).collect()
+    order = {}
+    for r in placed:
+        order.setdefault(r.sequence_id, len(order))
+    assert [r.position for r in placed] == sorted(r.position for r in placed)
+    ranks = {}
+    for r in placed:
+        ranks.setdefault("abc"[r.doc_id % 3], []).append(order[r.sequence_id] / len(order))
+    mean = {k: sum(v) / len(v) for k, v in ranks.items()}
+    assert mean["a"] < mean["b"] < mean["c"] and mean["c"] - mean["a"] > 0.1  # tilts -0.5, 0 and 0.5
+    room = {}
+    for r in placed:
+        room.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in room.values():
+        spans.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and spans[0][0] == 0
