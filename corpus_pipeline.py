@@ -77,10 +77,22 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """docs with `_position`: where each row stands in the table that it was read from, by file and row. The mix writes its
+    rows sorted by training position, so this is their order; a table that was not read from files has one place."""
+    if not docs.inputFiles():
+        return docs.withColumn("_position", F.lit(0).cast("long"))
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1)
+    file = F.when(number != "", number.cast("long")).otherwise(F.lit(0).cast("long"))
+    return docs.select("*", (F.shiftleft(file, 32) + F.col("_metadata.row_index")).alias("_position"))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: one row for each piece of a document; an empty text is one end token."""
+    """Sequences of at most 2048 tokens: one row for each piece of a document; an empty text is one end token. Sequences
+    come in the order of the mix: by the mean position of their pieces."""
     small_batches(spark)
-    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED, forget=True))
+    pieces = packing.token_pieces(in_written_order(docs), public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED, forget=True, position="_position")
+    return packing.pack(pieces)
 
 
 STAGES = [
