@@ -4,11 +4,14 @@
 sample's value, so that its DC coefficient (step 8) holds the sample exactly. The frames' Huffman table gives every
 difference 15 bits with its magnitude, plus one bit to end the block. `clips` parses the RIFF index of any AVI file,
 decodes its intra frames to one value a block (an eighth of the size), takes grey histograms, and cuts shots where the
-histogram difference stands out from those before it; each shot is a timed row.
+histogram difference stands out from those before it; each shot is a timed row. With `whole` all coefficients are
+dequantised and inverse-transformed instead, and histograms are of pixels.
 
 Frames with other baseline tables, several components and restart markers decode too, symbol by symbol; frames of one
 file may differ in size, and an empty one repeats the one before it. Of several streams, the first video stream counts.
-OpenDML indexes and the old one are read; without an index the lists are walked.
+OpenDML indexes and the old one are read; without an index the lists are walked, to any depth. A frame without Huffman
+tables means the four standard ones. Of two fields in a chunk the first is decoded. A frame that states more blocks than
+its bytes can hold, a progressive one or one of 12 bits can't be parsed.
 
 Defined results: null bytes are empty, and empty bytes are stored as 64 zeros. A file that is null or can't be parsed
 gives no clips; `read_back` raises on it. Equal bytes give equal files. Repeated rows each get theirs; an empty table
@@ -21,7 +24,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +54,24 @@ def _codes(counts: list[int], symbols: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
+def _standard() -> dict[int, tuple[list[int], list[int]]]:
+    """The four tables of frames that bring none. The symbols of the AC tables are those listed, then all others in order."""
+    every = [0x00, 0xF0] + [run << 4 | size for run in range(16) for size in range(1, 11)]
+    with_rest = lambda head: head + sorted(set(every) - set(head))
+    return {kind: (counts, with_rest(head) if kind & 0x10 else list(range(12))) for kind, (counts, head) in _STANDARD.items()}
+
+
+#: Fixed values of the standard: numbers of codes by length, and the symbols of the shorter AC codes.
+_STANDARD = {
+    0x00: ([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], []),
+    0x01: ([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0], []),
+    0x10: ([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125], list(bytes.fromhex("01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282"))),
+    0x11: ([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119], list(bytes.fromhex("000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f1"))),
+}
+#: Fixed value: places of coefficients in the order they are coded, by diagonals in turns.
+_ZIGZAG = np.array(sorted(range(64), key=lambda k: (k // 8 + k % 8, k // 8 if (k // 8 + k % 8) % 2 else k % 8)))
+
+
 def _chunk(name: bytes, data: bytes) -> bytes:
     return name + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
 
@@ -116,6 +137,24 @@ def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         at += 8 + size + size % 2
 
 
+def _leaves(data: bytes, at: int, end: int, kept: bytes | None = None) -> Iterator[tuple[bytes, int, int]]:
+    """The chunks of a stretch and of the lists in it, in order; lists of the kept kind are given whole."""
+    open_lists = [_chunks(data, at, end)]
+    ends = [end]
+    while open_lists:
+        found = next(open_lists[-1], None)
+        if found is None:
+            open_lists.pop()
+            ends.pop()
+            continue
+        name, body, size = found
+        if name == b"LIST" and data[body : body + 4] != kept:
+            ends.append(min(ends[-1], body + size))
+            open_lists.append(_chunks(data, body + 4, ends[-1]))
+        else:
+            yield found
+
+
 class Avi:
     """What the RIFF lists and indexes of an AVI file say of its first video stream."""
 
@@ -137,11 +176,9 @@ class Avi:
 
     def _list(self, at: int, end: int) -> None:
         data = self.data
-        for name, body, size in _chunks(data, at, end):
-            if name == b"LIST" and data[body : body + 4] == b"movi":
+        for name, body, size in _leaves(data, at, end, b"movi"):
+            if name == b"LIST":
                 self.movies.append((body, min(end, body + size)))
-            elif name == b"LIST":
-                self._list(body + 4, min(end, body + size))
             elif name == b"avih":
                 self.micros = struct.unpack_from("<I", data, body)[0]
             elif name == b"strh":
@@ -177,14 +214,7 @@ class Avi:
         return known + self._by_walk(1) if known else []  # the old index knows the first list only
 
     def _by_walk(self, skip: int = 0) -> list[tuple[int, int]]:
-        return [(body, size) for at, end in self.movies[skip:] for name, body, size in self._walked(at + 4, end) if name in self.names]
-
-    def _walked(self, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
-        for name, body, size in _chunks(self.data, at, end):
-            if name == b"LIST":  # records that hold chunks
-                yield from self._walked(body + 4, min(end, body + size))
-            else:
-                yield name, body, size
+        return [(body, size) for at, end in self.movies[skip:] for name, body, size in _leaves(self.data, at + 4, end) if name in self.names]
 
 
 def parse(data: bytes) -> tuple[list[bytes], int, int | None]:
@@ -198,7 +228,8 @@ class Jpeg:
     """The segments of a baseline JPEG frame."""
 
     def __init__(self, data: bytes):
-        self.steps, self.tables, self.parts, self.restart = {}, {}, [], 0
+        self.steps, self.tables, self.parts, self.restart = {}, _standard(), [], 0
+        self.whole_steps: dict[int, np.ndarray] = {}
         at = 2
         while True:
             marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
@@ -207,7 +238,8 @@ class Jpeg:
             if marker == 0xDB:
                 while body:
                     wide = body[0] >> 4
-                    self.steps[body[0] & 15] = struct.unpack_from(">H", body, 1)[0] if wide else body[1]
+                    own = np.frombuffer(body, ">u2" if wide else np.uint8, 64, 1).astype(np.int64)
+                    self.steps[body[0] & 15], self.whole_steps[body[0] & 15] = int(own[0]), own
                     body = body[1 + 64 * (1 + wide) :]
             elif marker == 0xC4:
                 while body:
@@ -215,7 +247,9 @@ class Jpeg:
                     self.tables[body[0]] = (counts, list(body[17 : 17 + sum(counts)]))
                     body = body[17 + sum(counts) :]
             elif marker in (0xC0, 0xC1):
-                _, self.height, self.width, n = struct.unpack_from(">BHHB", body)
+                depth, self.height, self.width, n = struct.unpack_from(">BHHB", body)
+                if depth != 8 or not self.height or not self.width:
+                    raise ValueError("not a frame of 8 bits with a size")
                 self.parts = [[body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i], 0, 0] for i in range(n)]
             elif 0xC2 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
                 raise ValueError("not a baseline frame")
@@ -259,20 +293,25 @@ def _levels(jpeg: Jpeg, coefficients: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(coefficients * (step / 8.0)) + 128, 0, 255).astype(np.uint8)
 
 
-def _by_symbol(jpeg: Jpeg, data: bytes) -> np.ndarray:
-    """DC coefficients of the first component's blocks in raster order, by reading every Huffman symbol."""
+def _by_symbol(jpeg: Jpeg, data: bytes, whole: bool = False) -> np.ndarray:
+    """DC coefficients of the first component's blocks in raster order, by reading every Huffman symbol; whole: all
+    coefficients, in the order they are coded."""
     tables = {kind: {(length, code): symbol for code, length, symbol in _codes(*t)} for kind, t in jpeg.tables.items()}
     wide, tall = max(p[1] for p in jpeg.parts), max(p[2] for p in jpeg.parts)
     if len(jpeg.parts) == 1:
         wide = tall = jpeg.parts[0][1] = jpeg.parts[0][2] = 1
     columns, rows = -(-jpeg.width // (8 * wide)), -(-jpeg.height // (8 * tall))
     first = jpeg.parts[0]
-    out = np.zeros((rows * first[2], columns * first[1]), np.int32)
+    if rows * columns * sum(p[1] * p[2] for p in jpeg.parts) * 2 > 8 * (len(data) - jpeg.scan):  # two bits a block at least
+        raise ValueError("more blocks than bytes")
+    out = np.zeros((rows * first[2], columns * first[1], 64 if whole else 1), np.int32)
     at, hold, held = jpeg.scan, 0, 0
 
     def bits(n: int) -> int:
         nonlocal at, hold, held
         while held < n:
+            if at > len(data) + 8:
+                raise ValueError("a scan that ends early")
             byte = data[at] if at < len(data) else 0
             at += 1
             if byte == 0xFF:
@@ -300,17 +339,43 @@ def _by_symbol(jpeg: Jpeg, data: bytes) -> np.ndarray:
                 size = symbol(tables[dc])
                 extra = bits(size) if size else 0
                 before[n] += extra if not size or extra >> (size - 1) else extra - (1 << size) + 1
+                place = out[unit // columns * v + block // h, unit % columns * h + block % h] if n == 0 else None
                 if n == 0:
-                    out[unit // columns * v + block // h, unit % columns * h + block % h] = before[0]
+                    place[0] = before[0]
                 k = 1
                 while k < 64:
                     run = symbol(tables[0x10 | ac])
                     if run == 0:
                         break
-                    if run & 15:
-                        bits(run & 15)
-                    k += (run >> 4) + 1
-    return out[: -(-jpeg.height // 8), : -(-jpeg.width // 8)]
+                    k += run >> 4
+                    if size := run & 15:
+                        extra = bits(size)
+                        if whole and n == 0 and k < 64:
+                            place[k] = extra if extra >> (size - 1) else extra - (1 << size) + 1
+                    k += 1
+    out = out[: -(-jpeg.height // 8), : -(-jpeg.width // 8)]
+    return out if whole else out[:, :, 0]
+
+
+def _cosines() -> np.ndarray:
+    """Rows of the cosine transform of 8 values."""
+    k, x = np.arange(8)[:, None], np.arange(8)
+    return np.sqrt(np.where(k, 2, 1) / 8) * np.cos((2 * x + 1) * k * np.pi / 16)
+
+
+def pixels(frame: bytes) -> np.ndarray:
+    """The first component's samples of a baseline frame, rows by columns: dequantised and inverse-transformed blocks."""
+    jpeg = Jpeg(frame)
+    coded = _by_symbol(jpeg, frame, whole=True) * jpeg.whole_steps[jpeg.parts[0][3]]
+    blocks = np.empty_like(coded)
+    blocks[:, :, _ZIGZAG] = coded
+    rows, columns, _ = blocks.shape
+    turn = _cosines()
+    samples = turn.T @ blocks.reshape(rows, columns, 8, 8).astype(float) @ turn
+    grey = np.clip(np.rint(samples + 128), 0, 255).astype(np.uint8)
+    wide, tall = max(p[1] for p in jpeg.parts), max(p[2] for p in jpeg.parts)  # a thinned component is smaller
+    height, width = -(-jpeg.height * jpeg.parts[0][2] // tall), -(-jpeg.width * jpeg.parts[0][1] // wide)
+    return grey.transpose(0, 2, 1, 3).reshape(8 * rows, 8 * columns)[:height, :width]
 
 
 def decode(frames: list[bytes]) -> list[np.ndarray]:
@@ -408,12 +473,25 @@ def read_back(stored: DataFrame) -> DataFrame:
     return rows.mapInArrow(_read, f"{kept}, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
 
 
-def _clipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole_frames(frames: list[bytes]) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for f in frames:
+        out.append(pixels(f).ravel() if f else out[-1] if out else np.zeros(0, np.uint8))
+    return out
+
+
+def shots_of(data: bytes, whole: bool = False) -> tuple[list[tuple[int, int, float]], int]:
+    """The shots of a file and its frames' microseconds; whole: by pixels, not blocks."""
+    frames, micros, _ = parse(data)
+    return shots((_whole_frames if whole else decode)(frames)), micros
+
+
+def _clipped(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, rows = [], []
         for n, value in enumerate(batch.column("media")):
             try:
-                _, found, micros = payload_of(value.as_py() or b"")
+                found, micros = shots_of(value.as_py() or b"", whole)
             except (ValueError, KeyError, IndexError, struct.error):
                 continue  # documented: no clips
             for clip, (start, end, strength) in enumerate(found):
@@ -427,8 +505,8 @@ def _clipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*kept, *own], names=[*names, "clip", "first_frame", "end_frame", "start_s", "end_s", "strength"])
 
 
-def clips(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per shot: keep columns, clip, first_frame, end_frame, start_s, end_s, strength."""
+def clips(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc_id",), whole: bool = False) -> DataFrame:
+    """One row per shot: keep columns, clip, first_frame, end_frame, start_s, end_s, strength. whole: by decoded pixels."""
     rows = media.select(*keep, F.col(column).alias("media"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "media")
-    return rows.mapInArrow(_clipped, f"{kept}, clip int, first_frame long, end_frame long, start_s double, end_s double, strength double")
+    return rows.mapInArrow(partial(_clipped, whole=whole), f"{kept}, clip int, first_frame long, end_frame long, start_s double, end_s double, strength double")
