@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quern.plans import algebra, covariances, descriptive, fields, matrices, mixed, modelling, motions, signals, spatial, surfaces, testing, vectors
+from quern.plans import algebra, covariances, descriptive, fields, matrices, mixed, modelling, motions, signals, smooths, spatial, surfaces, testing, vectors
 
 FLAGSHIP = "corr"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (descriptive, algebra, testing, modelling, spatial, surfaces, motions, covariances, vectors, signals, fields, matrices, mixed):
+for _part in (descriptive, algebra, testing, modelling, spatial, surfaces, motions, covariances, vectors, signals, fields, matrices, mixed, smooths):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.operators import filters, series
+from quern.operators import filters, scans, series
 from quern.sources.tables import read
 
 DECAY = math.exp(-0.1)
@@ -50,6 +50,14 @@ def analytic_signal(spark, sf_dir):
     return out.select(F.col("series").alias("user_id"), "t", *((F.round(c, 6) + 0.0).alias(c) for c in ("re", "im", "envelope")))
 
 
+def selective_scan(spark, sf_dir):
+    """Two channels of two states whose steps and gates depend on time and value."""
+    rows, v = _series(spark, sf_dir), F.col("value")
+    x, delta = [v / 100, 1 / (1 + F.col("t"))], [0.1 + 0.05 * (F.col("t") % 3), F.lit(0.2)]
+    out = scans.selective_scan(rows, "user_id", "t", x, delta, np.array([[-0.5, -0.1], [-1.0, -0.3]]), [F.lit(1.0), v / 200], [F.lit(0.7), v / 300], np.array([0.1, -0.2]))
+    return out.select(F.col("series").alias("user_id"), "t", *((F.round(F.col("y")[i], 6) + 0.0).alias(f"y{i}") for i in range(2)))
+
+
 def sample_windows(spark, sf_dir):
     out = filters.sample_windows(_series(spark, sf_dir), "user_id", "t", 3, 2, 11)
     return out.select("user_id", "window", F.col("place").cast("long").alias("place"), "event_id")
@@ -58,7 +66,7 @@ def sample_windows(spark, sf_dir):
 QUERIES = {
     "iir_one_pole": _sos(np.array([[1 - DECAY, 0.0, 0.0, 1.0, -DECAY, 0.0]])), "sosfilt_lowpass": _sos(LOW), "sosfilt_bandpass": _sos(BAND), "sosfilt_bandstop": _sos(STOP),
     "sosfilt_highpass": _sos(HIGH), "sosfiltfilt": sosfiltfilt, "lowpass": _masked(hi=0.2), "highpass": _masked(lo=0.1), "bandpass": _masked(0.1, 0.3),
-    "bandstop": _masked(0.1, 0.3, stop=True), "product_filter": _masked(hi=0.2, once=True), "analytic_signal": analytic_signal, "sample_windows": sample_windows,
+    "bandstop": _masked(0.1, 0.3, stop=True), "product_filter": _masked(hi=0.2, once=True), "analytic_signal": analytic_signal, "sample_windows": sample_windows, "selective_scan": selective_scan,
 }
 
 _S = "s AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events WHERE user_id IS NOT NULL)"
@@ -99,5 +107,6 @@ ORACLE_SQL = {
     "lowpass": _gained(_BELOW.format(0.2)), "highpass": _gained(_ABOVE.format(0.1)), "bandpass": _gained(f"{_BELOW.format(0.3)} * {_ABOVE.format(0.1)}"),
     "bandstop": _gained(f"1 - {_BELOW.format(0.3)} * {_ABOVE.format(0.1)}"), "product_filter": _gained(f"sqrt({_BELOW.format(0.2)})"),
     "analytic_signal": _DFT.format(s=_S) + ", g AS (SELECT *, CASE WHEN j = 0 OR 2 * j = n THEN 1 WHEN 2 * j < n THEN 2 ELSE 0 END AS g FROM c), z AS (SELECT n.user_id, n.t::INT AS t, sum(g * (re * cos(2 * pi() * j * (t - 1) / n.n) - im * sin(2 * pi() * j * (t - 1) / n.n))) / any_value(n.n) AS re, sum(g * (re * sin(2 * pi() * j * (t - 1) / n.n) + im * cos(2 * pi() * j * (t - 1) / n.n))) / any_value(n.n) AS im FROM n JOIN g ON g.user_id = n.user_id GROUP BY 1, 2) SELECT user_id, t, (round(re, 6) + 0.0::DOUBLE) AS re, (round(im, 6) + 0.0::DOUBLE) AS im, round(sqrt(re * re + im * im), 6) AS envelope FROM z",
+    "selective_scan": f"WITH {_S}, r AS (SELECT user_id, t, value / 100 AS x0, 1 / (1 + t::DOUBLE) AS x1, 0.1 + 0.05 * (t % 3)::DOUBLE AS d0, 0.2::DOUBLE AS d1, value / 200 AS b1, value / 300 AS c1 FROM s), p AS (SELECT *, sum(d0) OVER w AS s0, sum(d1) OVER w AS s1 FROM r WINDOW w AS (PARTITION BY user_id ORDER BY t)) SELECT a.user_id, a.t::INT AS t, round(sum(b.d0 * b.x0 * (0.7 * exp(-0.5 * (a.s0 - b.s0)) + b.b1 * a.c1 * exp(-0.1 * (a.s0 - b.s0)))) + 0.1 * any_value(a.x0), 6) + 0.0::DOUBLE AS y0, round(sum(b.d1 * b.x1 * (0.7 * exp(-1.0 * (a.s1 - b.s1)) + b.b1 * a.c1 * exp(-0.3 * (a.s1 - b.s1)))) - 0.2 * any_value(a.x1), 6) + 0.0::DOUBLE AS y1 FROM p a JOIN p b ON b.user_id = a.user_id AND b.t <= a.t GROUP BY 1, 2",
     "sample_windows": f"WITH {_S}, n AS (SELECT *, t - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM s), w AS (SELECT *, ('0x' || substr(md5('11:' || user_id || ':' || w), 1, 8))::BIGINT % (n - 2) AS start FROM n, range(2) r(w) WHERE n >= 3) SELECT user_id, w::INT AS \"window\", k - start AS place, event_id FROM w WHERE k >= start AND k < start + 3",
 }
