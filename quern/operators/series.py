@@ -150,23 +150,6 @@ def analytic(x: np.ndarray) -> dict[str, np.ndarray]:
     return {"re": z.real, "im": z.imag, "envelope": np.abs(z), "phase": np.angle(z)}
 
 
-def frequency_mask(lo: float | None, hi: float | None, fs: float = 1.0, order: int = 2, stop: bool = False, once: bool = False) -> Callable[[np.ndarray], dict[str, np.ndarray]]:
-    """Zero-phase maximally flat filter: below hi, above lo, or between; with stop, what is left without that. Once: in
-    one direction, so that the gain is the root of that of both."""
-    def kernel(x: np.ndarray) -> dict[str, np.ndarray]:
-        f = np.fft.rfftfreq(len(x), 1 / fs)
-        gain = np.ones_like(f)
-        if hi is not None:
-            gain = gain / (1 + (f / hi) ** (2 * order))
-        if lo is not None:
-            gain = gain * (f ** (2 * order)) / (f ** (2 * order) + lo ** (2 * order))
-        gain = np.sqrt(gain) if once else gain
-        gain = 1 - gain if stop else gain
-        return {"filtered": np.fft.irfft(np.fft.rfft(x) * gain, len(x))}
-
-    return kernel
-
-
 def rank_average(rows: DataFrame, keys: list[str], value: str) -> Column:
     """Average rank of ties within keys."""
     w = Window.partitionBy(*keys)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.operators import filters, scans, series
+from quern.operators import blocks, filters, scans, series
 from quern.sources.tables import read
 
 DECAY = math.exp(-0.1)
@@ -39,8 +39,8 @@ def sosfiltfilt(spark, sf_dir):
 
 def _masked(lo=None, hi=None, stop=False, once=False):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = series.per_series(_series(spark, sf_dir), "user_id", "t", "value", series.frequency_mask(lo, hi, 1.0, 2, stop, once), ["filtered"])
-        return out.select(F.col("series").alias("user_id"), "t", (F.round("filtered", 6) + 0.0).alias("filtered"))
+        out = blocks.convolved(_series(spark, sf_dir), "user_id", "t", "value", [blocks.flat_gain(lo, hi, 1.0, 2, stop, once)])
+        return out.select(F.col("series").alias("user_id"), "t", (F.round(F.col("re")[0], 6) + 0.0).alias("filtered"))
 
     return query
 
@@ -50,6 +50,13 @@ def analytic_signal(spark, sf_dir):
     return out.select(F.col("series").alias("user_id"), "t", *((F.round(c, 6) + 0.0).alias(c) for c in ("re", "im", "envelope")))
 
 
+def cwt(spark, sf_dir):
+    """Morlet coefficients at two scales."""
+    out = blocks.cwt(_series(spark, sf_dir), "user_id", "t", "value", [5.0, 9.0])
+    parts = [(F.round(F.col(c)[i], 5) + 0.0).alias(f"{c}{i}") for i in range(2) for c in ("re", "im")]
+    return out.select(F.col("series").alias("user_id"), "t", *parts)
+
+
 def selective_scan(spark, sf_dir):
     """Two channels of two states whose steps and gates depend on time and value."""
     rows, v = _series(spark, sf_dir), F.col("value")
@@ -66,7 +73,7 @@ def sample_windows(spark, sf_dir):
 QUERIES = {
     "iir_one_pole": _sos(np.array([[1 - DECAY, 0.0, 0.0, 1.0, -DECAY, 0.0]])), "sosfilt_lowpass": _sos(LOW), "sosfilt_bandpass": _sos(BAND), "sosfilt_bandstop": _sos(STOP),
     "sosfilt_highpass": _sos(HIGH), "sosfiltfilt": sosfiltfilt, "lowpass": _masked(hi=0.2), "highpass": _masked(lo=0.1), "bandpass": _masked(0.1, 0.3),
-    "bandstop": _masked(0.1, 0.3, stop=True), "product_filter": _masked(hi=0.2, once=True), "analytic_signal": analytic_signal, "sample_windows": sample_windows, "selective_scan": selective_scan,
+    "bandstop": _masked(0.1, 0.3, stop=True), "product_filter": _masked(hi=0.2, once=True), "analytic_signal": analytic_signal, "sample_windows": sample_windows, "selective_scan": selective_scan, "cwt": cwt,
 }
 
 _S = "s AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events WHERE user_id IS NOT NULL)"
@@ -101,7 +108,18 @@ def _gained(gain: str) -> str:
 
 _BELOW, _ABOVE = "(1 / (1 + pow(f / {}, 4)))", "(pow(f, 4) / (pow(f, 4) + pow({}, 4)))"
 
+_MORLET = "pow(pi(), -0.25) * exp(-0.5 * pow({s} * 2 * pi() * j / n - 6, 2)) * sqrt(2 * pi() * {s})"
+
+
+def _wavelets(scales: tuple[float, ...]) -> str:
+    gains = ", ".join(f"CASE WHEN j > 0 AND 2 * j < n THEN {_MORLET.format(s=s)} ELSE 0 END AS g{i}" for i, s in enumerate(scales))
+    angle = "2 * pi() * j * (t - 1) / n.n"
+    sums = ", ".join(f"round(sum(g{i} * (re * cos({angle}) - im * sin({angle}))) / any_value(n.n), 5) + 0.0::DOUBLE AS re{i}, round(sum(g{i} * (re * sin({angle}) + im * cos({angle}))) / any_value(n.n), 5) + 0.0::DOUBLE AS im{i}" for i, _ in enumerate(scales))
+    return f"{_DFT.format(s=_S)}, g AS (SELECT *, {gains} FROM c) SELECT n.user_id, n.t::INT AS t, {sums} FROM n JOIN g ON g.user_id = n.user_id GROUP BY 1, 2"
+
+
 ORACLE_SQL = {
+    "cwt": _wavelets((5.0, 9.0)),
     "iir_one_pole": f"WITH {_S} SELECT a.user_id, a.t::INT AS t, (round(sum(b.value * {1 - DECAY!r} * pow({DECAY!r}::DOUBLE, a.t - b.t)), 6) + 0.0::DOUBLE) AS filtered FROM s a JOIN s b ON b.user_id = a.user_id AND b.t <= a.t GROUP BY 1, 2",
     "sosfilt_lowpass": _causal(LOW), "sosfilt_bandpass": _causal(BAND), "sosfilt_bandstop": _causal(STOP), "sosfilt_highpass": _causal(HIGH), "sosfiltfilt": _TWICE,
     "lowpass": _gained(_BELOW.format(0.2)), "highpass": _gained(_ABOVE.format(0.1)), "bandpass": _gained(f"{_BELOW.format(0.3)} * {_ABOVE.format(0.1)}"),
