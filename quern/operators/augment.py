@@ -114,14 +114,14 @@ def markov_paths(spark: SparkSession, chains: int, steps: int, transition: list[
 
 def squared_distance_transform(cells: DataFrame) -> DataFrame:
     """Exact squared distance of cells (img, x, y, v) to the nearest cell with v = 0: nearest in the row by windows, then
-    the best of (x - k)^2 + row(k) over a column, whose terms stop at the row's own distance."""
+    the best of (x - k)^2 + row(k) over a column, whose terms stop at the row's own distance. Null in an image without zeros."""
     row = Window.partitionBy("img", "x").orderBy("y")
     zero = F.when(F.col("v") == 0, F.col("y"))
     back, ahead = F.last(zero, True).over(row), F.first(zero, True).over(row.rowsBetween(0, Window.unboundedFollowing))
     near = F.least(F.col("y") - back, ahead - F.col("y"))
     height = cells.agg(F.max("x") - F.min("x") + 1).first()[0]
-    g = cells.select("img", "x", "y", "v", F.coalesce(near, F.lit(10**6)).alias("g"))
-    own = g.select("img", "x", "y", F.least("g", F.lit(height)).alias("_reach"), F.pow("g", F.lit(2.0)).alias("_own"))
-    sent = own.select("img", "y", "_own", F.col("x").alias("_x"), F.explode(F.sequence(F.col("x") - F.col("_reach"), F.col("x") + F.col("_reach"))).alias("k"))
+    g = cells.select("img", "x", "y", "v", near.alias("g"))
+    own = g.select("img", "x", "y", F.least(F.coalesce("g", F.lit(height)), F.lit(height)).alias("_reach"))
+    sent = own.select("img", "y", F.col("x").alias("_x"), F.explode(F.sequence(F.col("x") - F.col("_reach"), F.col("x") + F.col("_reach"))).alias("k"))
     terms = sent.join(g.select("img", "y", F.col("x").alias("k"), F.col("g").alias("_g")), ["img", "y", "k"])
     return terms.groupBy("img", F.col("_x").alias("x"), "y").agg(F.min(F.pow((F.col("_x") - F.col("k")).cast("double"), F.lit(2.0)) + F.pow("_g", F.lit(2.0))).alias("d2"))

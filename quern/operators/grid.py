@@ -67,7 +67,7 @@ def rooted(cells: DataFrame, mask: Column) -> DataFrame:
     """The cells in the mask (img, x, y, label): label is the first cell, in row order, of its connected part (4 neighbours)."""
     width = cells.agg(F.max("y")).first()[0] + 2
     number = lambda x, y: x.cast("long") * width + y
-    inside = cells.filter(mask).select("img", "x", "y", F.concat_ws(":", "img", F.lpad(number(F.col("x"), F.col("y")).cast("string"), 12, "0")).alias("id"))
+    inside = cells.filter(mask).select("img", "x", "y", F.concat_ws(":", "img", F.lpad(number(F.col("x"), F.col("y")).cast("string"), 19, "0")).alias("id"))
     right = inside.select("img", (F.col("x") - 1).alias("x"), "y", F.col("id").alias("dst")).join(inside, ["img", "x", "y"])
     below = inside.select("img", "x", (F.col("y") - 1).alias("y"), F.col("id").alias("dst")).join(inside, ["img", "x", "y"])
     pairs = right.union(below.select(right.columns)).select(F.col("id").alias("src"), "dst")

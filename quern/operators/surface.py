@@ -118,7 +118,8 @@ def euler_characteristic(faces: DataFrame) -> DataFrame:
 
 
 def genus(faces: DataFrame) -> DataFrame:
-    return euler_characteristic(faces).select(((2 - F.col("chi")) / 2).alias("genus"))
+    """One row: handles of a closed surface; null where 2 - chi is odd, as on a surface with one boundary."""
+    return euler_characteristic(faces).select(F.when(F.col("chi") % 2 == 0, (2 - F.col("chi")) / 2).alias("genus"))
 
 
 def spherical_areas(vertices: DataFrame, faces: DataFrame) -> DataFrame:

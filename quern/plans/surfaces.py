@@ -157,7 +157,7 @@ ORACLE_SQL = {
     "mesh_star_2": f"{_M} SELECT fid, round(2 / m, 6) AS value FROM t0 WHERE s = 0",
     "mesh_divergence": f"{_M}, {_STAR1}, e AS (SELECT p, q FROM star1), {_GRAD} SELECT vid, p, q, {_r('value * w / third', 6, 'value')} FROM d JOIN star1 USING (p, q) JOIN area0 USING (vid)",
     "euler_characteristic": f"{_TOP} SELECT (SELECT count(DISTINCT o) FROM (SELECT a AS o FROM f UNION ALL SELECT b FROM f UNION ALL SELECT c FROM f)) - (SELECT count(*) FROM e) + (SELECT count(*) FROM f) AS chi",
-    "genus": f"{_TOP} SELECT (2 - ((SELECT count(DISTINCT o) FROM (SELECT a AS o FROM f UNION ALL SELECT b FROM f UNION ALL SELECT c FROM f)) - (SELECT count(*) FROM e) + (SELECT count(*) FROM f))) / 2 AS genus",
+    "genus": f"{_TOP}, x AS (SELECT (SELECT count(DISTINCT o) FROM (SELECT a AS o FROM f UNION ALL SELECT b FROM f UNION ALL SELECT c FROM f)) - (SELECT count(*) FROM e) + (SELECT count(*) FROM f) AS chi) SELECT CASE WHEN chi % 2 = 0 THEN (2 - chi) / 2 END AS genus FROM x",
     "spherical_areas": f"{_SOLID} SELECT fid, {_r('area', 8, 'area')} FROM s",
     "is_bijective": f"{_SOLID}, q AS (SELECT sum(area) AS t, sum(abs(area)) AS s, sum(greatest(-area, 0)) AS n, sum(greatest(area, 0)) AS p FROM s) SELECT (abs(abs(t) - 4 * pi()) <= 0.04 * pi() AND s > 0 AND (CASE WHEN t >= 0 THEN n ELSE p END) <= 0)::INT AS bijective FROM q",
     "parcel_centroids": f"WITH {_V.format(h='25')}, u AS (SELECT (floor(x / 5) * 20 + floor(y / 5))::BIGINT AS parcel, x + 1 AS x, y, z, greatest(sqrt((x + 1) * (x + 1) + y * y + z * z), 1e-12) AS s FROM v), m AS (SELECT parcel, avg(x / s) AS x, avg(y / s) AS y, avg(z / s) AS z FROM u GROUP BY 1) SELECT parcel, " + ", ".join(_r(f"{c} / greatest(sqrt(x * x + y * y + z * z), 1e-12)", 8, c) for c in "xyz") + " FROM m",
