@@ -19,7 +19,7 @@ from quern.functions import geometry
 from quern.functions.arrays import squared_distance
 from quern.operators.normalize import mad
 from quern.operators.semiring import stable_log_sum
-from quern.session import staged
+from quern.session import discard, staged
 
 
 def _same(keys: list[str]) -> Column:
@@ -276,6 +276,8 @@ def irls(rows: DataFrame, keys: list[str], x: list[Column], y: Column, family: s
         fit = after
         if moved <= tol:
             break
+    if fit.few:
+        discard(base)
     return fit.table
 
 

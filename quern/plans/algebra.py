@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import graph, semiring
+from quern.operators import graph, semiring, spectra
 from quern.sources.tables import read
 
 
@@ -129,6 +129,18 @@ def coaffiliation(spark, sf_dir):
     return graph.coaffiliation(members)
 
 
+def laplacian_eigenmap(spark, sf_dir):
+    """Two coordinates of each node of the trade graph, and their eigenvalues. No SQL: tests compare NumPy's."""
+    found, values = spectra.laplacian_eigenmap(_trade(spark, sf_dir), 2)
+    parts = [F.round(F.col("vector")[i], 5).alias(f"x{i}") for i in range(len(values))]
+    return found.select("id", *parts, *(F.lit(round(float(v), 6)).alias(f"value{i}") for i, v in enumerate(values)))
+
+
+def diffusion_embedding(spark, sf_dir):
+    found, values = spectra.diffusion_embedding(_trade(spark, sf_dir), 2, alpha=0.5, t=1.0)
+    return found.select("id", *(F.round(F.col("vector")[i], 6).alias(f"x{i}") for i in range(len(values))))
+
+
 def components(spark, sf_dir):
     edges = _line_pairs(spark, sf_dir)
     nodes = _suppliers(spark, sf_dir).select("id")
@@ -150,6 +162,7 @@ QUERIES = {
     **{f"laplacian_{kind}": _laplacian(kind) for kind in ("combinatorial", "symmetric", "random_walk")},
     **{f"laplacian_matvec_{kind}": _matvec(kind) for kind in ("combinatorial", "symmetric", "random_walk")},
     "modularity": modularity, "modularity_matrix": modularity_matrix, "coaffiliation": coaffiliation, "connected_components": components,
+    "laplacian_eigenmap": laplacian_eigenmap, "diffusion_embedding": diffusion_embedding,
 }
 
 _AB = "WITH a AS (SELECT l_suppkey AS i, l_linenumber AS k, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2), b AS (SELECT l_linenumber AS k, l_returnflag AS j, avg(l_discount) * 100 AS v FROM lineitem GROUP BY 1, 2), t AS (SELECT i, j, a.v AS x, b.v AS y FROM a JOIN b USING (k)) SELECT i, j, {} AS value FROM t GROUP BY 1, 2"

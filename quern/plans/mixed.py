@@ -48,6 +48,17 @@ def lme_t_contrast(spark, sf_dir):
     return out.select("half", F.round("effect", 6).alias("effect"), F.round("se", 6).alias("se"), F.round("t", 3).alias("t"), F.round("df", 2).alias("df"))
 
 
+def lme_f_contrast(spark, sf_dir):
+    out = _slopes(spark, sf_dir)[0].f_contrast([[1.0]])
+    return out.select("half", F.round("f", 2).alias("f"), F.round("df1", 1).alias("df1"), F.round("df2", 1).alias("df2"))
+
+
+def lme_ranef(spark, sf_dir):
+    """Each vector's departure from its half's slope."""
+    out = _slopes(spark, sf_dir)[0].ranef()
+    return out.select("half", "vec_id", (F.round(F.col("blup")[0], 6) + 0.0).alias("effect"))
+
+
 def lme_predict(spark, sf_dir):
     fit, rows = _slopes(spark, sf_dir)
     return fit.predict(rows, [F.col("x")], [F.col("x")]).select("vec_id", "i", (F.round("predicted", 5) + 0.0).alias("predicted"))
@@ -65,7 +76,7 @@ def lme_intercept_slope(spark, sf_dir):
 
 
 QUERIES = {
-    "reml_fit": reml_fit, "reml_ranef": reml_ranef, "lme_fit": lme_fit, "lme_t_contrast": lme_t_contrast, "lme_predict": lme_predict, "lme_intercept_slope": lme_intercept_slope,
+    "reml_fit": reml_fit, "reml_ranef": reml_ranef, "lme_fit": lme_fit, "lme_t_contrast": lme_t_contrast, "lme_f_contrast": lme_f_contrast, "lme_ranef": lme_ranef, "lme_predict": lme_predict, "lme_intercept_slope": lme_intercept_slope,
 }
 
 
@@ -95,5 +106,7 @@ ORACLE_SQL = {
     "reml_ranef": f"{_profiled()} SELECT i::INT AS i, p.label AS label, round(l * p.n / (1 + p.n * l) * (p.y - m), 6) AS effect FROM (SELECT i, l, m, unnest(g) AS p FROM r)",
     "lme_fit": f"{_SLOPES} SELECT half, round(b, 6) AS slope, round(g, 7) AS between, round(s, 7) AS within, m * 64 AS n FROM v",
     "lme_t_contrast": f"{_SLOPES} SELECT half, round(b, 6) AS effect, round(sqrt((g + s / sxx) / m), 6) AS se, round(b / sqrt((g + s / sxx) / m), 3) AS t, round(df::DOUBLE, 2) AS df FROM v",
+    "lme_f_contrast": f"{_SLOPES} SELECT half, round(b * b / ((g + s / sxx) / m), 2) AS f, 1.0::DOUBLE AS df1, round(df::DOUBLE, 1) AS df2 FROM v",
+    "lme_ranef": f"{_SLOPES} SELECT half, vec_id, round(v.g / (v.g + s / sxx) * (b.b - v.b), 6) + 0.0::DOUBLE AS effect FROM b JOIN v USING (half)",
     "lme_predict": f"{_SLOPES} SELECT vec_id, c.i::INT AS i, round((v.b + v.g / (v.g + s / sxx) * (b.b - v.b)) * c.x, 5) + 0.0::DOUBLE AS predicted FROM b JOIN v USING (half), c",
 }
