@@ -61,7 +61,7 @@ def lme_ranef(spark, sf_dir):
 
 def lme_predict(spark, sf_dir):
     fit, rows = _slopes(spark, sf_dir)
-    return fit.predict(rows, [F.col("x")], [F.col("x")]).select("vec_id", "i", (F.round("predicted", 5) + 0.0).alias("predicted"))
+    return fit.predict(rows, [F.col("x")], [F.col("x")]).select("vec_id", "i", (F.round("predicted", 3) + 0.0).alias("predicted"))
 
 
 def lme_intercept_slope(spark, sf_dir):
@@ -108,5 +108,5 @@ ORACLE_SQL = {
     "lme_t_contrast": f"{_SLOPES} SELECT half, round(b, 6) AS effect, round(sqrt((g + s / sxx) / m), 6) AS se, round(b / sqrt((g + s / sxx) / m), 3) AS t, round(df::DOUBLE, 2) AS df FROM v",
     "lme_f_contrast": f"{_SLOPES} SELECT half, round(b * b / ((g + s / sxx) / m), 2) AS f, 1.0::DOUBLE AS df1, round(df::DOUBLE, 1) AS df2 FROM v",
     "lme_ranef": f"{_SLOPES} SELECT half, vec_id, round(v.g / (v.g + s / sxx) * (b.b - v.b), 6) + 0.0::DOUBLE AS effect FROM b JOIN v USING (half)",
-    "lme_predict": f"{_SLOPES} SELECT vec_id, c.i::INT AS i, round((v.b + v.g / (v.g + s / sxx) * (b.b - v.b)) * c.x, 5) + 0.0::DOUBLE AS predicted FROM b JOIN v USING (half), c",
+    "lme_predict": f"{_SLOPES} SELECT vec_id, c.i::INT AS i, round((v.b + v.g / (v.g + s / sxx) * (b.b - v.b)) * c.x, 3) + 0.0::DOUBLE AS predicted FROM b JOIN v USING (half), c",
 }
