@@ -144,22 +144,34 @@ def sign_flip_test(rows: DataFrame, keys: list[str], obs: str, value: str, n_per
     return stats.join(own, on).groupBy(*keys).agg(F.first("t").alias("t"), F.avg(extreme.cast("double")).alias("p"))
 
 
+def _places(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """rows with _place, from 1, by order among the rows of equal keys. Ranges hold about as many rows each; one that begins
+    inside a group goes on from the rows of that group before it, so a large group is spread out."""
+    number = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = staged(rows.repartitionByRange(number, *keys, *order).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range and group
+    parts = ranged.groupBy("_range", *keys).agg(F.count("*").alias("_size")).withColumn("_base", F.sum("_size").over(before))
+    begun = parts.filter("_base > 0").select("_range", *keys, "_base")  # the first group of a range at most
+    inside = Window.partitionBy("_range", *keys).orderBy(*order)
+    placed = ranged.withColumn("_place", F.row_number().over(inside)).join(F.broadcast(begun), ["_range", *keys], "left")
+    return placed.withColumn("_place", F.col("_place") + F.coalesce("_base", F.lit(0))).drop("_range", "_base")
+
+
 def permutations(rows: DataFrame, n_perm: int, seed: int = 0) -> DataFrame:
     """(perm, id, source): a random order of the ids of each block, by hash of the seed; permutation 0 is the identity.
 
-    Both places of a row come from windows over (perm, block), so permutations are spread out. rows: id, block."""
-    spread = rows.select("id", "block", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
-    w = Window.partitionBy("perm", "block")
+    Places come from sorted ranges, so large blocks are spread out too. rows: id, block."""
     drawn = F.when(F.col("perm") == 0, 0.0).otherwise(uniform(seed, "perm", "id"))
-    placed = spread.withColumn("_k", F.row_number().over(w.orderBy("id"))).withColumn("_q", F.row_number().over(w.orderBy(drawn, "id")))
-    source = placed.select("perm", "block", F.col("_q").alias("_k"), F.col("id").alias("source"))
-    return placed.select("perm", "block", "_k", "id").join(source, ["perm", "block", "_k"]).select("perm", "id", "source")
+    spread = rows.select("id", "block", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm")).withColumn("_drawn", drawn)
+    source = _places(spread, ["perm", "block"], ["_drawn", "id"]).select("perm", "block", "_place", F.col("id").alias("source"))
+    own = _places(rows.select("id", "block"), ["block"], ["id"])
+    return source.join(own.hint("merge"), ["block", "_place"]).select("perm", "id", "source")
 
 
 def spatial_null_test(rows: DataFrame, surrogates: DataFrame) -> DataFrame:
     """One row: correlation r of x and y (id, x, y) and (1 + surrogates at least as extreme) / (n + 1).
-    surrogates: surrogate, id, y."""
+    surrogates: surrogate, id, y. Rows are merged, as their number is no bound for a broadcast."""
     own = rows.agg(F.corr("x", "y").alias("r"))
-    nulls = surrogates.join(rows.select("id", "x"), "id").groupBy("surrogate").agg(F.corr("x", "y").alias("_r"))
+    nulls = surrogates.join(rows.select("id", "x").hint("merge"), "id").groupBy("surrogate").agg(F.corr("x", "y").alias("_r"))
     both = nulls.join(F.broadcast(own))  # one row
     return both.groupBy("r").agg(((1 + F.sum((F.abs("_r") >= F.abs("r")).cast("long"))) / (F.count("*") + 1)).alias("p"))

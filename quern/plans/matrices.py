@@ -154,7 +154,7 @@ def spatial_null_test(spark, sf_dir):
     """Correlation of size and price of parts against that with permuted prices."""
     rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 100).alias("y"))
     perms = inference.permutations(rows.select("id", F.lit(0).alias("block")), 20, 4).filter("perm > 0")
-    surrogates = perms.join(rows.select(F.col("id").alias("source"), "y"), "source").select(F.col("perm").alias("surrogate"), "id", "y")
+    surrogates = perms.join(rows.select(F.col("id").alias("source"), "y").hint("merge"), "source").select(F.col("perm").alias("surrogate"), "id", "y")
     return inference.spatial_null_test(rows, surrogates).select(F.round("r", 8).alias("r"), F.round("p", 8).alias("p"))
 
 

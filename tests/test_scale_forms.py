@@ -123,3 +123,23 @@ def test_irls_without_keys_is_one_group(spark):
         design = np.stack([np.ones(300), x], axis=1)
         want = want + np.linalg.solve(design.T @ (design * mu[:, None]), design.T @ (y - mu))
     assert beta == pytest.approx(want.tolist(), abs=1e-6)
+
+
+def test_permutations_of_one_large_block_are_spread_and_not_broadcast(spark):
+    ids, blocks = list(range(700)), [0] * 600 + [1] * 99 + [2]
+    rows = frame(spark, (ids[::-1], blocks[::-1]), "id long, block int")
+    perms = inference.permutations(rows, 3, 5)
+    got = {}
+    for r in perms.collect():
+        got.setdefault(r["perm"], {})[r["id"]] = r["source"]
+    drawn = {(r["perm"], r["id"]): r["u"] for r in rows.crossJoin(spark.range(1, 3).selectExpr("int(id) AS perm")).select("perm", "id", inference.uniform(5, "perm", "id").alias("u")).collect()}
+    assert got[0] == {i: i for i in ids}
+    for perm in (1, 2):
+        for block in (0, 1, 2):
+            mine = [i for i, b in zip(ids, blocks) if b == block]
+            assert [got[perm][i] for i in mine] == sorted(mine, key=lambda i: (drawn[perm, i], i))
+    numbers = rows.select("id", F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"))
+    surrogates = perms.select(F.col("perm").alias("surrogate"), "id", F.col("source").cast("double").alias("y"))
+    plan = inference.spatial_null_test(numbers, surrogates)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert sum("SortMergeJoin" in line for line in joins) == 2 and not any("BroadcastHashJoin" in line and "_range" not in line for line in joins)
