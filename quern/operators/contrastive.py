@@ -8,19 +8,18 @@ from pyspark.sql import functions as F
 from quern.functions import geometry
 from quern.functions.arrays import dot, lp_normalize
 from quern.functions.sums import default_scale, vmf_concentration
-from quern.operators.kernels import kernel
+from quern.operators.kernels import weighted_sums
 
 
 def attention(queries: DataFrame, rows: DataFrame, width: int, scale: float | None = None) -> DataFrame:
     """Softmax-weighted sums of values for a stated query set against all rows: q_id, i, x.
 
-    queries: q_id, q_vec; rows: id, vec (keys) and val (values). Maxima and sums combine before their exchange."""
+    queries: q_id, q_vec; rows: id, vec (keys) and val (values). Each group of rows gives its own maximum and sums."""
     scale = default_scale(width) if scale is None else scale
-    logits = kernel(queries, rows, "linear").select("q_id", "id", (F.col("value") * scale).alias("l"))
-    tops = logits.groupBy("q_id").agg(F.max("l").alias("_top"))
-    raised = logits.join(F.broadcast(tops), "q_id").select("q_id", "id", F.exp(F.col("l") - F.col("_top")).alias("w"))
-    values = raised.join(rows.select("id", "val"), "id").select("q_id", "w", F.posexplode(F.concat("val", F.array(F.lit(1.0)))).alias("i", "v"))
-    sums = values.groupBy("q_id", "i").agg(F.sum(F.col("w") * F.col("v")).alias("s"))  # the last place sums the weights
+    found = weighted_sums(queries, rows, width, scale)
+    tops = found.groupBy("q_id").agg(F.max("top").alias("_top"))
+    raised = found.join(tops, "q_id").select("q_id", F.exp(F.col("top") - F.col("_top")).alias("w"), F.posexplode("sums").alias("i", "v"))
+    sums = raised.groupBy("q_id", "i").agg(F.sum(F.col("w") * F.col("v")).alias("s"))  # the last place sums the weights
     total = sums.filter(F.col("i") == width).select("q_id", F.col("s").alias("_total"))
     return sums.filter(F.col("i") < width).join(total, "q_id").select("q_id", "i", (F.col("s") / F.col("_total")).alias("x"))
 
