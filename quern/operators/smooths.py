@@ -93,35 +93,54 @@ class Gam:
     def __init__(self, table: DataFrame, keys: list[str], design: Column, spans: list[tuple[int, int]], family: str):
         self.table, self.keys, self.design, self.spans, self.family = table, keys, design, spans, family
 
-    def _met(self, rows: DataFrame) -> DataFrame:
-        named = self.table.select(*(F.col(k).alias(f"_k_{k}") for k in self.keys), F.col("beta").alias("_b"), F.col("cov").alias("_c"))
+    def _met(self, rows: DataFrame, number: bool = False) -> tuple[DataFrame, list | None]:
+        """rows with their element's coefficients _b and covariance _c. Few elements are broadcast, so that rows stay where
+        they are; with number, rows of few elements get its place in a list of (beta, cov), _g, instead."""
+        held = _Held(self.table.select(*self.keys, "beta", "cov"), None, 2 * self.spans[-1][1] ** 2 if self.spans else 1)
+        if held.few and number:
+            kinds = "".join(f"`_k_{k}` {held.table.schema[k].dataType.simpleString()}, " for k in self.keys)
+            named = self.table.sparkSession.createDataFrame([(*(r[k] for k in self.keys), i) for i, r in enumerate(held.rows)], f"{kinds}_g int")
+        else:
+            named = held.table.select(*(F.col(k).alias(f"_k_{k}") for k in self.keys), F.col("beta").alias("_b"), F.col("cov").alias("_c"))
         on = F.lit(True)
         for k in self.keys:
             on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        return rows.join(named if self.keys else F.broadcast(named), on).drop(*(f"_k_{k}" for k in self.keys)).withColumn("_x", self.design)
+        met = rows.join(F.broadcast(named) if held.few or not self.keys else named, on)
+        return met.drop(*(f"_k_{k}" for k in self.keys)).withColumn("_x", self.design), held.rows if number else None
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """rows with `predicted`, the mean."""
         eta = F.aggregate(F.zip_with("_x", "_b", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
         link = {"gaussian": lambda e: e, "poisson": F.exp, "gamma": F.exp, "binomial": lambda e: 1 / (1 + F.exp(-e))}[self.family]
-        return self._met(rows).withColumn("predicted", link(eta)).drop("_x", "_b", "_c")
+        return self._met(rows)[0].withColumn("predicted", link(eta)).drop("_x", "_b", "_c")
 
     def partial_effect(self, rows: DataFrame, smooth: int) -> DataFrame:
         """rows with `effect` and `se` of one smooth at their place."""
         low, high = self.spans[smooth]
+        met, fits = self._met(rows, True)
+        own = met.filter(F.forall("_x", lambda v: v.isNotNull())).withColumn("_x", F.slice("_x", low + 1, high - low))
+        kinds = _kinds(rows, rows.columns) + "effect double, se double"
+        cut = lambda beta, cov: (np.asarray(beta, float)[low:high], np.asarray(cov, float).reshape(len(beta), -1)[low:high, low:high])
+        few = None if fits is None else [cut(r["beta"], r["cov"]) for r in fits]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                held = batch.select(["_x", "_b", "_c"]).to_pandas()
-                x, b = np.stack(held["_x"])[:, low:high].astype(float), np.stack(held["_b"])[:, low:high]
-                c = np.stack(held["_c"]).reshape(batch.num_rows, len(held["_b"].iloc[0]), -1)[:, low:high, low:high]
-                names = [n for n in batch.schema.names if n not in ("_x", "_b", "_c")]
-                spread = np.sqrt(np.maximum(np.einsum("ni,nij,nj->n", x, c, x), 0))
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array((x * b).sum(axis=1)), pa.array(spread)], names=[*names, "effect", "se"])
-
-        return self._met(rows).filter(F.forall("_x", lambda v: v.isNotNull())).mapInArrow(run, _kinds(rows, rows.columns) + "effect double, se double")
+                x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                effect, spread = np.empty(len(x)), np.empty(len(x))
+                if few is None:
+                    for i, (b, c) in enumerate(map(cut, batch.column("_b").to_pylist(), batch.column("_c").to_pylist())):
+                        effect[i], spread[i] = x[i] @ b, x[i] @ c @ x[i]
+                else:
+                    number = batch.column("_g").to_numpy()
+                    for g in np.unique(number):
+                        mine, (b, c) = number == g, few[g]
+                        effect[mine], spread[mine] = (x[mine] * b).sum(axis=1), np.einsum("ni,ni->n", x[mine] @ c, x[mine])
+                names = [n for n in batch.schema.names if n not in ("_x", "_b", "_c", "_g")]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(effect), pa.array(np.sqrt(np.maximum(spread, 0)))], names=[*names, "effect", "se"])
+
+        return own.mapInArrow(run, kinds)
 
 
 def _null_space(sums: np.ndarray) -> np.ndarray:

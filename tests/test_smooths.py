@@ -117,3 +117,24 @@ def test_cyclic_smooth_meets_itself(spark):
     fit = smooths.gam_fit(table, [], [smooths.cyclic_smooth(F.col("x"), 0.0, 1.0)], F.col("y"))
     ends = fit.predict(spark.createDataFrame([("a", 0.0, 0.0, 0.0), ("a", 1.0, 0.0, 0.0)], SCHEMA)).collect()
     assert ends[0].predicted == pytest.approx(ends[1].predicted, abs=1e-9) and ends[0].predicted == pytest.approx(1.0, abs=0.1)
+
+
+def test_rows_stay_where_they_are_and_effects_equal_those_of_many_elements(spark, monkeypatch):
+    from quern.operators import models
+
+    table = spark.createDataFrame(simulated(), SCHEMA).repartition(4)
+    fit = smooths.gam_fit(table, ["e"], [smooths.bspline_smooth(F.col("x"), 0.0, 1.0), smooths.bspline_smooth(F.col("w"), -1.0, 1.0)], F.col("y"))
+    for out in (fit.predict(table), fit.partial_effect(table, 1)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    few = {(r.e, r.x, r.w): (r.effect, r.se) for r in fit.partial_effect(table, 1).collect()}
+    monkeypatch.setattr(models, "MOST_HELD", 0)
+    many = {(r.e, r.x, r.w): (r.effect, r.se) for r in fit.partial_effect(table, 1).collect()}
+    assert set(few) == set(many) and len(few) == 600
+    assert all(few[k] == pytest.approx(many[k], abs=1e-10) for k in few)
+    found = {r.e: r for r in fit.table.collect()}
+    low, high = fit.spans[1]
+    for (e, _, w), (effect, se) in list(few.items())[::50]:
+        basis, row = splines(np.array([w]), -1, 1, 10)[0], found[e]
+        cov = np.array(row.cov).reshape(len(row.beta), -1)[low:high, low:high]
+        assert effect == pytest.approx(basis @ row.beta[low:high], abs=1e-9) and se == pytest.approx((basis @ cov @ basis) ** 0.5, rel=1e-6)
