@@ -104,6 +104,7 @@ def conjugate_gradient(edges: DataFrame, b: DataFrame, rounds: int = 50, tol: fl
         image = edge_rmatvec(edges, p).select(F.col("dst").alias("id"), F.col("value").alias("_a"))
         return p.join(image, "id", "left").select("id", F.col("v").alias("p"), (F.coalesce("_a", F.lit(0.0)) + l2 * F.col("v")).alias("ap"))
 
+    edges = staged(edges)  # every round reads them
     state = staged(b.select("id", F.lit(0.0).alias("x"), F.col("v").alias("r"), F.col("v").alias("p")))
     rr = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
     stop = tol * tol * rr

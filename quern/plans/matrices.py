@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import graph, inference, linalg, semiring, series
 from quern.plans.algebra import _trade
+from quern.session import staged
 from quern.sources import constructors
 from quern.sources.tables import read
 
@@ -92,7 +93,7 @@ def chebyshev(spark, sf_dir):
 
 def conjugate_gradient(spark, sf_dir):
     """Solution of (S + l I) x = b for the symmetric part S of trade, l above its row sums, by what A x gives back."""
-    sym = semiring.edges_from_dense(_trade(spark, sf_dir), 0.0, None, True)
+    sym = staged(semiring.edges_from_dense(_trade(spark, sf_dir), 0.0, None, True))  # read by every round
     ridge = sym.groupBy("src").agg(F.sum("value").alias("s")).agg(F.max("s")).first()[0] * 1.5
     x = linalg.conjugate_gradient(sym, _signal(spark), l2=ridge)
     back = semiring.edge_rmatvec(sym, x).select(F.col("dst").alias("id"), "value")
@@ -102,7 +103,7 @@ def conjugate_gradient(spark, sf_dir):
 
 def top_eigenvector(spark, sf_dir):
     """A v minus its multiple of v for the leading eigenvector of symmetric trade: zeros."""
-    sym = semiring.edges_from_dense(_trade(spark, sf_dir), 0.0, None, True)
+    sym = staged(semiring.edges_from_dense(_trade(spark, sf_dir), 0.0, None, True))  # read by every round
     v, value = graph.top_eigenvector(sym, spark.range(25).select("id", F.lit(0.2).alias("v")))
     back = semiring.edge_rmatvec(sym, v).select(F.col("dst").alias("id"), "value")
     return v.join(back, "id").select("id", (F.round((F.col("value") - value * F.col("v")) / value, 4) + 0.0).alias("residual"))

@@ -82,3 +82,19 @@ def test_pool_distance_noise_and_chains(spark):
     assert paths.count() == 10000 and paths.agg(F.avg("state")).first()[0] == pytest.approx(1 / 6, abs=0.04)
     mixture = augment.sparse_mixture(spark, 30, 10)
     assert np.allclose(mixture.groupBy("i").agg(F.sum(F.abs("w")).alias("s")).toPandas()["s"], 1)
+
+
+def test_rounds_of_conjugate_gradients_do_not_compute_the_edges_again(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(i, j, 4.0 if i == j else 1.0) for i in range(6) for j in range(6)], "src long, dst long, value double")
+    b = spark.createDataFrame([(i, float(i)) for i in range(6)], "id long, v double")
+    x = linalg.conjugate_gradient(edges.mapInArrow(counted, edges.schema), b, 10).orderBy("id").toPandas()["v"]
+    a = np.ones((6, 6)) + 3 * np.eye(6)
+    assert np.allclose(a @ x, np.arange(6)) and seen.value == 36
+
