@@ -122,7 +122,7 @@ def geodesic(spark, sf_dir):
     lat, lon = (F.col("p_size") - 25) * math.pi / 60, F.col("p_retailprice") / 300 - 3
     rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(*g.latlong_to_cartesian(lat, lon)).alias("vec"))
     asked = rows.filter("id % 100 = 0").select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"))
-    return kernels.kernel(asked, rows, "geodesic").select("q_id", "id", (F.round("value", 7) + 0.0).alias("value"))
+    return kernels.kernel(asked, rows, "geodesic", 7)
 
 
 def nearest_distance(spark, sf_dir):

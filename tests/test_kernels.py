@@ -72,3 +72,16 @@ def test_attention_over_many_groups(spark, vectors, small_groups):
         w = np.exp(logits - logits.max())
         assert [got[q, i] for i in range(5)] == pytest.approx((w @ keys[:, ::-1] / w.sum()).tolist())
     assert len(got) == 30
+
+
+def test_pairs_of_copies_take_little_space(spark, vectors, small_groups, monkeypatch, tmp_path):
+    monkeypatch.setattr(kernels, "ROWS", 500)  # fewer than the copies of one vector
+    _, rows = tables(spark, {i: vectors[i % 20 * (i < 3000)][:3] for i in range(4000)})
+    queries = rows.filter("id % 100 = 0").select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"))
+    kernels.kernel(queries, rows, "geodesic", 7).write.parquet(f"{tmp_path}/pairs")
+    found = spark.read.parquet(f"{tmp_path}/pairs").toPandas()
+    assert len(found) == 40 * 4000 == len(found[["q_id", "id"]].drop_duplicates())
+    at = lambda i: vectors[i % 20 * (i < 3000)][:3]
+    for q, i, value in found.sample(200, random_state=1).itertuples(index=False):
+        assert value == round(np.arctan2(np.linalg.norm(np.cross(at(q), at(i))), at(q) @ at(i)), 7)
+    assert sum(f.stat().st_size for f in tmp_path.glob("pairs/*.parquet")) < 4 * len(found)
