@@ -59,3 +59,14 @@ def test_odd_tables(spark):
     assert found(spark, v, f) == [(0, 1), (1, 3)]  # without the face of an unknown place; equal faces share their vertices
     vertices, faces = tables(spark, v, f)
     assert crossings.self_intersections(vertices, faces.limit(0)).count() == 0
+
+
+def test_pairs_are_compared_in_slices_of_full_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.uniform(0, 3, (240, 3)), 40 + rng.uniform(0, 3, (60, 3))])  # one bucket of 80 faces, and one of 20
+    f = np.arange(300).reshape(-1, 3)
+    exact = plain(v, f)
+    for most, pairs in ((13, 50), (1000, 7)):
+        monkeypatch.setattr(crossings, "MOST", most)
+        monkeypatch.setattr(crossings, "PAIRS", pairs)
+        assert len(exact) > 50 and found(spark, v, f) == exact
