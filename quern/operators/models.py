@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quern.functions import geometry
 from quern.functions.arrays import squared_distance
 from quern.operators.normalize import mad
+from quern.operators.quantiles import MOST_SCANNED, scanned_quantiles
 from quern.operators.semiring import stable_log_sum
 from quern.session import discard, staged
 
@@ -175,7 +176,8 @@ ROBUST = {
 def robust_fit(rows: DataFrame, keys: list[str], x: list[Column], y: Column, kind: str = "huber", rounds: int = 20, ridge: float = 0.0, tol: float = 1e-10) -> DataFrame:
     """keys, beta, n, scale: least squares, then weights of residuals by their normalised MAD, until no coefficient moves.
 
-    Each round is two quantiles and one aggregate over all groups; only coefficients pass between rounds."""
+    Each round is two quantiles and one aggregate over all groups; only coefficients pass between rounds. Rows of few groups
+    are read again for each and not exchanged."""
     p = len(x)
     base = staged(rows.select(*keys, *(c.cast("double").alias(f"_x{i}") for i, c in enumerate(x)), y.cast("double").alias("_y")))
     own = [F.col(f"_x{i}") for i in range(p)]
@@ -184,7 +186,13 @@ def robust_fit(rows: DataFrame, keys: list[str], x: list[Column], y: Column, kin
     def residuals() -> tuple[DataFrame, DataFrame]:
         eta = sum((F.col("_b")[i] * c for i, c in enumerate(own)), F.lit(0.0))
         left = fit.joined(base, keys).withColumn("_e", F.col("_y") - eta).select(*keys, *(f"_x{i}" for i in range(p)), "_y", "_e")
-        spread = mad(left.select(*keys, "_e"), keys, "_e").withColumnsRenamed({k: f"_s_{k}" for k in keys})
+        if fit.few and len(fit.rows) <= MOST_SCANNED:
+            middle = scanned_quantiles(left.select(*keys, "_e"), keys, "_e", [0.5]).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.get("q", F.lit(0)).alias("_m"))
+            off = left.join(F.broadcast(middle), _same(keys)).select(*keys, F.abs(F.col("_e") - F.col("_m")).alias("_d"))
+            spread = scanned_quantiles(off, keys, "_d", [0.5]).select(*keys, (1.4826 * F.get("q", F.lit(0))).alias("mad"))
+        else:
+            spread = mad(left.select(*keys, "_e"), keys, "_e")
+        spread = spread.withColumnsRenamed({k: f"_s_{k}" for k in keys})
         return left, spread.withColumn("mad", F.when(F.col("mad") > 2.3e-16, F.col("mad")).otherwise(1.0))
 
     for _ in range(rounds):
@@ -192,7 +200,7 @@ def robust_fit(rows: DataFrame, keys: list[str], x: list[Column], y: Column, kin
         on = F.lit(True)
         for k in keys:
             on = on & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
-        step = left.join(spread, on).withColumn("_w", ROBUST[kind](F.col("_e") / F.col("mad")))
+        step = left.join(F.broadcast(spread) if fit.few else spread, on).withColumn("_w", ROBUST[kind](F.col("_e") / F.col("mad")))
         after = _Held(solved(design_sums(step, keys, own, F.col("_y"), F.col("_w")), keys, p, ridge).select(*keys, "beta", "n"), fit.few)
         moved = after.largest_move(fit, keys)
         fit = after
