@@ -106,11 +106,14 @@ def vertex_areas(vertices: DataFrame, faces: DataFrame, scheme: str = "voronoi")
 
 def cotangent_laplacian(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Cells (src, dst, value): minus half the cotangents opposite an edge, and row sums that make each row 0."""
-    halves = [F.struct(F.col(p).alias("p"), F.col(q).alias("q"), (c / 2).alias("w")) for _, p, q, c in _cotangents()]
+    halves = [F.struct(F.least(p, q).alias("p"), F.greatest(p, q).alias("q"), (c / 2).alias("w")) for _, p, q, c in _cotangents()]
     parts = corners(vertices, faces).select(F.explode(F.array(*halves)).alias("s")).select("s.*")
-    both = parts.union(parts.select("q", "p", "w"))
-    off = both.groupBy(F.col("p").alias("src"), F.col("q").alias("dst")).agg((-F.sum("w")).alias("value"))
-    return off.union(both.groupBy(F.col("p").alias("src"), F.col("p").alias("dst")).agg(F.sum("w").alias("value")))
+    sides = staged(parts.groupBy("p", "q").agg(F.sum("w").alias("w")))  # read twice, so that corners meet faces once
+    ends = F.array(F.struct(F.col("p").alias("src"), F.col("q").alias("dst"), (-F.col("w")).alias("value")), F.struct(F.col("q").alias("src"), F.col("p").alias("dst"), (-F.col("w")).alias("value")))
+    ends = F.when(F.col("p") == F.col("q"), F.transform(F.slice(ends, 1, 1), lambda e: e.withField("value", 2 * e["value"]))).otherwise(ends)
+    off = sides.select(F.explode(ends).alias("s")).select("s.*")
+    sums = sides.select(F.explode(F.array("p", "q")).alias("src"), "w").groupBy("src").agg(F.sum("w").alias("value"))
+    return off.union(sums.select("src", F.col("src").alias("dst"), "value"))
 
 
 def edges(faces: DataFrame) -> DataFrame:
