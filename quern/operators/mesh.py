@@ -128,15 +128,23 @@ def edge_face_adjacency(faces: DataFrame) -> DataFrame:
     return sides.join(other, ["p", "q"]).filter("fid < other").select("fid", "other")
 
 
+#: Edges of a partition of `k_ring`, which holds about 12 pairs for each at two hops.
+RING_ROWS = 100_000
+
+
 def k_ring(faces: DataFrame, k: int = 1, include_self: bool = False) -> DataFrame:
-    """Pairs of vertices within k edges, with the least number of edges."""
-    one = edges(faces).select(F.col("p").alias("src"), F.col("q").alias("dst"))
-    one = staged(one.union(one.select("dst", "src")).distinct())
-    reached = one.withColumn("hops", F.lit(1))
+    """Pairs of vertices within k edges, with the least number of edges. Pairs are held in one direction until the end, in
+    partitions whose number grows with the edges."""
+    half = staged(edges(faces).select(F.col("p").alias("src"), F.col("q").alias("dst")).distinct())  # src <= dst
+    parts = max(int(half.sparkSession.conf.get("spark.sql.shuffle.partitions")), half.count() // RING_ROWS)
+    turned = lambda t: t.union(t.filter("src <> dst").select("dst", "src", *t.columns[2:]))
+    one = turned(half)
+    reached = half.withColumn("hops", F.lit(1))
     for hop in range(2, k + 1):
-        step = reached.filter(F.col("hops") == hop - 1).withColumnRenamed("dst", "_m").join(one.withColumnRenamed("src", "_m"), "_m")
-        new = step.select("src", "dst").distinct().filter("src <> dst").join(reached, ["src", "dst"], "left_anti")
-        reached = staged(reached.union(new.withColumn("hops", F.lit(hop))))
+        last = turned(reached.filter(F.col("hops") == hop - 1)).withColumnRenamed("dst", "_m").repartition(parts, "_m")
+        step = last.join(one.withColumnRenamed("src", "_m").repartition(parts, "_m"), "_m").filter("src < dst").select("src", "dst", F.lit(hop).alias("hops"))
+        reached = staged(reached.union(step).repartition(parts, "src", "dst").groupBy("src", "dst").agg(F.min("hops").alias("hops")))
+    reached = turned(reached)
     if include_self:
         reached = reached.union(one.select("src", F.col("src").alias("dst"), F.lit(0).alias("hops")).distinct())
     return reached

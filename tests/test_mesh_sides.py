@@ -30,3 +30,17 @@ def test_laplacian_of_sides(spark):
     for (i, j, _), value in plain.items():
         want[i, j] += value
     assert np.allclose(got, want, rtol=1e-9, atol=1e-9)
+
+
+def test_rings_by_partitions_that_grow(spark, monkeypatch):
+    f = [(0, 1, 2), (1, 3, 2), (2, 3, 4), (4, 6, 7), (5, 5, 6)]
+    faces = spark.createDataFrame([(i, *t) for i, t in enumerate(f)], "fid long, a long, b long, c long")
+    monkeypatch.setattr(mesh, "RING_ROWS", 1)
+    near = {(p, q) for t in f for p in t for q in t if p != q} | {(5, 5)}
+    plain = {e: 1 for e in near}
+    for hop in (2, 3):
+        for (p, m), (n, q) in ((x, y) for x in list(plain) for y in near):
+            if m == n and p != q:
+                plain[p, q] = min(plain.get((p, q), 9), plain[p, m] + 1)
+        got = [((r.src, r.dst), r.hops) for r in mesh.k_ring(faces, hop).collect()]
+        assert len(got) == len(dict(got)) and dict(got) == {e: n for e, n in plain.items() if n <= hop}
