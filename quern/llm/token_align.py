@@ -5,7 +5,7 @@ a byte with it; a token of the first side that ends where one of the second ends
 takes its successor's successor, for all texts of a block at once) leads every token to the last one of its group, which
 labels the group. All pairs of a group's tokens are links.
 
-How many documents hold an id pair linked is counted over the whole table: each block of about BLOCK bytes of text carries
+How many documents hold an id pair linked is counted over the whole table: each block of about BLOCK bytes of text, aligned in parts, carries
 the list of its distinct pairs with their documents, those lists are summed by pair, and the sums go back to the blocks
 that hold the pair. So what is exchanged is a block's distinct pairs and, once, the documents' places in their block's
 list; no document's pairs meet another's, and a pair that every document holds is one row a block.
@@ -20,8 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +30,11 @@ from pyspark.sql import functions as F
 
 from quern.session import small_batches, staged
 
-#: Bytes of text that are aligned at once, and whose pairs share one list.
-BLOCK = 4_000_000
-#: Units of text whose ids a worker remembers; longer units are not remembered.
-REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
+#: Bytes of text whose pairs share one list, and of those that are aligned at once: arrays over a part's tokens take about
+#: a hundred bytes for each of its bytes.
+BLOCK, PART = 4_000_000, 400_000
+#: Units of text whose ids a worker remembers, at most; longer units are not remembered.
+REMEMBERED, LONGEST_REMEMBERED = 200_000, 64
 #: A group with more links than this is counted by its distinct ids, not link by link.
 LINKS_AT_ONCE = 4096
 #: Texts of more characters go to the library of the vocabulary file itself instead of the faster one of equal results.
@@ -87,7 +87,8 @@ def _sizes(pieces: dict[int, bytes]) -> np.ndarray:
 
 
 class Units(dict):
-    """Ids of units of text, filled on demand. A unit whose pieces differ from it has the id -1 among its own.
+    """Ids of units of text as bytes of 32-bit numbers, filled on demand. A unit whose pieces differ from it has the id -1
+    among its own. Half of what is remembered is `older`: those units of it that are not met again are forgotten.
 
     A unit is a line break, or a run of other characters that holds a space only where it begins: no piece holds a line
     break, or a space after another character, so units are cut into pieces on their own."""
@@ -96,14 +97,20 @@ class Units(dict):
 
     def __init__(self, model, pieces: dict[int, bytes]):
         super().__init__()
-        self.encode, self.pieces = model.encode, pieces
+        self.encode, self.pieces, self.older = model.encode, pieces, {}
 
-    def __missing__(self, unit: str) -> list[int]:
+    def __missing__(self, unit: str) -> bytes:
+        if (known := self.older.get(unit)) is not None:
+            return self.kept(unit, known)
         ids = self.encode("\n" + unit, num_threads=1)[2:]  # without the space that the library puts first, and the break
         if b"".join(self.pieces[i] for i in ids) != unit.encode():
             ids = [-1, *ids]
+        return self.kept(unit, np.array(ids, np.int32).tobytes())
+
+    def kept(self, unit: str, ids: bytes) -> bytes:
         if len(unit) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED // 2:
+                self.older = dict(self)
                 self.clear()
             self[unit] = ids
         return ids
@@ -127,7 +134,7 @@ class Pieces:
         if self.units is None or "▁" in text:
             ids = self.model.encode(text, num_threads=1)
             return np.array(ids, np.int64) if b"".join(self.bytes[i] for i in ids) == b" " + text.encode() else None
-        ids = np.fromiter(chain.from_iterable(map(self.units.__getitem__, Units.FORM.findall(" " + text))), np.int64)
+        ids = np.frombuffer(b"".join(map(self.units.__getitem__, Units.FORM.findall(" " + text))), np.int32).astype(np.int64)
         return None if ids.min() < 0 else ids
 
 
@@ -248,15 +255,15 @@ class Block:
         return keys >> 40, keys & ((1 << 40) - 1), weights
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of at most BLOCK bytes of text, or of one row."""
+def _chunks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many bytes of text, or of one row."""
     for batch in batches:
         sizes = batch.column("_text").cast(pa.large_binary())
         ends = np.cumsum([len(s.as_buffer()) if s.is_valid else 0 for s in sizes])
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + BLOCK, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
 
@@ -268,16 +275,24 @@ def _aligning(a_path: str, b_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = load(a_path, b_path)
         part = TaskContext.get().partitionId()
-        for k, chunk in enumerate(_chunks(batches)):
-            block = Block(chunk.column("_text").to_pylist(), a, b)
-            text, pair, times = block.pairs()
+        for k, chunk in enumerate(_chunks(batches, BLOCK)):
+            sizes, digests, pairs = [], [], []
+            for piece in _chunks([chunk], PART):
+                block = Block(piece.column("_text").to_pylist(), a, b)
+                text, pair, times = block.pairs()
+                sizes.append((block.n_a, block.n_b, block.n_groups, block.n_links))
+                pairs.append((text + len(digests), pair, times))
+                digests += block.digests()
+                del block
+            text, pair, times = map(np.concatenate, zip(*pairs))
             listed, at = np.unique(pair, return_inverse=True)
-            offsets = np.searchsorted(text, np.arange(block.n + 1))
-            held = np.array([0] + [len(listed)] * block.n)  # the block's list stands in its first row
+            n = len(digests)
+            offsets = np.searchsorted(text, np.arange(n + 1))
+            held = np.array([0] + [len(listed)] * n)  # the block's list stands in its first row
             lists = lambda ends, values, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
             own = [
-                pa.array(np.full(block.n, (part << 32) + k), pa.int64()), *(pa.array(v, pa.int64()) for v in (block.n_a, block.n_b, block.n_groups, block.n_links)),
-                pa.array(block.digests(), pa.string()), lists(offsets, at, pa.int32()), lists(offsets, times, pa.int64()), lists(held, listed, pa.int64()),
+                pa.array(np.full(n, (part << 32) + k), pa.int64()), *(pa.array(np.concatenate(v), pa.int64()) for v in zip(*sizes)),
+                pa.array(digests, pa.string()), lists(offsets, at, pa.int32()), lists(offsets, times, pa.int64()), lists(held, listed, pa.int64()),
                 lists(held, np.bincount(at, minlength=len(listed)), pa.int64()),
             ]
             kept = [name for name in chunk.schema.names if name != "_text"]
@@ -346,7 +361,7 @@ def groups(docs: DataFrame, a_path: str, b_path: str, text: str = "text", keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = load(a_path, b_path)
-        for chunk in _chunks(batches):
+        for chunk in _chunks(batches, PART):
             block = Block(chunk.column("_text").to_pylist(), a, b)
             names = [n for n in chunk.schema.names if n != "_text"]
             number = np.arange(len(block.text_of)) - (np.cumsum(block.n_groups) - block.n_groups)[block.text_of]

@@ -121,3 +121,32 @@ def test_query_returns_all_documents(spark):
     rows = op13_pointer_alignment(spark, DATA)
     assert rows.count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
     assert set(rows.columns) == {"doc_id", *FIELDS}
+
+
+def test_parts_bound_a_workers_memory(texts, monkeypatch):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(T, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    some = [*HARD, *(texts[i] for i in sorted(texts))]
+    some = some * (4_000_000 // sum(len((t or "").encode()) for t in some) + 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(some)), pa.int64()), pa.array(some, pa.string())], names=["doc_id", "_text"])
+    list(T._aligning(A, B)(iter([batch.slice(0, 1)])))  # the vocabularies are loaded
+    tracemalloc.start()
+    try:
+        for _ in T._aligning(A, B)(iter([batch])):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 130e6  # 295 MB when a block was aligned at once
+    finally:
+        tracemalloc.stop()
+
+
+def test_remembered_units_are_bounded_and_equal(monkeypatch):
+    _, b = T.load(A, B)
+    monkeypatch.setattr(T, "REMEMBERED", 8)
+    units = T.Units(b.model, b.bytes)
+    names = [f" w{i % 3}" if i % 2 else f" z{i}" for i in range(60)]
+    assert all(np.frombuffer(units[u], np.int32).tolist() == b.model.encode("\n" + u)[2:] for u in names)
+    assert len(units) + len(units.older) <= 8
