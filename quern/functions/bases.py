@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions.arrays import kronecker
 
 
-def uniform_bspline_weights(t: Column, degree: int = 3) -> Column:
-    """The degree + 1 weights of uniform B-splines at a place t within a span; they sum to one."""
+def _weights(t, degree: int) -> tuple:
+    """The weights of `uniform_bspline_weights`, of a column or of numbers."""
     u = 1 - t
     if degree == 1:
-        return F.array(u, t)
+        return u, t
     if degree == 2:
-        return F.array(u * u / 2, (1 + 2 * t - 2 * t * t) / 2, t * t / 2)
-    return F.array(u * u * u / 6, (3 * t * t * t - 6 * t * t + 4) / 6, (-3 * t * t * t + 3 * t * t + 3 * t + 1) / 6, t * t * t / 6)
+        return u * u / 2, (1 + 2 * t - 2 * t * t) / 2, t * t / 2
+    return u * u * u / 6, (3 * t * t * t - 6 * t * t + 4) / 6, (-3 * t * t * t + 3 * t * t + 3 * t + 1) / 6, t * t * t / 6
+
+
+def uniform_bspline_weights(t: Column, degree: int = 3) -> Column:
+    """The degree + 1 weights of uniform B-splines at a place t within a span; they sum to one."""
+    return F.array(*_weights(t, degree))
 
 
 def bspline_basis(x: Column, low: float, high: float, number: int = 10, degree: int = 3) -> Column:
@@ -42,6 +48,28 @@ def cyclic_basis(x: Column, low: float, high: float, number: int = 10, degree: i
     return F.get(F.transform(F.array(held), lambda h: F.transform(places, lambda i: F.coalesce(F.when(shifted(h, i) <= degree, F.get(h["w"], shifted(h, i))), F.lit(0.0)))), F.lit(0))
 
 
+def bspline_values(x: np.ndarray, low: float, high: float, number: int = 10, degree: int = 3) -> np.ndarray:
+    """`bspline_basis` of numbers within a task, a row each."""
+    spans = number - degree
+    s = (x - low) / (high - low) * spans
+    s = np.where(np.isnan(s), 1.0, s)  # SQL's least and greatest take NaN as the largest number
+    span = np.clip(np.floor(s), 0, spans - 1)
+    out, row, first = np.zeros((len(s), number)), np.arange(len(s)), span.astype(int)
+    for j, w in enumerate(_weights(np.clip(s - span, 0.0, 1.0), degree)):
+        out[row, first + j] = w
+    return out
+
+
+def cyclic_values(x: np.ndarray, low: float, high: float, number: int = 10, degree: int = 3) -> np.ndarray:
+    """`cyclic_basis` of numbers within a task, a row each."""
+    s = (x - low) / (high - low) * number
+    down = np.floor(s)
+    out, row, first = np.zeros((len(s), number)), np.arange(len(s)), np.where(np.isfinite(s), np.mod(down, number), 0).astype(int)
+    for j, w in enumerate(_weights(s - down, degree)[:number]):
+        out[row, (first + j) % number] = w
+    return out
+
+
 def periodic_features(x: Column, period: float, order: int) -> Column:
     """cos and sin of each harmonic, interleaved."""
     return F.array(*(f(2 * math.pi * j / period * x) for j in range(1, order + 1) for f in (F.cos, F.sin)))

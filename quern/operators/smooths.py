@@ -1,8 +1,9 @@
 """Generalised additive models: penalised smooths for all elements at once, smoothing parameters chosen on Gram sums.
 
-Each task sums products of its rows' design (intercept, linear terms, bases) and response by element; the sums, a row an
-element, hold all that a Gaussian fit needs, so its rows are read once. The constraint that a smooth sums to zero over the
-element's rows is a change of basis of those sums. Smoothing parameters follow the generalised Fellner-Schall update,
+Each task makes the bases of its rows from the smooths' variables, as arrays of a batch, and sums products of the design
+(intercept, linear terms, bases) and the response by element; the sums, a row an element, hold all that a Gaussian fit
+needs, so its rows are read once. The constraint that a smooth sums to zero over the element's rows is a change of basis of
+those sums. Smoothing parameters follow the generalised Fellner-Schall update,
 lambda_k <- lambda_k (tr(S^- S_k) - tr(V S_k)) phi / (b' S_k b), V = (X'WX + S)^-1, until none moves. Other families repeat
 that on the sums of the working response; only coefficients pass between rounds.
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -30,17 +32,19 @@ LEAST_LAMBDA, MOST_LAMBDA, RIDGE = 1e-6, 1e8, 1e-8
 
 @dataclass
 class Smooth:
-    """A basis (array column of `size` values) and the penalties of its coefficients."""
+    """A basis and the penalties of its coefficients. `basis` is an array column of `size` values or, where there is
+    `values`, the variable: `values` makes the basis of many of its numbers within a task."""
 
     basis: Column
     size: int
     penalties: list[np.ndarray]
+    values: Callable[[np.ndarray], np.ndarray] | None = None
 
 
 def bspline_smooth(x: Column, low: float, high: float, number: int = 10, degree: int = 3, order: int = 2) -> Smooth:
     """B-splines with differences of the given order of neighbouring coefficients penalised."""
     d = np.diff(np.eye(number), order, axis=0)
-    return Smooth(F.when(x.isNotNull(), bases.bspline_basis(x.cast("double"), low, high, number, degree)), number, [d.T @ d])
+    return Smooth(x.cast("double"), number, [d.T @ d], partial(bases.bspline_values, low=low, high=high, number=number, degree=degree))
 
 
 def cyclic_smooth(x: Column, low: float, high: float, number: int = 10, degree: int = 3, order: int = 2) -> Smooth:
@@ -48,7 +52,39 @@ def cyclic_smooth(x: Column, low: float, high: float, number: int = 10, degree:
     d = np.eye(number)
     for _ in range(order):
         d = np.roll(d, -1, axis=0) - d
-    return Smooth(F.when(x.isNotNull(), bases.cyclic_basis(x.cast("double"), low, high, number, degree)), number, [d.T @ d])
+    return Smooth(x.cast("double"), number, [d.T @ d], partial(bases.cyclic_values, low=low, high=high, number=number, degree=degree))
+
+
+class Design:
+    """The columns that rows bring to a task, and the design (intercept, linear terms, bases) that a task makes of them."""
+
+    def __init__(self, linear: list[Column], smooths: list[Smooth]):
+        self.columns = [c.cast("double").alias(f"_l{i}") for i, c in enumerate(linear)] + [s.basis.alias(f"_s{k}") for k, s in enumerate(smooths)]
+        self.names = [f"_l{i}" for i in range(len(linear))] + [f"_s{k}" for k in range(len(smooths))]
+        self.whole, self.spans, self.p = F.lit(True), [], 1 + len(linear)
+        for i in range(len(linear)):
+            self.whole = self.whole & F.col(f"_l{i}").isNotNull()
+        for k, s in enumerate(smooths):
+            self.whole = self.whole & (F.forall(f"_s{k}", lambda v: v.isNotNull()) if s.values is None else F.col(f"_s{k}").isNotNull())
+            self.spans.append((self.p, self.p + s.size))
+            self.p += s.size
+        self.reader = _Reader(len(linear), [(s.size, s.values) for s in smooths])
+
+
+@dataclass
+class _Reader:
+    """What of a design goes to tasks."""
+
+    linear: int
+    made: list[tuple[int, Callable | None]]
+
+    def basis(self, batch: pa.RecordBatch, k: int) -> np.ndarray:
+        column, (size, values) = batch.column(f"_s{k}"), self.made[k]
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size) if values is None else values(column.to_numpy(zero_copy_only=False))
+
+    def matrix(self, batch: pa.RecordBatch) -> np.ndarray:
+        linear = [batch.column(f"_l{i}").to_numpy(zero_copy_only=False) for i in range(self.linear)]
+        return np.column_stack([np.ones(batch.num_rows), *linear, *(self.basis(batch, k) for k in range(len(self.made)))])
 
 
 #: Families: mean of eta, its slope, variance of the mean, eta to begin with, unit deviance, and whether dispersion is estimated.
@@ -90,14 +126,14 @@ class Gam:
     """A fit. `table` is a row an element: keys, n, beta (of all columns: intercept, linear terms, bases), lam, edf (of each
     smooth), edf_total, dispersion, deviance, null_deviance, cov (row-major, times the dispersion)."""
 
-    def __init__(self, table: DataFrame, keys: list[str], design: Column, spans: list[tuple[int, int]], family: str):
-        self.table, self.keys, self.design, self.spans, self.family = table, keys, design, spans, family
+    def __init__(self, table: DataFrame, keys: list[str], design: Design, family: str):
+        self.table, self.keys, self.design, self.spans, self.family = table, keys, design, design.spans, family
 
-    def _met(self, rows: DataFrame, number: bool = False) -> tuple[DataFrame, list | None]:
-        """rows with their element's coefficients _b and covariance _c. Few elements are broadcast, so that rows stay where
-        they are; with number, rows of few elements get its place in a list of (beta, cov), _g, instead."""
+    def _met(self, rows: DataFrame) -> tuple[DataFrame, list | None]:
+        """rows, with the design's columns, and their element's coefficients _b and covariance _c. Few elements are
+        broadcast, so that rows stay where they are, as their place _g in a list of (beta, cov)."""
         held = _Held(self.table.select(*self.keys, "beta", "cov"), None, 2 * self.spans[-1][1] ** 2 if self.spans else 1)
-        if held.few and number:
+        if held.few:
             kinds = "".join(f"`_k_{k}` {held.table.schema[k].dataType.simpleString()}, " for k in self.keys)
             named = self.table.sparkSession.createDataFrame([(*(r[k] for k in self.keys), i) for i, r in enumerate(held.rows)], f"{kinds}_g int")
         else:
@@ -106,19 +142,34 @@ class Gam:
         for k in self.keys:
             on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
         met = rows.join(F.broadcast(named) if held.few or not self.keys else named, on)
-        return met.drop(*(f"_k_{k}" for k in self.keys)).withColumn("_x", self.design), held.rows if number else None
+        return met.drop(*(f"_k_{k}" for k in self.keys)).select("*", *self.design.columns), held.rows if held.few else None
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        """rows with `predicted`, the mean."""
-        eta = F.aggregate(F.zip_with("_x", "_b", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        link = {"gaussian": lambda e: e, "poisson": F.exp, "gamma": F.exp, "binomial": lambda e: 1 / (1 + F.exp(-e))}[self.family]
-        return self._met(rows)[0].withColumn("predicted", link(eta)).drop("_x", "_b", "_c")
+        """rows with `predicted`, the mean; null where the design has a null."""
+        met, fits = self._met(rows)
+        reader, mean, spare = self.design.reader, FAMILIES[self.family][0], ("_b", "_c", "_g", "_w", *self.design.names)
+        few = None if fits is None else np.array([r["beta"] for r in fits], float)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                whole = batch.column("_w").to_numpy(zero_copy_only=False).astype(bool)
+                predicted, own = np.zeros(batch.num_rows), batch.filter(pa.array(whole))
+                if own.num_rows:
+                    x = reader.matrix(own)
+                    b = own.column("_b").flatten().to_numpy(zero_copy_only=False).reshape(x.shape) if few is None else few[own.column("_g").to_numpy()]
+                    predicted[whole] = mean((x * b).sum(axis=1))
+                names = [n for n in batch.schema.names if n not in spare]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(predicted, mask=~whole)], names=[*names, "predicted"])
+
+        met = met.withColumn("_w", F.coalesce(self.design.whole, F.lit(False)))
+        return met.drop("_c").mapInArrow(run, _kinds(rows, rows.columns) + "predicted double")
 
     def partial_effect(self, rows: DataFrame, smooth: int) -> DataFrame:
         """rows with `effect` and `se` of one smooth at their place."""
         low, high = self.spans[smooth]
-        met, fits = self._met(rows, True)
-        own = met.filter(F.forall("_x", lambda v: v.isNotNull())).withColumn("_x", F.slice("_x", low + 1, high - low))
+        met, fits = self._met(rows)
+        own = met.filter(self.design.whole).drop(*(n for n in self.design.names if n != f"_s{smooth}"))
+        reader, spare = self.design.reader, ("_b", "_c", "_g", f"_s{smooth}")
         kinds = _kinds(rows, rows.columns) + "effect double, se double"
         cut = lambda beta, cov: (np.asarray(beta, float)[low:high], np.asarray(cov, float).reshape(len(beta), -1)[low:high, low:high])
         few = None if fits is None else [cut(r["beta"], r["cov"]) for r in fits]
@@ -127,7 +178,7 @@ class Gam:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                x = reader.basis(batch, smooth)
                 effect, spread = np.empty(len(x)), np.empty(len(x))
                 if few is None:
                     for i, (b, c) in enumerate(map(cut, batch.column("_b").to_pylist(), batch.column("_c").to_pylist())):
@@ -137,7 +188,7 @@ class Gam:
                     for g in np.unique(number):
                         mine, (b, c) = number == g, few[g]
                         effect[mine], spread[mine] = (x[mine] * b).sum(axis=1), np.einsum("ni,ni->n", x[mine] @ c, x[mine])
-                names = [n for n in batch.schema.names if n not in ("_x", "_b", "_c", "_g")]
+                names = [n for n in batch.schema.names if n not in spare]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(effect), pa.array(np.sqrt(np.maximum(spread, 0)))], names=[*names, "effect", "se"])
 
         return own.mapInArrow(run, kinds)
@@ -150,12 +201,8 @@ def _null_space(sums: np.ndarray) -> np.ndarray:
 
 def gam_fit(rows: DataFrame, keys: list[str], smooths: list[Smooth], y: Column, parametric: list[Column] | None = None, family: str = "gaussian", rounds: int = 40, tol: float = 1e-7) -> Gam:
     """A smooth model of each element (keys), with an intercept."""
-    linear = [F.lit(1.0), *(c.cast("double") for c in parametric or [])]
-    design, spans, at = F.concat(F.array(*linear), *(s.basis for s in smooths)), [], len(linear)
-    for s in smooths:
-        spans.append((at, at + s.size))
-        at += s.size
-    p, fixed = at, len(linear)
+    design = Design(parametric or [], smooths)
+    p, spans, reader, fixed = design.p, design.spans, design.reader, 1 + len(parametric or [])
     mean, slope, variance, begin, unit, estimated = FAMILIES[family]
     penalties = []
     for s, (low, high) in zip(smooths, spans):
@@ -165,7 +212,7 @@ def gam_fit(rows: DataFrame, keys: list[str], smooths: list[Smooth], y: Column,
             penalties.append(whole)
     upper = np.triu_indices(p + 1)
     width = len(upper[0]) + 4
-    ready = rows.select(*keys, design.alias("_x"), y.cast("double").alias("_y")).filter(F.col("_y").isNotNull() & F.forall("_x", lambda v: v.isNotNull()))
+    ready = rows.select(*keys, *design.columns, y.cast("double").alias("_y")).filter(F.col("_y").isNotNull() & design.whole)
     base = ready if family == "gaussian" else staged(ready)
     kinds = _kinds(base, keys)
 
@@ -174,7 +221,7 @@ def gam_fit(rows: DataFrame, keys: list[str], smooths: list[Smooth], y: Column,
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+            x = reader.matrix(batch)
             v = batch.column("_y").to_numpy(zero_copy_only=False)
             if "_b" in batch.schema.names:
                 eta = np.clip((x * batch.column("_b").flatten().to_numpy(zero_copy_only=False).reshape(-1, p)).sum(axis=1), -30, 30)
@@ -241,7 +288,7 @@ def gam_fit(rows: DataFrame, keys: list[str], smooths: list[Smooth], y: Column,
             same = F.lit(True)
             for k in keys:
                 same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-            met = base.join(F.broadcast(named) if held.few or not keys else named, same).select(*keys, "_x", "_y", "_b", "_m")
+            met = base.join(F.broadcast(named) if held.few or not keys else named, same).select(*keys, *design.names, "_y", "_b", "_m")
             kept = held.table.select(*on("_k_"), "c")
             again = sums_of(met).join(F.broadcast(kept) if held.few or not keys else kept, same).drop(*(f"_k_{k}" for k in keys))
             after = _Held(again.mapInPandas(solved, kinds + fields), held.few)
@@ -250,4 +297,4 @@ def gam_fit(rows: DataFrame, keys: list[str], smooths: list[Smooth], y: Column,
             if moved <= tol:
                 break
         fit = held.table
-    return Gam(fit.drop("c", "mean"), keys, design, spans, family)
+    return Gam(fit.drop("c", "mean"), keys, design, family)

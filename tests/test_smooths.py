@@ -138,3 +138,36 @@ def test_rows_stay_where_they_are_and_effects_equal_those_of_many_elements(spark
         basis, row = splines(np.array([w]), -1, 1, 10)[0], found[e]
         cov = np.array(row.cov).reshape(len(row.beta), -1)[low:high, low:high]
         assert effect == pytest.approx(basis @ row.beta[low:high], abs=1e-9) and se == pytest.approx((basis @ cov @ basis) ** 0.5, rel=1e-6)
+
+
+def test_bases_of_numbers_equal_those_of_columns(spark):
+    from quern.functions import bases
+
+    x = [*np.linspace(-0.5, 1.5, 41), 0.0, 1.0, float("inf"), float("-inf"), float("nan")]
+    table = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double")
+    for number, degree in ((10, 3), (8, 2), (5, 1), (4, 3)):
+        rows = table.select("i", bases.bspline_basis(F.col("x"), 0.0, 1.0, number, degree).alias("s"), bases.cyclic_basis(F.col("x"), 0.0, 1.0, number, degree).alias("c")).orderBy("i").collect()
+        assert np.allclose(bases.bspline_values(np.array(x), 0.0, 1.0, number, degree), [r.s for r in rows], rtol=0, atol=1e-15)
+        finite = slice(0, len(x) - 3)
+        assert np.array_equal(bases.cyclic_values(np.array(x[finite]), 0.0, 1.0, number, degree), [r.c for r in rows][finite])
+
+
+def test_bases_are_made_in_tasks_and_array_columns_agree(spark, monkeypatch):
+    from quern.functions import bases
+    from quern.operators import models
+
+    table = spark.createDataFrame([*simulated(), ("a", None, 0.5, 1.0), ("a", 0.5, None, 1.0), ("b", None, 0.0, 1.0)], SCHEMA).repartition(4)
+    term = smooths.bspline_smooth(F.col("x"), 0.0, 1.0)
+    plain = smooths.Smooth(F.when(F.col("x").isNotNull(), bases.bspline_basis(F.col("x"), 0.0, 1.0)), 10, term.penalties)
+    fits = [smooths.gam_fit(table, ["e"], [s], F.col("y"), [F.col("w")]) for s in (term, plain)]
+    assert "lambda" not in fits[0].table._jdf.queryExecution().optimizedPlan().toString()  # no row builds its basis as SQL arrays
+    one, two = ({r.e: r for r in fit.table.collect()} for fit in fits)
+    assert set(one) == set(two) == {"a", None}
+    assert all(np.allclose(one[e][c], two[e][c], rtol=1e-9) for e in one for c in ("beta", "lam", "cov", "edf", "deviance"))
+    known = [[(r.e, r.x, r.w, r.predicted) for r in fit.predict(table).orderBy("e", "x", "w").collect()] for fit in fits]
+    assert len(known[0]) == 602 and [r[:3] for r in known[0]] == [r[:3] for r in known[1]]  # an element without a fit has no row
+    assert all(a[3] == pytest.approx(b[3], abs=1e-10) and (a[3] is None) == (a[1] is None or a[2] is None) for a, b in zip(*known))
+    assert fits[0].partial_effect(table, 0).count() == 600
+    monkeypatch.setattr(models, "MOST_HELD", 0)
+    many = [(r.e, r.x, r.w, r.predicted) for r in fits[0].predict(table).orderBy("e", "x", "w").collect()]
+    assert all(a[:3] == b[:3] and a[3] == pytest.approx(b[3], abs=1e-10) for a, b in zip(known[0], many, strict=True))
