@@ -14,6 +14,7 @@ import os
 import uuid
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,12 +80,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def in_written_order(docs: DataFrame) -> DataFrame:
     """docs with `_position`: where each row stands in the table that it was read from, by file and row. The mix writes its
-    rows sorted by training position, so this is their order; a table that was not read from files has one place."""
-    if not docs.inputFiles():
-        return docs.withColumn("_position", F.lit(0).cast("long"))
-    number = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1)
-    file = F.when(number != "", number.cast("long")).otherwise(F.lit(0).cast("long"))
-    return docs.select("*", (F.shiftleft(file, 32) + F.col("_metadata.row_index")).alias("_position"))
+    rows sorted by training position, so this is their order; rows that no longer know where they were read have one place."""
+    if docs.inputFiles():
+        number = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1)
+        file = F.when(number != "", number.cast("long")).otherwise(F.lit(0).cast("long"))
+        try:
+            return docs.select("*", (F.shiftleft(file, 32) + F.col("_metadata.row_index")).alias("_position"))
+        except AnalysisException:  # made of tables read, as by an aggregate
+            pass
+    return docs.withColumn("_position", F.lit(0).cast("long"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,3 +97,14 @@ def test_sequences_keep_the_order_of_the_mix(spark, folder, tmp_path, monkeypatc
     for spans in room.values():
         spans.sort()
         assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and spans[0][0] == 0
+
+
+def test_order_of_rows_read_and_of_rows_made(spark, tmp_path):
+    import corpus_pipeline
+
+    made = spark.createDataFrame([(i, f"t{i}") for i in range(6)], "doc_id long, text string").coalesce(1)
+    made.write.parquet(str(tmp_path / "docs"))
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    assert {r.doc_id: r._position for r in corpus_pipeline.in_written_order(read).collect()} == {i: i for i in range(6)}
+    for other in (made, read.groupBy("doc_id").agg({"text": "max"})):  # the latter comes of files, but its rows do not say where they stood
+        assert [r._position for r in corpus_pipeline.in_written_order(other).collect()] == [0] * 6
