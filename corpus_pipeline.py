@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import curriculum, mil_quality, packing, secrets, token_join
 from quern.llm.words import n_words, words
-from quern.session import discard, share_package, shared_dir, small_batches
+from quern.session import discard, share_package, shared_dir, small_batches, staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Words whose ids a worker remembers: workers live through all stages, so less than the operator's default.
@@ -44,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     small_batches(spark)
     docs = docs.select(*COLUMNS)
     found = token_join.jaccard_components(docs, keep=True)
-    firsts = found.filter("first").select(F.col("doc_id").alias("_id"), F.col("_row").alias("_first")).distinct()
+    firsts = staged(found.filter("first").select(F.col("doc_id").alias("_id"), F.col("_row").alias("_first")).distinct())
     rows = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     kept = rows.join(firsts, (F.col("_row") == F.col("_first")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     return kept.dropDuplicates(["doc_id", "_row"]).select(*COLUMNS)  # identity: the id, and a hash of id and text
@@ -70,7 +70,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = docs.select(*COLUMNS).withColumn("_key", row_key(*COLUMNS[:4]))
     mixed = curriculum.curriculum_mix(docs.select(F.col("_key").alias("doc_id"), "source", n_words(F.col("text")).alias("size")))
-    times = mixed.select(F.col("doc_id").alias("_key"), F.explode("occurrences").alias("o"))
+    times = staged(mixed.select(F.col("doc_id").alias("_key"), F.explode("occurrences").alias("o")))
     rows = docs.dropDuplicates(["_key"]).withColumn("_size", n_words(F.col("text"))).join(times, "_key")  # each of rows alike has its own times
     text = F.when(F.col("o.take") < F.col("_size"), F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("o.take").cast("int")), " ")).otherwise(F.col("text"))
     rows = rows.select("doc_id", text.alias("text"), "lang", "source", F.col("o.position").alias("_position"))

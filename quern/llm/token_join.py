@@ -22,6 +22,9 @@ Defined results: null and wordless texts have no shingles, n_shingles 0, and are
 their own id). Repeated rows are copies. A null id takes part, and its component's id is the smallest that is not null.
 An empty table gives no rows. Other columns are ignored. Hashes have 64 bits; sets that differ are taken for equal with
 a probability of about 2 ** -64 a pair.
+
+Steps are written often, so that no plan is large: the driver describes, adapts and logs the whole plan whenever a stage
+of it ends, and its memory follows.
 """
 
 from __future__ import annotations
@@ -229,15 +232,16 @@ def _led_pairs(able: DataFrame, about: DataFrame, whole: DataFrame) -> tuple[Dat
     total, inner = F.col("x.n") + F.col("y.n"), F.least("xs", "ys")
     ends = lambda rows: rows.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"))
     dealt = (F.col("first") == F.col("_f")) & (F.col("xd") == F.col("yd"))
-    by_leader = ends(x(led).join(y(led), dealt & fit & _reaches(inner, total)))
+    by_leader = staged(ends(x(led).join(y(led), dealt & fit & _reaches(inner, total))))
     own, leaders = whole.select("rid", "tokens"), whole.select(F.col("rid").alias("first"), F.col("tokens").alias("_l"))
     outside = led.join(own, F.col("set.rid") == F.col("rid")).join(leaders, "first").select("first", "set", "part", "shared", "open", F.explode(F.array_except("tokens", "_l")).alias("token"))
     outside = own_outside = staged(outside)
     several = outside.groupBy("first", "token").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("salts"), F.min("part").alias("_x"), F.max("part").alias("_y")).filter("_x < _y").select("first", "token", "salts")
     outside = outside.join(several, ["first", "token"])
     bound = inner + F.least(F.col("x.most") - F.col("xs"), F.col("y.most") - F.col("ys"))
-    by_token = ends(x(outside).join(y(outside), dealt & (F.col("token") == F.col("_t")) & fit & ~_reaches(inner, total) & _reaches(bound, total)))
-    return by_leader.union(by_token), [led, own_outside]
+    by_token = staged(ends(x(outside).join(y(outside), dealt & (F.col("token") == F.col("_t")) & fit & ~_reaches(inner, total) & _reaches(bound, total))))
+    discard(led, own_outside)
+    return by_leader.union(by_token), [by_leader, by_token]
 
 
 def _survivors(texts: DataFrame, sets: DataFrame) -> DataFrame:
@@ -275,15 +279,16 @@ def links(texts: DataFrame, sets: DataFrame) -> DataFrame:
     met = index.join(leaders, "signature").filter((F.col("set.rid") != F.col("leader.rid")) & _compatible("set", "leader"))
     votes = met.groupBy(F.col("set.rid").alias("rid"), F.col("leader.rid").alias("leader")).agg(F.count("*").alias("votes"), F.first("set.n").alias("n"))
     order = Window.partitionBy("rid").orderBy(F.desc("votes"), "leader")
-    best = votes.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= LEADERS)
+    best = staged(votes.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= LEADERS).select("rid", "n", "leader"))
     tried = staged(compared(best.select(F.least("rid", "leader").alias("a"), F.greatest("rid", "leader").alias("b")).distinct(), whole))
     edges = tried.filter("linked").select("a", "b")
     labels = connected_components(edges).withColumnsRenamed({"v": "rid", "label": "part"})
     known = best.select("rid", "n", F.col("leader").alias("via")).join(tried, (F.least("rid", "via") == F.col("a")) & (F.greatest("rid", "via") == F.col("b")))
     known = known.filter(2 * F.col("shared") >= F.col("n")).select("rid", "via", "shared").union(best.select("leader", "leader").distinct().join(able, F.col("leader") == F.col("rid")).select("rid", "rid", F.col("n").cast("int")))
-    via = known.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("via", "shared"))).alias("via"))  # at most LEADERS + 1
+    via = staged(known.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("via", "shared"))).alias("via")))  # at most LEADERS + 1
     about = able.select("rid").join(labels, "rid", "left").join(via, "rid", "left").join(lowest, "rid", "left")
     about = staged(about.select("rid", F.coalesce("part", "rid").alias("part"), "via", F.map_keys("via").alias("met"), "low"))
+    discard(best, via)
     placed = staged(index.join(about.select("rid", "part"), F.col("set.rid") == F.col("rid")).select("signature", "set", "part"))
     split = placed.groupBy("signature").agg(
         F.min("part").alias("_x"), F.max("part").alias("_y"), F.mode("part").alias("main"), F.min("set.n").alias("least")
@@ -301,13 +306,14 @@ def links(texts: DataFrame, sets: DataFrame) -> DataFrame:
     apart = ~F.coalesce(F.arrays_overlap("xm", "ym"), F.lit(False))
     before = F.exists(F.array_intersect("xl", "yl"), lambda low: low < x["signature"])  # the pair comes up there
     across = x.join(y, (x["signature"] == y["signature"]) & (F.col("xp") != F.col("yp")) & once & _compatible("x", "y") & apart & ~before)
-    across = across.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"))
+    across = staged(across.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")))
+    discard(open_sets)
     led, behind = _led_pairs(able, about, whole)
     pairs = staged(across.union(led).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    discard(*behind)
+    discard(across, *behind)
     near = staged(near_by_parity(pairs, whole))
     found = staged(edges.union(compared(near, whole).filter("linked").select("a", "b")))
-    discard(pairs, near, open_sets, about, tried, signed, whole)
+    discard(pairs, near, about, tried, signed, whole)
     return found
 
 
@@ -321,7 +327,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", keep: bool = False)
     sets = own.filter("rid IS NOT NULL").groupBy("rid").agg(F.first("n").alias("n"), F.min(rep).alias("rep"))
     sets = staged(sets)
     labels = connected_components(links(texts.select("_row", "_text"), sets)).withColumnsRenamed({"v": "rid", "label": "part"})
-    placed = sets.join(labels, "rid", "left").select("rid", "rep", F.coalesce("part", "rid").alias("part"))
+    placed = staged(sets.join(labels, "rid", "left").select("rid", "rep", F.coalesce("part", "rid").alias("part")))
     firsts = placed.groupBy("part").agg(F.min("rep").alias("first"))
     placed = placed.join(firsts, "part").select(F.col("rid").alias("_rid"), "first")
     rows = own.join(placed, F.col("rid") == F.col("_rid"), "left")
