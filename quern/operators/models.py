@@ -14,11 +14,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions import geometry
 from quern.functions.arrays import squared_distance
 from quern.operators.normalize import mad
-from quern.operators.quantiles import MOST_SCANNED, scanned_quantiles
+from quern.operators.quantiles import MOST_NEAR, MOST_SCANNED, scanned_quantiles, spread_near
 from quern.operators.semiring import stable_log_sum
 from quern.session import discard, staged
 
@@ -177,19 +178,18 @@ def robust_fit(rows: DataFrame, keys: list[str], x: list[Column], y: Column, kin
     """keys, beta, n, scale: least squares, then weights of residuals by their normalised MAD, until no coefficient moves.
 
     Each round is two quantiles and one aggregate over all groups; only coefficients pass between rounds. Rows of few groups
-    are read again for each and not exchanged."""
+    are read again for each and not exchanged; once medians move little, one scan about the last ones finds both."""
     p = len(x)
     base = staged(rows.select(*keys, *(c.cast("double").alias(f"_x{i}") for i, c in enumerate(x)), y.cast("double").alias("_y")))
     own = [F.col(f"_x{i}") for i in range(p)]
     fit = _Held(solved(design_sums(base, keys, own, F.col("_y")), keys, p, ridge).select(*keys, "beta", "n"), None, p)
+    guesses: dict = {}
 
     def residuals() -> tuple[DataFrame, DataFrame]:
         eta = sum((F.col("_b")[i] * c for i, c in enumerate(own)), F.lit(0.0))
         left = fit.joined(base, keys).withColumn("_e", F.col("_y") - eta).select(*keys, *(f"_x{i}" for i in range(p)), "_y", "_e")
         if fit.few and len(fit.rows) <= MOST_SCANNED:
-            middle = scanned_quantiles(left.select(*keys, "_e"), keys, "_e", [0.5]).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.get("q", F.lit(0)).alias("_m"))
-            off = left.join(F.broadcast(middle), _same(keys)).select(*keys, F.abs(F.col("_e") - F.col("_m")).alias("_d"))
-            spread = scanned_quantiles(off, keys, "_d", [0.5]).select(*keys, (1.4826 * F.get("q", F.lit(0))).alias("mad"))
+            spread = _scanned_spread(left.select(*keys, "_e"), keys, {tuple(r[k] for k in keys): r["n"] for r in fit.rows}, guesses)
         else:
             spread = mad(left.select(*keys, "_e"), keys, "_e")
         spread = spread.withColumnsRenamed({k: f"_s_{k}" for k in keys})
@@ -210,6 +210,27 @@ def robust_fit(rows: DataFrame, keys: list[str], x: list[Column], y: Column, kin
     return fit.table.join(scale, _same(keys)).drop(*(f"_k_{k}" for k in keys))
 
 
+def _scanned_spread(rows: DataFrame, keys: list[str], numbers: dict[tuple, int], guesses: dict) -> DataFrame:
+    """keys, mad: of the column _e of few groups, of so many rows. guesses: of the last round, brought up to date."""
+    found = spread_near(rows, keys, "_e", guesses) if guesses else {}
+    shrink = 0.25 if found is None else 1.0
+    if not found:
+        middle = scanned_quantiles(rows, keys, "_e", [0.5])
+        off = rows.join(F.broadcast(middle.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.get("q", F.lit(0)).alias("_m"))), _same(keys))
+        apart = scanned_quantiles(off.select(*keys, F.abs(F.col("_e") - F.col("_m")).alias("_d")), keys, "_d", [0.5])
+        middles, found = ({tuple(r[k] for k in keys): r["q"][0] for r in t.collect()} for t in (middle, apart))
+        found = {k: (middles[k], d, None) for k, d in found.items()}
+    share = MOST_NEAR / (2 * max(len(found), 1))  # values near the three guesses of a group
+    for k, (m, d, near) in found.items():
+        # without a count, as many as about a normal distribution's quartiles and median
+        reach = share / max(1.5 * numbers[k], 1.0) * d if near is None else guesses[k][2] * min(max(share / max(near, 1), 0.5), 2.0)
+        if near is None and k in guesses:
+            reach = min(reach, guesses[k][2])
+        guesses[k] = m, d, min(reach * shrink, 0.49 * d)
+    kinds = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keys)
+    return rows.sparkSession.createDataFrame([(*k, 1.4826 * d) for k, (_, d, _) in found.items()], T.StructType.fromDDL(kinds + "mad double"))
+
+
 #: Where a fit's numbers are at most so many, its rounds hand coefficients on through the driver; beyond, by written tables.
 MOST_HELD = 1_000_000
 
