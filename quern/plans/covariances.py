@@ -150,7 +150,7 @@ QUERIES = {
     "ebic_score": ebic, "small_cholesky": _small(_lower), "cholesky_solve": _small(_solution), "small_solve": _small(_solved_directly),
     "small_det": _small(lambda m, lower: {"d": g.det(m)}, 4), "small_inverse_log_det": _small(_log_det), "symmetric_eigen": _small(_eigen2),
     "f_contrast": f_contrast, "predict": predict, "deviance_explained": deviance_explained, "standardized_effect": standardized_effect,
-    "huber_regress": _robust("huber", ROUNDS), "tukey_regress": _robust("tukey", 2), "sandwich_cluster": sandwich_cluster, "sandwich_hc1": sandwich_hc1,
+    "huber_regress": _robust("huber", ROUNDS), "tukey_regress": _robust("tukey", ROUNDS), "sandwich_cluster": sandwich_cluster, "sandwich_hc1": sandwich_hc1,
     "fdr_methods": fdr_dispatch, "pca_inverse": pca_inverse, "whiten_inverse": whiten_inverse,
 }
 
@@ -203,7 +203,7 @@ ORACLE_SQL = {
     "predict": f"{_FIT} SELECT l_orderkey, l_linenumber, l_partkey, round(b0 + b1 * l.a + b2 * l.b, 5) AS predicted FROM l JOIN f ON k = l_suppkey",
     "deviance_explained": f"{_FIT} SELECT k AS l_suppkey, round(1 - rss / syy, 7) AS explained FROM f",
     "standardized_effect": f"{_FIT} SELECT k AS l_suppkey, round(b1 / sqrt(rss / (n - 3)), 7) AS d FROM f",
-    "huber_regress": _robust_sql("CASE WHEN abs(e / s) <= 1.345 THEN 1 ELSE 1.345 / abs(e / s) END", ROUNDS), "tukey_regress": _robust_sql("CASE WHEN abs(e / s) <= 4.685 THEN pow(1 - pow(e / s / 4.685, 2), 2) ELSE 0 END", 2),
+    "huber_regress": _robust_sql("CASE WHEN abs(e / s) <= 1.345 THEN 1 ELSE 1.345 / abs(e / s) END", ROUNDS), "tukey_regress": _robust_sql("CASE WHEN abs(e / s) <= 4.685 THEN pow(1 - pow(e / s / 4.685, 2), 2) ELSE 0 END", ROUNDS),
     "sandwich_cluster": f"{_OLS} SELECT l_returnflag, round(k * (p * p * uu + 2 * p * q * uv + q * q * vv), 5) AS c0, round(k * (p * q * uu + (p * r + q * q) * uv + q * r * vv), 5) AS c1, round(k * (q * q * uu + 2 * q * r * uv + r * r * vv), 5) AS c3 FROM i",
     "sandwich_hc1": f"WITH {_L}, r AS (SELECT l_suppkey, regr_slope(y, a) AS b1, regr_intercept(y, a) AS b0, regr_sxx(y, a) AS sxx, avg(a) AS m, count(*) AS n FROM l GROUP BY 1) SELECT l_suppkey, round(sum(pow(a - m, 2) * pow(y - b0 - b1 * a, 2)) / pow(any_value(sxx), 2) * any_value(n) / (any_value(n) - 2.0::DOUBLE), 8) AS var_slope FROM l JOIN r USING (l_suppkey) GROUP BY 1",
     "fdr_methods": _METHODS + " " + " UNION ALL ".join([*(f"SELECT s_suppkey, '{n}' AS method, round(least(1.0, min({f} * p / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 8) AS q FROM r, m" for n, f in (("bh", "m"), ("by", "m * (SELECT sum(1.0::DOUBLE / k) FROM r)"), ("storey", "m * pi0"))), "SELECT s_suppkey, 'bonferroni', round(least(1.0, p * m), 8) FROM r, m"]),

@@ -25,7 +25,7 @@ def plain(x, y, weight, rounds):
     return [*beta, scale]
 
 
-@pytest.mark.parametrize("name", ["huber_regress"])
+@pytest.mark.parametrize("name", ["huber_regress", "tukey_regress"])
 def test_queries_take_twenty_rounds(spark, name):
     lines = pd.read_parquet(f"{DATA}/lineitem.parquet")
     got = {r["l_returnflag"]: [r["b0"], r["b1"], r["scale"]] for r in covariances.QUERIES[name](spark, DATA).collect()}
